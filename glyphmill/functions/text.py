@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What counts as a quoted label, and as a blank.
 LABEL_PATTERN = '"([^"]*)"'
-BLANKS_AT_ENDS = r"(?U)^\s+|\s+$"
+BLANKS_AT_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 def stripped(text: Column) -> Column:

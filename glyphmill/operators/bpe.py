@@ -32,7 +32,7 @@ MERGED_FROM = 0x144  # first character after the alphabet
 SURROGATES = range(0xD800, 0xE000)
 
 TRACKED = 4096  # pairs whose counts the driver follows between full counts
-PENDING = 48  # merges applied on the fly before the word table is written again
+PENDING = 32  # merges applied on the fly before the word table is written again
 MEMO = 200_000  # encoded pre-tokens remembered per Python task
 
 
@@ -77,6 +77,17 @@ def merged(word: Column, batch: list[tuple[str, str]]) -> Column:
     return word
 
 
+def pair_changes(word: Column, batch: list[tuple[str, str]]) -> Column:
+    """Pairs a word loses (-1) and gains (+1) through the merges; none if it has none of them."""
+
+    def signed(w: Column, sign: int) -> Column:
+        return F.transform(pairs_of(w), lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
+
+    return let(word, lambda old: let(
+        merged(old, batch), lambda new: F.when(old != new, F.concat(signed(old, -1), signed(new, 1)))
+    ))
+
+
 def pick_batch(ranked: list[tuple[str, int]], names: dict[str, str], known: set[str], floor: int, room: int) -> list[str]:
     """Pairs that one-at-a-time training would merge next, in its order.
 
@@ -156,18 +167,12 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
                 code += 1
             merges.append((left, right))
             batch.append((pair, symbols[token]))
-        before = merged(F.col("word"), pending)
         touched = {c for pair, _ in batch for c in pair}
         made = {s for _, s in batch}
         watched = [p for p in tracked if touched & set(p)]
         change = (
-            words.select(before.alias("before"), "n").withColumn("after", merged(F.col("before"), batch))
-            .where("before != after")
-            .select(F.explode(F.concat(
-                F.transform(pairs_of(F.col("before")), lambda p: F.struct(p.alias("pair"), (-F.col("n")).alias("n"))),
-                F.transform(pairs_of(F.col("after")), lambda p: F.struct(p.alias("pair"), F.col("n").alias("n"))),
-            )).alias("c"))
-            .groupBy("c.pair").agg(F.sum("c.n").alias("n"))
+            words.select(F.explode(pair_changes(merged(F.col("word"), pending), batch)).alias("c"), "n")
+            .groupBy("c.pair").agg(F.sum(F.col("c.sign") * F.col("n")).alias("n"))
         )
         fresh = F.lit(False)
         for s in sorted(made):
