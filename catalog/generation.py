@@ -176,7 +176,7 @@ def profiles_sql() -> str:
     SELECT profile, diagram_type, count(*) AS n, count(DISTINCT target) AS texts, sum(length(target))::BIGINT AS chars,
       min(target) AS first_text, max(file_name) AS last_name FROM ({profiles_sql()}) GROUP BY 1, 2""")
 def gen_profiles(spark, sf):
-    made = corpus.all_profiles(docs(spark, sf), "doc_id", 42)
+    made = corpus.profiles(docs(spark, sf), "doc_id", 42, dict.fromkeys(corpus.SEED_OFFSETS))
     return made.groupBy("profile", "diagram_type").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("target").alias("texts"), F.sum(F.length("target")).alias("chars"),
         F.min("target").alias("first_text"), F.max("file_name").alias("last_name"),

@@ -16,10 +16,6 @@ from glyphmill.functions.text import labels_of
 CLASSES = ["A", "N", "R"]  # l_returnflag
 
 
-def u32_of(*parts) -> Column:
-    return u32(*parts)
-
-
 # --- predictions: documents with some words changed -------------------------------
 
 
@@ -77,7 +73,7 @@ def ocr_items(spark: SparkSession, sf: str) -> DataFrame:
         x = (u32("x", F.col("page_id"), i) % 800).cast("double")
         y = (u32("y", F.col("page_id"), i) % 60 * 10).cast("double")
         points = [F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ((0, 0), (50, 0), (50, 10), (0, 10))]
-        shown = F.when(u32("ocr", F.col("page_id"), i) % 2 == 0, F.upper(t)).otherwise(t)
+        shown = F.when(u32("ocr", F.col("page_id"), i) % 2 == 0, F.concat(t, F.lit("*"))).otherwise(t)
         return F.struct(F.array(*points).alias("box"), shown.alias("text"), F.lit(0.9).alias("confidence"))
 
     return pages.select("page_id", "html", F.transform(texts, box).alias("items"))
@@ -86,7 +82,7 @@ def ocr_items(spark: SparkSession, sf: str) -> DataFrame:
 OCR_SQL = f"""(SELECT page_id, html, labels, list_transform(texts, lambda t, i: {{
     'row': round_even((({sql_u32("'y'", 'page_id', 'i - 1')} % 60 * 10)::DOUBLE) / 20, 0),
     'x': ({sql_u32("'x'", 'page_id', 'i - 1')} % 800)::DOUBLE, 'pos': i,
-    'text': CASE WHEN {sql_u32("'ocr'", 'page_id', 'i - 1')} % 2 = 0 THEN upper(t) ELSE t END}}) AS items
+    'text': CASE WHEN {sql_u32("'ocr'", 'page_id', 'i - 1')} % 2 = 0 THEN t || '*' ELSE t END}}) AS items
   FROM (SELECT page_id, html, labels, CASE page_id % 3 WHEN 0 THEN list_slice(labels, 1, greatest(len(labels) - 1, 0))
       WHEN 1 THEN labels ELSE list_append(labels, 'extra') END AS texts
     FROM (SELECT page_id, html, regexp_extract_all(html, '"([^"]*)"', 1) AS labels FROM pages)))"""

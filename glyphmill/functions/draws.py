@@ -8,6 +8,7 @@ thousand executors, and after an executor is lost.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,18 +16,31 @@ from pyspark.sql import functions as F
 Part = Column | str | int
 
 
-def as_col(value: Part) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+def joined(parts: Sequence[Part], sep: str) -> list[Column]:
+    """Columns for the parts; constants that stand next to each other become one literal."""
+    out: list[Column] = []
+    for constant, run in groupby(parts, key=lambda p: not isinstance(p, Column)):
+        out += [F.lit(sep.join(map(str, run)))] if constant else list(run)
+    return out
 
 
 def cat(*parts: Part) -> Column:
     """Concatenate strings, numbers and columns."""
-    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.concat(*joined(parts, ""))
 
 
 def lines(*parts: Part) -> Column:
     """Join strings and arrays of strings with newlines."""
-    return F.concat_ws("\n", *[as_col(p) for p in parts])
+    return F.concat_ws("\n", *joined(parts, "\n"))
+
+
+def listed(options: Sequence[str | int]) -> Column:
+    """A constant array, made in one step."""
+    return F.expr(f"array({', '.join(str(o) if isinstance(o, int) else quoted(o) for o in options)})")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,12 +50,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def upto(n: Column, most: int, body: Callable[[Column], Column]) -> Column:
     """``[body(0), ..., body(n-1)]`` for 0 <= n <= most."""
-    return F.transform(F.slice(F.array(*[F.lit(i) for i in range(most)]), F.lit(1), n), body)
+    return F.transform(F.slice(listed(range(most)), 1, n), body)
 
 
 def u32(*key: Part) -> Column:
     """First 32 bits of the md5 of the key parts joined by ``|``."""
-    text = F.concat_ws("|", *[as_col(k).cast("string") for k in key])
+    text = F.concat_ws("|", *joined(key, "|"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
@@ -55,13 +69,13 @@ class Draws:
         return u32(*self.key, *slot)
 
     def below(self, n: Part, *slot: Part) -> Column:
-        return (self.u32(*slot) % as_col(n)).cast("int")
+        return (self.u32(*slot) % n).cast("int")
 
     def randint(self, low: int, high: int, *slot: Part) -> Column:
-        return self.below(high - low + 1, *slot) + F.lit(low)
+        return self.below(high - low + 1, *slot) + low
 
-    def choice(self, options: Sequence[Part], *slot: Part) -> Column:
-        return F.element_at(F.array(*[as_col(o) for o in options]), self.below(len(options), *slot) + 1)
+    def choice(self, options: Sequence[str | int], *slot: Part) -> Column:
+        return F.get(listed(options), self.below(len(options), *slot))
 
     def weighted(self, options: Sequence[tuple[str, int]], *slot: Part) -> Column:
         """Pick a name with the given integer weight."""
@@ -75,10 +89,10 @@ class Draws:
     def sample(self, options: Sequence[str], k: Column, *slot: Part) -> Column:
         """``k`` options without replacement, in random order."""
         deck = F.transform(
-            F.array(*[F.lit(o) for o in options]),
+            listed(options),
             lambda x, i: F.struct(self.u32(*slot, i).alias("d"), i.alias("i"), x.alias("x")),
         )
-        return F.slice(F.array_sort(deck), F.lit(1), k)["x"]
+        return F.slice(F.array_sort(deck), 1, k)["x"]
 
     def two_of(self, options: Column, *slot: Part) -> tuple[Column, Column]:
         """An ordered pair of different elements of an array of two or more."""
@@ -89,4 +103,4 @@ class Draws:
 
     def hundredths(self, *slot: Part) -> Column:
         """A share in [0.02, 0.97] with two decimals; 1.00 can never be shown."""
-        return cat("0.", F.lpad(self.randint(2, 97, *slot).cast("string"), 2, "0"))
+        return cat("0.", F.lpad(self.randint(2, 97, *slot), 2, "0"))

@@ -10,6 +10,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.functions.vectors import arg_max, softmax
 
@@ -56,12 +57,12 @@ def gate(df: DataFrame, pred: str, rejected: Sequence) -> DataFrame:
     return df.where(~F.col(pred).isin(list(rejected)))
 
 
-def batch_scorer(load: Callable[[], Predict], batch_size: int = 256) -> Callable[..., Column]:
+def batch_scorer(load: Callable[[], Predict], width: int, batch_size: int = 256) -> Callable[..., Column]:
     """Column function of a model that ``load`` brings up once per Python worker.
 
-    The model maps a batch of feature rows to a batch of class scores.
+    The model maps a batch of feature rows, ``width`` wide, to a batch of class scores.
     """
-    return predict_batch_udf(load, return_type="array<float>", batch_size=batch_size)
+    return predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[width]])
 
 
 def route_and_repair(df: DataFrame, features: str, scorer: Callable[..., Column], rejected: Sequence, second: Callable[[DataFrame], DataFrame]) -> DataFrame:

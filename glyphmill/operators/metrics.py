@@ -25,7 +25,7 @@ def confusion_dense(df: DataFrame, truth: str, pred: str, classes: Sequence[str]
     """One row per true class, one column per predicted class, zeros filled in."""
     cells = confusion(df, truth, pred).groupBy("truth").pivot("pred", list(classes)).agg(F.sum("n"))
     grid = class_list(df, classes, "truth").join(cells, "truth", "left")
-    return grid.select("truth", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in classes])
+    return grid.select("truth", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(str(c)) for c in classes])
 
 
 def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:

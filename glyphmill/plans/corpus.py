@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions.draws import Draws, Part, cat
@@ -88,22 +88,39 @@ def fixed_testset(seeds: DataFrame, seed: str, words: Words = Words()) -> DataFr
     )
 
 
-def profile(rows: DataFrame, row: str, name: str, seed: int, words: Words = Words()) -> DataFrame:
-    """One corpus profile: its seed, its classes, its file names, its split."""
-    types = [NEGATIVE_CLASS, *TEMPLATES] if name == "router" else list(TEMPLATES)
-    made = generate(rows, row, seed + SEED_OFFSETS[name], types, words)
-    return made.select(
-        F.lit(name).alias("profile"), "diagram_type", F.col(row).alias("row"), "target",
-        file_name(F.col("diagram_type"), F.col(row), val=name == "val").alias("file_name"),
+def profiles(
+    rows: DataFrame, row: str, seed: int, sizes: Mapping[str, int | None], words: Words = Words()
+) -> DataFrame:
+    """All corpus profiles in one narrow pass: their seeds, classes and file names.
+
+    ``sizes`` names the profiles to make (leave one out to skip it) and how many
+    rows per class each gets; None means every input row.
+    """
+    wanted = F.array(*[
+        F.struct(F.lit(n).alias("profile"), F.lit(seed + SEED_OFFSETS[n]).alias("seed"), F.lit(size).cast("bigint").alias("size"))
+        for n, size in sizes.items()
+    ])
+    asked = rows.select(row, F.explode(wanted).alias("p")).select(row, "p.*")
+    asked = asked.where(F.col("size").isNull() | (F.col(row) < F.col("size")))
+
+    def entry(name: str) -> Column:
+        text = text_of(name, F.col(row), F.col("seed"), words)
+        if name == NEGATIVE_CLASS:  # only the classifier learns what is no diagram
+            text = F.when(F.col("profile") == "router", text)
+        return F.struct(F.lit(name).alias("diagram_type"), text.alias("target"))
+
+    made = F.array(*[entry(n) for n in [NEGATIVE_CLASS, *TEMPLATES]])
+    kind, val = F.col("diagram_type"), F.col("profile") == "val"
+    return (
+        asked.select("profile", row, F.explode(made).alias("made")).select("profile", row, "made.*")
+        .where(F.col("target").isNotNull())
+        .withColumn("file_name", F.when(val, file_name(kind, F.col(row), val=True)).otherwise(file_name(kind, F.col(row))))
     )
 
 
-def all_profiles(rows: DataFrame, row: str, seed: int, skip: Sequence[str] = (), words: Words = Words()) -> DataFrame:
-    wanted = [n for n in SEED_OFFSETS if n not in skip]
-    out = profile(rows, row, wanted[0], seed, words)
-    for n in wanted[1:]:
-        out = out.unionByName(profile(rows, row, n, seed, words))
-    return out
+def default_profiles(spark: SparkSession, seed: int = 0, words: Words = Words()) -> DataFrame:
+    """The profiles in their usual sizes."""
+    return profiles(spark.range(max(PROFILE_ROWS.values())), "id", seed, PROFILE_ROWS, words)
 
 
 def well_formed(text: Column) -> Column:

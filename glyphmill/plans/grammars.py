@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions.draws import Draws, cat, let, lines, upto
+from glyphmill.functions.draws import Draws, cat, let, lines, listed, upto
 from glyphmill.plans.vocabulary import NEGATIVE_WORDS, Words
 
 Template = Callable[[Draws, Words], Column]
@@ -40,7 +40,7 @@ def starts(widths: Column, first: int, body: Callable[[Column, Column], Column])
     return F.transform(
         widths,
         lambda width, i: body(
-            F.aggregate(F.slice(widths, F.lit(1), i), F.lit(first), lambda a, b: a + b), width
+            F.aggregate(F.slice(widths, 1, i), F.lit(first), lambda a, b: a + b), width
         ),
     )
 
@@ -171,7 +171,7 @@ def journey(d: Draws, w: Words) -> Column:
 @template("gantt")
 def gantt(d: Draws, w: Words) -> Column:
     def tasks(days: Column) -> Column:
-        spans = starts(days, 1, lambda day, width: cat("2024-01-", F.lpad(day.cast("string"), 2, "0"), ", ", width, "d"))
+        spans = starts(days, 1, lambda day, width: cat("2024-01-", F.lpad(day, 2, "0"), ", ", width, "d"))
         return F.transform(spans, lambda span, i: cat("    ", label(d, w, "task", i), ": ", span))
 
     return lines(
@@ -304,7 +304,7 @@ def xychart(d: Draws, w: Words) -> Column:
 
 @template("block")
 def block(d: Draws, w: Words) -> Column:
-    letters = F.slice(F.array(*[F.lit(c) for c in "abcdef"]), F.lit(1), d.randint(3, 6, "n"))
+    letters = F.slice(listed("abcdef"), 1, d.randint(3, 6, "n"))
     return lines("block-beta", cat("    columns ", d.randint(2, 3, "columns")), cat("    ", F.array_join(letters, " ")))
 
 
@@ -376,7 +376,7 @@ def eventmodeling(d: Draws, w: Words) -> Column:
         upto(
             d.randint(3, 5, "n"), 5,
             lambda i: cat(
-                "    tf ", F.lpad((i + 1).cast("string"), 2, "0"), " ", d.choice(["ui", "cmd", "evt"], "kind", i), " ",
+                "    tf ", F.lpad(i + 1, 2, "0"), " ", d.choice(["ui", "cmd", "evt"], "kind", i), " ",
                 capital(d.choice(w.nouns, "noun", i)), d.choice(w.verbs, "verb", i),
             ),
         ),
@@ -399,7 +399,7 @@ def treemap(d: Draws, w: Words) -> Column:
 
 @template("venn")
 def venn(d: Draws, w: Words) -> Column:
-    sets = F.slice(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.lit(1), d.randint(2, 3, "n"))
+    sets = F.slice(listed("ABC"), 1, d.randint(2, 3, "n"))
     return lines(
         "venn-beta",
         F.transform(sets, lambda s, i: cat("    set ", s, '["', capital(d.choice(w.nouns, "set", i)), '"]')),

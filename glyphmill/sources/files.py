@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +33,12 @@ HISTORY = T.StructType([
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """JSON lines in one folder per split, so that a reader of one split skips the others."""
-    df.select(*MANIFEST.fieldNames()).write.partitionBy("split").json(path)
+    """JSON lines in one folder per split, so that a reader of one split skips the others.
+
+    The rebalance hint brings the rows of a folder together in files of sensible
+    size; a folder with most of the rows is spread over many tasks.
+    """
+    df.select(*MANIFEST.fieldNames()).hint("rebalance", "split").write.partitionBy("split").json(path)
 
 
 def read_manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -59,8 +65,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_labelled_tree(df: DataFrame, path: str, payload: str = "payload") -> None:
-    """A folder per split and class."""
-    df.select("split", "label", "file_name", payload).write.partitionBy("split", "label").parquet(path)
+    """A folder per split and class, written in files of sensible size."""
+    df.select("split", "label", "file_name", payload).hint("rebalance", "split", "label").write.partitionBy("split", "label").parquet(path)
 
 
 def read_labelled_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -98,12 +104,13 @@ def status_of(meta: Column, whole: Column) -> Column:
     return F.when(meta.isNull(), "missing_meta").when(~whole, "corrupt").otherwise("ok")
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY).option("multiLine", "true").json(path)
+def read_history(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """JSON lines, or files that each hold one JSON array (these cannot be split)."""
+    return spark.read.schema(HISTORY).option("multiLine", whole_file).json(path)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTIONS).option("multiLine", "true").json(path)
+def read_predictions(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    return spark.read.schema(PREDICTIONS).option("multiLine", whole_file).json(path)
 
 
 def report_block(row: dict[str, Column]) -> Column:
@@ -120,11 +127,14 @@ def report_header(df: DataFrame, title: str) -> DataFrame:
     return counts.select(F.format_string(f"{title}: %d/%d exact matches", "m", "n").alias("value"))
 
 
-def write_eval_report(df: DataFrame, path: str, title: str = "Round-trip test", order: str = "diagram_type") -> None:
-    """Rows as JSON lines, readable blocks in order, and one header line."""
+def write_eval_report(df: DataFrame, path: str, order: Sequence[str], title: str = "Round-trip test") -> None:
+    """Rows as JSON lines, readable blocks in order, and one header line.
+
+    ``order`` ends in a unique key, so that a large class is sorted by many tasks.
+    """
     df.write.json(f"{path}/rows")
     names = ("diagram_type", "exact_match", "ground_truth", "prediction")
-    df.orderBy(order).select(report_block({n: F.col(n) for n in names}).alias("value")).write.text(f"{path}/blocks")
+    df.orderBy(*order).select(report_block({n: F.col(n) for n in names}).alias("value")).write.text(f"{path}/blocks")
     report_header(df, title).write.text(f"{path}/header")
 
 
