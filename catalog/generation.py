@@ -189,12 +189,12 @@ e = G("event_id", "'style'")
 @query("gen_provenance", f"""
     SELECT event_id, event_type AS diagram_type, {e.pick(v.THEMES, "'theme'")} AS theme, {e.pick(v.LOOKS, "'look'")} AS look,
       {e.pick(v.WIDTHS, "'width'")} AS width, {e.pick(['quickjs'], "'engine'")} AS engine,
-      (user_id % 4)::INTEGER AS worker_id, epoch_us(ts) AS written_us FROM events""")
+      (user_id % 4)::INTEGER AS worker_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS written_at FROM events""")
 def gen_provenance(spark, sf):
     ev = table(spark, sf, "events").select("event_id", F.col("event_type").alias("diagram_type"), "user_id", "ts")
     made = corpus.with_provenance(ev, 42, "event_id", F.col("user_id") % 4, F.col("ts").cast("timestamp"))
     return made.select(
-        "event_id", "diagram_type", "theme", "look", "width", "engine", "worker_id", F.unix_micros("written_at").alias("written_us")
+        "event_id", "diagram_type", "theme", "look", "width", "engine", "worker_id", F.date_format("written_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("written_at")
     )
 
 

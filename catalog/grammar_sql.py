@@ -21,6 +21,11 @@ def u32(*parts) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(str(p) for p in parts)})), 1, 8))::BIGINT)"
 
 
+def word(number, *parts) -> str:
+    """SQL of the numbered 32-bit word of the md5."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(str(p) for p in parts)})), 1 + 8 * ({number}), 8))::BIGINT)"
+
+
 def cat(*parts) -> str:
     return "concat(" + ", ".join(parts) + ")"
 
@@ -63,10 +68,12 @@ class G:
         return f"concat(upper({x}[1]), lower({x}[2:]))"
 
     def label(self, *slot):
-        return cat(self.verb(*slot, "'verb'"), "' '", self.noun(*slot, "'noun'"))
+        verb = f"({arr(self.verbs)}[{word(0, *self.key, *slot)} % {len(self.verbs)} + 1])"
+        noun = f"({arr(self.nouns)}[{word(1, *self.key, *slot)} % {len(self.nouns)} + 1])"
+        return cat(verb, "' '", noun)
 
     def sample(self, options, k, *slot):
-        deck = f"list_transform(range(0, {len(options)}), lambda q: {{'d': {self.u(*slot, 'q')}, 'i': q, 'x': {arr(options)}[q + 1]}})"
+        deck = f"list_transform(range(0, {len(options)}), lambda q: {{'d': {word('q % 4', *self.key, *slot, 'q // 4')}, 'i': q, 'x': {arr(options)}[q + 1]}})"
         return L(f"list_transform(list_slice(list_sort({deck}), 1, {k}), lambda s: s.x)")
 
     def pair(self, names, *slot):

@@ -12,6 +12,7 @@ from catalog.grammar_sql import u32 as sql_u32
 from catalog.registry import table
 from glyphmill.functions.draws import u32
 from glyphmill.functions.text import labels_of
+from glyphmill.session import spread
 
 CLASSES = ["A", "N", "R"]  # l_returnflag
 
@@ -20,7 +21,7 @@ CLASSES = ["A", "N", "R"]  # l_returnflag
 
 
 def predictions(spark: SparkSession, sf: str, salt: str = "pred") -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
     changed = F.transform(
         F.split("text", " "),
         lambda w, i: F.when(u32(salt, F.col("doc_id"), i) % 10 == 0, F.concat(w, F.lit("~"))).otherwise(w),
@@ -49,7 +50,7 @@ def sql_strip(x: str) -> str:
 
 
 def token_ids(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
     ids = F.transform(F.split("text", " "), lambda w: (u32("tok", w) % 5996 + 4).cast("int"))
     return docs.select("doc_id", "source", ids.alias("ids"))
 
@@ -63,7 +64,7 @@ TOKEN_IDS_SQL = f"""(SELECT doc_id, source, list_transform(string_split(text, '
 
 def ocr_items(spark: SparkSession, sf: str) -> DataFrame:
     """One box per label, except that some pages lose the last and some gain one."""
-    pages = table(spark, sf, "pages").select("page_id", "html").withColumn("labels", labels_of(F.col("html")))
+    pages = spread(table(spark, sf, "pages").select("page_id", "html")).withColumn("labels", labels_of(F.col("html")))
     lost = F.slice("labels", F.lit(1), F.greatest(F.size("labels") - 1, F.lit(0)))
     texts = F.when(F.col("page_id") % 3 == 0, lost).when(
         F.col("page_id") % 3 == 1, F.col("labels")

@@ -53,10 +53,20 @@ def upto(n: Column, most: int, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.slice(listed(range(most)), 1, n), body)
 
 
+def digest(*key: Part) -> Column:
+    """md5 of the key parts joined by ``|``: four 32-bit words in hex."""
+    return F.md5(F.concat_ws("|", *joined(key, "|")))
+
+
+def word(hexes: Column, number: Part = 0) -> Column:
+    """One of the four words of a digest."""
+    at = F.lit(number * 8 + 1) if isinstance(number, int) else number * 8 + 1
+    return F.conv(F.substring(hexes, at, F.lit(8)), 16, 10).cast("bigint")
+
+
 def u32(*key: Part) -> Column:
-    """First 32 bits of the md5 of the key parts joined by ``|``."""
-    text = F.concat_ws("|", *joined(key, "|"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    """First word of the digest of the key."""
+    return word(digest(*key))
 
 
 class Draws:
@@ -77,6 +87,15 @@ class Draws:
     def choice(self, options: Sequence[str | int], *slot: Part) -> Column:
         return F.get(listed(options), self.below(len(options), *slot))
 
+    def choices(self, first: Sequence[str], second: Sequence[str], sep: str, *slot: Part) -> Column:
+        """An entry of each list, both from one digest."""
+
+        def both(hexes: Column) -> Column:
+            places = [(word(hexes, i) % len(o)).cast("int") for i, o in enumerate((first, second))]
+            return cat(F.get(listed(first), places[0]), sep, F.get(listed(second), places[1]))
+
+        return let(digest(*self.key, *slot), both)
+
     def weighted(self, options: Sequence[tuple[str, int]], *slot: Part) -> Column:
         """Pick a name with the given integer weight."""
         point = self.below(sum(w for _, w in options), *slot)
@@ -87,12 +106,17 @@ class Draws:
         return picked.otherwise(options[-1][0])
 
     def sample(self, options: Sequence[str], k: Column, *slot: Part) -> Column:
-        """``k`` options without replacement, in random order."""
-        deck = F.transform(
-            listed(options),
-            lambda x, i: F.struct(self.u32(*slot, i).alias("d"), i.alias("i"), x.alias("x")),
-        )
-        return F.slice(F.array_sort(deck), 1, k)["x"]
+        """``k`` options without replacement, in random order; a digest draws for four of them."""
+
+        def shuffled(hexes: Column) -> Column:
+            deck = F.transform(
+                listed(options),
+                lambda x, i: F.struct(word(F.get(hexes, F.floor(i / 4).cast("int")), i % 4).alias("d"), i.alias("i"), x.alias("x")),
+            )
+            return F.slice(F.array_sort(deck), 1, k)["x"]
+
+        blocks = listed(range(-(-len(options) // 4)))
+        return let(F.transform(blocks, lambda b: digest(*self.key, *slot, b)), shuffled)
 
     def two_of(self, options: Column, *slot: Part) -> tuple[Column, Column]:
         """An ordered pair of different elements of an array of two or more."""

@@ -29,22 +29,23 @@ def reading_order(items: Column) -> Column:
 def substitute(code: Column, texts: Column) -> Column:
     """The k-th quoted label takes the k-th text; labels beyond the texts stay."""
 
-    def rebuilt(between: Column, labels: Column) -> Column:
-        slots = F.transform(labels, lambda old, i: F.concat(F.lit('"'), F.coalesce(F.get(texts, i), old), F.lit('"')))
+    def rebuilt(labels: Column, new: Column) -> Column:
+        between = F.split(code, '"[^"]*"', -1)
+        slots = F.transform(labels, lambda old, i: F.concat(F.lit('"'), F.coalesce(F.get(new, i), old), F.lit('"')))
         return F.array_join(F.zip_with(between, slots, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    return let(labels_of(code), lambda labels: rebuilt(F.split(code, '"[^"]*"', -1), labels))
+    return let(texts, lambda new: let(labels_of(code), lambda labels: rebuilt(labels, new)))
 
 
 def substitutions(code: Column, texts: Column) -> Column:
     """What became of each label: kept, unchanged or replaced."""
 
-    def entry(old: Column, i: Column) -> Column:
-        new = F.get(texts, i)
+    def entry(read: Column, old: Column, i: Column) -> Column:
+        new = F.get(read, i)
         status = F.when(new.isNull(), "kept").when(new == old, "unchanged").otherwise("replaced")
         return F.struct(i.alias("pos"), old.alias("original"), new.alias("replacement"), status.alias("status"))
 
-    return F.transform(labels_of(code), entry)
+    return let(texts, lambda read: F.transform(labels_of(code), lambda old, i: entry(read, old, i)))
 
 
 def positional_join(left: DataFrame, right: DataFrame, key: str, pos: str) -> DataFrame:

@@ -28,7 +28,7 @@ def template(name: str) -> Callable[[Template], Template]:
 
 
 def label(d: Draws, w: Words, *slot) -> Column:
-    return cat(d.choice(w.verbs, *slot, "verb"), " ", d.choice(w.nouns, *slot, "noun"))
+    return d.choices(w.verbs, w.nouns, " ", *slot)
 
 
 def capital(word: Column) -> Column:

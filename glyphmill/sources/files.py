@@ -133,6 +133,7 @@ def write_eval_report(df: DataFrame, path: str, order: Sequence[str], title: str
     ``order`` ends in a unique key, so that a large class is sorted by many tasks.
     """
     df.write.json(f"{path}/rows")
+    df = df.sparkSession.read.schema(df.schema).json(f"{path}/rows")  # what was written is not worked out again
     names = ("diagram_type", "exact_match", "ground_truth", "prediction")
     df.orderBy(*order).select(report_block({n: F.col(n) for n in names}).alias("value")).write.text(f"{path}/blocks")
     report_header(df, title).write.text(f"{path}/header")
