@@ -8,6 +8,7 @@ way id order does.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions.draws import let
+from glyphmill.functions.draws import let, listed
 from glyphmill.functions.text import stripped_equal
 from glyphmill.plans.vocabulary import SPECIAL_TOKENS, VOCAB_SIZE
 from glyphmill.session import materialise
@@ -88,6 +89,11 @@ def pair_changes(word: Column, batch: list[tuple[str, str]]) -> Column:
     ))
 
 
+def by_count(pairs: dict[str, int]) -> list[tuple[str, int]]:
+    """Most frequent first, then by ids."""
+    return sorted(pairs.items(), key=lambda x: (-x[1], x[0]))
+
+
 def pick_batch(ranked: list[tuple[str, int]], names: dict[str, str], known: set[str], floor: int, room: int) -> list[str]:
     """Pairs that one-at-a-time training would merge next, in its order.
 
@@ -133,12 +139,12 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
     merges: list[tuple[str, str]] = []
     pending: list[tuple[str, str]] = []
     tracked: dict[str, int] = {}
-    floor, code = -1, MERGED_FROM
+    floor, complete, recount, code = 0, False, True, MERGED_FROM
     while len(tokens) < vocab_size:
-        ranked = sorted((x for x in tracked.items() if x[1] > floor), key=lambda x: (-x[1], x[0]))
-        if not ranked or floor < 0:
-            if floor == 0:
-                break
+        ranked = by_count({p: n for p, n in tracked.items() if n > floor})
+        if not ranked and complete and not recount:
+            break
+        if recount or not ranked:
             full = (
                 words.select(F.explode(pairs_of(merged(F.col("word"), pending))).alias("pair"), "n")
                 .groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
@@ -146,13 +152,12 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
             )
             if not full:
                 break
-            # A short list holds every pair there is; a full one leaves out pairs of its least count.
-            floor = full[-1].n if len(full) == TRACKED else 0
-            tracked = {r.pair: r.n for r in full if r.n > floor} or {full[0].pair: full[0].n}
-            ranked = sorted(tracked.items(), key=lambda x: (-x[1], x[0]))
-            if all(r.n == floor for r in full):
-                floor -= 1  # one tie as long as the list: its first pair is still the right one
-                ranked = ranked[:1]
+            # A short list holds every pair that counts; a full one leaves out pairs of its least count.
+            complete = len(full) < TRACKED
+            floor = 0 if complete else full[-1].n
+            tracked = {r.pair: r.n for r in full if r.n > floor}
+            recount = not tracked  # one tie as long as the list: only its first pair is certain
+            ranked = by_count(tracked) or [(full[0].pair, full[0].n)]
         if ranked[0][1] < min_frequency:
             break
         batch = []
@@ -165,6 +170,8 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
                 tokens.append(token)
                 known.add(token)
                 code += 1
+            else:
+                recount = True  # pairs of a symbol that was there before may grow
             merges.append((left, right))
             batch.append((pair, symbols[token]))
         touched = {c for pair, _ in batch for c in pair}
@@ -190,22 +197,25 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
 
 
 def spell(piece: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Tokens of one pre-token: merge the pair of lowest rank until none is left."""
+    """Tokens of one pre-token: the pair of lowest rank, leftmost first, is merged
+    until none is left. A heap keeps very long pre-tokens cheap."""
     parts = [LETTER[b] for b in piece.encode("utf-8")]
-    while len(parts) > 1:
-        best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, len(ranks)))
-        if best not in ranks:
-            break
-        out, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                out.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, (left, right) = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] != left or j == n or parts[j] != right:
+            continue  # merged away since
+        parts[i], parts[j], after[i] = left + right, "", after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (parts[a], parts[b]) in ranks:
+                heapq.heappush(heap, (ranks[parts[a], parts[b]], a, (parts[a], parts[b])))
+    return [p for p in parts if p]
 
 
 def encode(text: Column, model: Tokenizer) -> Column:
@@ -237,7 +247,7 @@ def decode(ids: Column, model: Tokenizer) -> Column:
     byte_of = {c: b for b, c in LETTER.items()}
     special = set(SPECIAL_TOKENS)
     spelled = [t.encode().hex() if t in special else bytes(byte_of[c] for c in t).hex() for t in model.tokens]
-    table = F.array(*[F.lit(s) for s in spelled])
+    table = listed(spelled)
     joined = F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")
     return F.make_valid_utf8(F.unhex(joined).cast("string"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import stripped_equal
-from glyphmill.operators.running import ROWS_PER_BUCKET, Run, count_so_far, running, same
+from glyphmill.operators.running import ROWS_PER_BUCKET, Run, count_so_far, meet, running
 from glyphmill.plans.vocabulary import PAD
 
 
@@ -102,8 +102,8 @@ def progress_log(df: DataFrame, epoch: str, order: str, every: int, batch_size:
     )
     rate = F.when(F.col("elapsed") > 0, F.col("step") / F.col("elapsed")).otherwise(F.lit(0.0))
     return (
-        run.join(steps, same(run, steps, [epoch])).select(
-            run[epoch], "step", "last_step", "elapsed",
+        meet(run, steps, [epoch]).select(
+            epoch, "step", "last_step", "elapsed",
             (F.col("_loss").cast("double") / F.col("step")).alias("avg_loss"),
             (F.col("_ok") / F.greatest("_n", F.lit(1))).alias("avg_accuracy"),
             rate.alias("steps_per_sec"), (rate * batch_size).alias("samples_per_sec"),
@@ -129,9 +129,8 @@ def time_left(history: DataFrame, run: list[str], epoch: str, seconds: str) -> D
     """Time so far, and the last epoch's time for each epoch still to come."""
     total = history.groupBy(*run).agg(F.max(epoch).alias("last_epoch"))
     out = running(history, run, [epoch], total_elapsed=Run("sum", F.col(seconds)))
-    return out.join(total, same(out, total, run)).select(
-        *[out[c] for c in out.columns], (F.col(seconds) * (F.col("last_epoch") - F.col(epoch))).alias("remaining")
-    )
+    left = F.col(seconds) * (F.col("last_epoch") - F.col(epoch))
+    return meet(out, total, run).withColumn("remaining", left).drop("last_epoch")
 
 
 def run_totals(df: DataFrame, steps: str, batch_size: int, seconds: str) -> DataFrame:

@@ -54,12 +54,13 @@ def with_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET
     return keyed.withColumn(BUCKET, F.col(BUCKET).cast("int")), len(inner) + 1
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on ``keys``, so rows without a class stay in."""
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` null-safely, so rows without a class stay in; the keys come from the left."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     hit = F.lit(True)
     for k in keys:
-        hit = hit & left[k].eqNullSafe(right[k])
-    return hit
+        hit = hit & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(other, hit, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def running(
@@ -88,9 +89,7 @@ def running(
             totals.select(*by, BUCKET, *[fold[r.kind](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, r in runs.items()]),
             "offsets",
         )
-        joined = keyed.join(base, same(keyed, base, [*by, BUCKET]), "left").select(
-            *[keyed[c] for c in keyed.columns], *[base[f"_b_{n}"] for n in runs]
-        )
+        joined = meet(keyed, base, [*by, BUCKET], "left")
 
         def total(name: str, run: Run) -> Column:
             here, base_value = F.col(name), F.col(f"_b_{name}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.draws import u32
-from glyphmill.operators.running import BUCKET, ROWS_PER_BUCKET, same, with_buckets, with_rank
+from glyphmill.operators.running import BUCKET, ROWS_PER_BUCKET, meet, with_buckets, with_rank
 from glyphmill.plans.vocabulary import VAL_FRACTION
 from glyphmill.session import materialise
 
@@ -27,7 +27,7 @@ def class_cutoffs(df: DataFrame, by: str, order: str, fraction: float = VAL_FRAC
         .select(by, BUCKET, (F.col("wanted") - F.col("seen")).alias("nth"))
     )
     target = materialise(target, "cutoff-buckets")
-    edge = slim.join(target, same(slim, target, [by, BUCKET])).select(slim[by], slim[order], slim[BUCKET], "nth")
+    edge = meet(slim, target, [by, BUCKET])
     place = F.row_number().over(Window.partitionBy(by, BUCKET).orderBy(order))
     return materialise(
         edge.withColumn("place", place).where("place = nth").select(by, F.col(order).alias("cutoff")), "cutoffs"
@@ -41,10 +41,8 @@ def stratified_split(df: DataFrame, by: str, order: str, fraction: float = VAL_F
     class: they meet a table of one cutoff per class.
     """
     cut = class_cutoffs(df, by, order, fraction, rows_per_bucket)
-    return df.join(cut, same(df, cut, [by]), "left").select(
-        *[df[c] for c in df.columns],
-        F.when(F.col(order) <= F.col("cutoff"), "val").otherwise("train").alias("split"),
-    )
+    split = F.when(F.col(order) <= F.col("cutoff"), "val").otherwise("train")
+    return meet(df, cut, [by], "left").withColumn("split", split).drop("cutoff")
 
 
 def first_per_class(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
@@ -54,9 +52,15 @@ def first_per_class(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
 
 
 def with_batches(df: DataFrame, order: str, size: int, by: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Cut rows into batches of ``size`` in order; the last batch may be short."""
-    ranked = with_rank(df, by or [], [order], "_place", rows_per_bucket)
-    return ranked.withColumn("batch_id", F.floor((F.col("_place") - 1) / size)).drop("_place")
+    """Cut rows into batches of ``size`` in order of a unique key; the last batch may be short.
+
+    Only the keys are ranked; the wide rows meet their batch number on the key.
+    The explicit partitioning keeps a rank done in few tasks from drawing the
+    wide side into those tasks.
+    """
+    ranked = with_rank(df.select(*(by or []), order), by or [], [order], "_place", rows_per_bucket)
+    batches = ranked.select(order, F.expr(f"(_place - 1) div {size}").alias("batch_id")).repartition(F.col(order))
+    return df.join(batches, order).select(*df.columns, "batch_id")
 
 
 def shuffled(df: DataFrame, row: str, seed: int, epoch: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -74,6 +78,6 @@ def mirror_slots(df: DataFrame, worker: str, order: str, slots: int, payload: li
     back = F.row_number().over(Window.partitionBy(worker).orderBy(F.desc(order)))
     last = df.select(worker, order, *payload).withColumn("back", back).where(F.col("back") <= slots)
     counts = df.groupBy(worker).agg(F.count(F.lit(1)).alias("seen"))
-    joined = last.join(counts, same(last, counts, [worker])).select(last[worker], order, *payload, "seen", "back")
+    joined = meet(last, counts, [worker])
     counter: Column = F.col("seen") - F.col("back") + 1
     return joined.select(worker, (counter % slots).cast("int").alias("slot"), counter.alias("counter"), order, *payload)
