@@ -11,6 +11,7 @@ from glyphmill.functions import text
 from glyphmill.functions.draws import u32
 from glyphmill.operators import classify, metrics, splits
 from glyphmill.operators.repair import corner, positional_join, reading_order
+from glyphmill.session import spread
 
 SPLIT_SQL = """(SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id)
     <= floor(count(*) OVER (PARTITION BY source) * 0.15::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM documents)"""
@@ -29,10 +30,10 @@ def filter_split(spark, sf):
 
 
 @query("filter_gate", """
-    SELECT vec_id, label FROM (SELECT vec_id, label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS pred FROM embeddings) WHERE pred <> 0""")
+    SELECT vec_id, label FROM (SELECT vec_id, label, list_position(embedding, list_max(embedding)) - 1 AS pred FROM embeddings) WHERE pred <> 0""")
 def filter_gate(spark, sf):
     vec = table(spark, sf, "embeddings")
-    top = classify.with_top(vec.withColumn("scores", F.slice("embedding", 1, 10)), "scores")
+    top = classify.with_top(vec, "embedding")
     return classify.gate(top, "pred", [0]).select("vec_id", "label")
 
 
@@ -312,9 +313,10 @@ def sort_arg_max(spark, sf):
     SELECT a, b, count(*) AS n FROM (SELECT w[i] AS a, w[i + 1] AS b FROM
       (SELECT string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')))) AS i FROM documents)) GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 50""")
 def sort_top_pairs(spark, sf):
-    words = table(spark, sf, "documents").select(F.split("text", " ").alias("w"))
-    pair = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda a, i: F.struct(a.alias("a"), F.get("w", i + 1).alias("b")))
-    pairs = words.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    words = spread(table(spark, sf, "documents").select("text")).select(F.split("text", " ").alias("w"))
+    n = F.size("w") - 1
+    both = F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"))
+    pairs = words.select(F.inline(both)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return pairs.orderBy(F.desc("n"), "a", "b").limit(50)
 
 

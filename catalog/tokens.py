@@ -11,7 +11,7 @@ from glyphmill.functions.draws import u32
 from glyphmill.operators import bpe, metrics, sequences as seq, splits
 from glyphmill.session import new_path, spread
 
-VOCAB = 300  # small enough that training is quick; the default vocabulary is a parameter
+VOCAB = 320  # tokens; the size is a parameter of training
 
 
 MODELS: dict[str, bpe.Tokenizer] = {}

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,24 +99,28 @@ def by_count(pairs: dict[str, int]) -> list[tuple[str, int]]:
 def pick_batch(ranked: list[tuple[str, int]], names: dict[str, str], known: set[str], floor: int, room: int) -> list[str]:
     """Pairs that one-at-a-time training would merge next, in its order.
 
-    Going down the counts, pairs are taken while no symbol repeats. A pair that
-    only comes to exist through these merges contains a symbol of a later pair
-    that shared one, so it can count at most as much as the first such pair:
-    everything strictly above that count is safe. A doubled symbol, and a pair
-    that spells an existing token, are merged alone.
+    Going down the counts, pairs are taken while no symbol is the left part of
+    one and the right part of another: then no two of them overlap in any word,
+    so none changes the count of another. A pair that only comes to exist through
+    these merges grew out of a pair that ends in one of the left parts or begins
+    with one of the right parts, and counts at most as much as the first such
+    pair. Everything strictly above that count is safe. A doubled symbol, and a
+    pair that spells an existing token, are merged alone.
     """
     batch: list[str] = []
-    used: set[str] = set()
+    lefts: set[str] = set()
+    rights: set[str] = set()
     spelled: set[str] = set()
     limit = floor
     for pair, n in ranked:
         token = names[pair[0]] + names[pair[1]]
         alone = pair[0] == pair[1] or token in known or token in spelled
-        if used & set(pair) or alone or len(batch) == room:
+        if pair[0] in rights or pair[1] in lefts or alone or len(batch) == room:
             limit = max(limit, n)
             break
         batch.append(pair)
-        used |= set(pair)
+        lefts.add(pair[0])
+        rights.add(pair[1])
         spelled.add(token)
     counts = dict(ranked)
     kept = [p for i, p in enumerate(batch) if i == 0 or counts[p] > limit]
@@ -218,26 +224,35 @@ def spell(piece: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [p for p in parts if p]
 
 
+class Memo(dict):
+    """Ids of the pre-tokens met so far in a task; emptied when it has grown large."""
+
+    def __init__(self, model: Tokenizer):
+        super().__init__()
+        self.ranks = {m: i for i, m in reversed(list(enumerate(model.merges)))}
+        self.number = {t: i for i, t in enumerate(model.tokens)}
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) >= MEMO:
+            self.clear()
+        ids = self[piece] = [self.number[t] for t in spell(piece, self.ranks)]
+        return ids
+
+
 def encode(text: Column, model: Tokenizer) -> Column:
     """Token ids of a text. One narrow Arrow step: no shuffle, and frequent
     pre-tokens are looked up rather than merged again."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks = {m: i for i, m in reversed(list(enumerate(model.merges)))}
-        number = {t: i for i, t in enumerate(model.tokens)}
-        memo: dict[str, list[int]] = {}
-
-        def one(piece: str) -> list[int]:
-            found = memo.get(piece)
-            if found is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                found = memo[piece] = [number[t] for t in spell(piece, ranks)]
-            return found
+        memo = Memo(model)
+        look_up = memo.__getitem__
+
+        def whole(pieces: np.ndarray | None) -> np.ndarray | None:
+            return None if pieces is None else np.fromiter(chain.from_iterable(map(look_up, pieces)), np.int32)
 
         for texts in batches:
-            yield texts.map(lambda pieces: None if pieces is None else [i for p in pieces for i in one(p)])
+            yield texts.map(whole)
 
     return ids(pretokens(text, cross_lines=True))
 

@@ -18,7 +18,10 @@ Predict = Callable[[np.ndarray], np.ndarray]
 
 
 def label_index(df: DataFrame, label: str, name: str = "label_id") -> DataFrame:
-    """Add the 0-based alphabetical position of the label among the labels present."""
+    """Add the 0-based alphabetical position of the label among the labels present.
+
+    For class names: the list of distinct labels is held in memory.
+    """
     kept = StringIndexer(inputCol=label, outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
     return kept.transform(df).withColumn(name, F.when(F.col(label).isNotNull(), F.col("_i").cast("int"))).drop("_i")
 

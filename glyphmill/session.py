@@ -26,16 +26,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session that names none (a test on one machine) gets a fresh local one.
+    Only a session on one machine, as in tests, may leave it unset; it then gets
+    a fresh local folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in LOCAL_FOLDERS:
+        LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="glyphmill-")
+    return LOCAL_FOLDERS[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -95,9 +95,9 @@ def pair_sidecars(images: DataFrame, notes: DataFrame) -> DataFrame:
     shape = T.StructType([*SIDECAR.fields, T.StructField("_bad", T.StringType())])
     parsed = notes.withColumn("meta", F.from_json("note", shape, {"columnNameOfCorruptRecord": "_bad"}))
     meta = F.when(F.col("meta._bad").isNull(), F.col("meta"))
-    header = png_header(F.col("content"))
-    joined = images.join(parsed.select("stem", meta.alias("meta")), "stem", "left")
-    return joined.select("stem", "meta", header["width"].alias("width"), header["height"].alias("height"), status_of(F.col("meta"), header["whole"]).alias("status"))
+    seen = images.select("stem", *[c.alias(n) for n, c in png_header(F.col("content")).items()])  # the bytes stay behind
+    joined = seen.join(parsed.select("stem", meta.alias("meta")), "stem", "left")
+    return joined.select("stem", "meta", "width", "height", status_of(F.col("meta"), F.col("whole")).alias("status"))
 
 
 def status_of(meta: Column, whole: Column) -> Column:
