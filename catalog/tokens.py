@@ -28,7 +28,14 @@ def texts(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("tok_pretoken_counts")
+# RE2 has no look-ahead: a mark before the last blank of a run that meets a word does its work.
+BLANK = r"\s\x0b\x{85}\p{Z}"
+LINES_SQL = "(SELECT unnest(string_split(text, chr(10))) || chr(10) AS line FROM documents)"
+MARKED_SQL = rf"regexp_replace(line, '([{BLANK}][^{BLANK}])', chr(1) || '\1', 'g')"
+PIECE_RE = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}\x01]+|[{BLANK}]+"
+
+
+@query("tok_pretoken_counts", f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all({MARKED_SQL}, '{PIECE_RE}')) AS piece FROM {LINES_SQL}) GROUP BY 1")
 def tok_pretoken_counts(spark, sf):
     return bpe.pretoken_counts(texts(spark, sf), "text")
 
