@@ -77,8 +77,8 @@ class G:
         return L(f"list_transform(list_slice(list_sort({deck}), 1, {k}), lambda s: s.x)")
 
     def pair(self, names, *slot):
-        a = f"({self.u(*slot, chr(39) + 'a' + chr(39))} % len({names}))"
-        b = f"(({a} + 1 + {self.u(*slot, chr(39) + 'b' + chr(39))} % (len({names}) - 1)) % len({names}))"
+        a = f"({word(0, *self.key, *slot)} % len({names}))"
+        b = f"(({a} + 1 + {word(1, *self.key, *slot)} % (len({names}) - 1)) % len({names}))"
         return f"({names}[{a} + 1])", f"({names}[{b} + 1])"
 
 

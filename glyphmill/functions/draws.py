@@ -113,17 +113,21 @@ class Draws:
                 listed(options),
                 lambda x, i: F.struct(word(F.get(hexes, F.floor(i / 4).cast("int")), i % 4).alias("d"), i.alias("i"), x.alias("x")),
             )
-            return F.slice(F.array_sort(deck), 1, k)["x"]
+            return F.slice(F.sort_array(deck), 1, k)["x"]
 
         blocks = listed(range(-(-len(options) // 4)))
         return let(F.transform(blocks, lambda b: digest(*self.key, *slot, b)), shuffled)
 
-    def two_of(self, options: Column, *slot: Part) -> tuple[Column, Column]:
-        """An ordered pair of different elements of an array of two or more."""
-        n = F.size(options)
-        first = self.below(n, *slot, "a")
-        second = (first + 1 + self.below(n - 1, *slot, "b")) % n
-        return F.get(options, first), F.get(options, second)
+    def two_of(self, options: Column, body: Callable[[Column, Column], Column], *slot: Part) -> Column:
+        """``body`` of an ordered pair of different elements of an array of two or more."""
+
+        def pair(hexes: Column) -> Column:
+            n = F.size(options)
+            first = (word(hexes) % n).cast("int")
+            second = (first + 1 + (word(hexes, 1) % (n - 1)).cast("int")) % n
+            return body(F.get(options, first), F.get(options, second))
+
+        return let(digest(*self.key, *slot), pair)
 
     def hundredths(self, *slot: Part) -> Column:
         """A share in [0.02, 0.97] with two decimals; 1.00 can never be shown."""

@@ -147,7 +147,7 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
     tracked: dict[str, int] = {}
     floor, complete, recount, code = 0, False, True, MERGED_FROM
     while len(tokens) < vocab_size:
-        ranked = by_count({p: n for p, n in tracked.items() if n > floor})
+        ranked = by_count(tracked)
         if not ranked and complete and not recount:
             break
         if recount or not ranked:
@@ -160,12 +160,10 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
                 break
             # A short list holds every pair that counts; a full one leaves out pairs of its least count.
             complete = len(full) < TRACKED
-            floor = 0 if complete else full[-1].n
+            floor = min_frequency - 1 if complete else full[-1].n
             tracked = {r.pair: r.n for r in full if r.n > floor}
             recount = not tracked  # one tie as long as the list: only its first pair is certain
             ranked = by_count(tracked) or [(full[0].pair, full[0].n)]
-        if ranked[0][1] < min_frequency:
-            break
         batch = []
         for pair in pick_batch(ranked, names, known, floor, vocab_size - len(tokens)):
             left, right = names[pair[0]], names[pair[1]]
@@ -192,7 +190,11 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
             fresh = fresh | F.col("pair").contains(s)
         for r in change.where(F.col("pair").isin(watched) | (fresh & (F.col("n") > floor))).collect():
             tracked[r.pair] = tracked.get(r.pair, 0) + r.n
-        tracked = {p: n for p, n in tracked.items() if n > 0}
+        tracked = {p: n for p, n in tracked.items() if n > floor}
+        if len(tracked) > 4 * TRACKED:
+            ranked = by_count(tracked)
+            floor, complete = ranked[TRACKED][1], False
+            tracked = {p: n for p, n in ranked if n > floor}
         pending += batch
         if len(pending) >= PENDING:
             words = materialise(

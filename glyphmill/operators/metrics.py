@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions.text import stripped_equal
 from glyphmill.operators.running import ROWS_PER_BUCKET, Run, count_so_far, meet, running
 from glyphmill.plans.vocabulary import PAD
+from glyphmill.session import materialise
 
 
 def class_list(df: DataFrame, classes: Sequence[str], name: str) -> DataFrame:
@@ -94,7 +95,7 @@ def progress_log(df: DataFrame, epoch: str, order: str, every: int, batch_size:
 
     ``df`` has loss, correct, total and elapsed (seconds since the epoch began) per step.
     """
-    steps = df.groupBy(epoch).agg(F.count(F.lit(1)).alias("last_step"))
+    steps = materialise(df.groupBy(epoch).agg(F.count(F.lit(1)).alias("last_step")), "epochs")
     run = running(
         df.select(epoch, order, "loss", "correct", "total", "elapsed"), [epoch], [order], rows_per_bucket,
         step=count_so_far(), _loss=Run("sum", F.col("loss").cast("decimal(18,6)")),

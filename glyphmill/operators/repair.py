@@ -23,7 +23,7 @@ def reading_order(items: Column) -> Column:
         x, y = corner(item["box"])
         return F.struct(F.bround(y / ROW_HEIGHT).alias("row"), x.alias("x"), pos.alias("pos"), item["text"].alias("text"))
 
-    return F.array_sort(F.transform(items, keyed))["text"]
+    return F.sort_array(F.transform(items, keyed))["text"]
 
 
 def substitute(code: Column, texts: Column) -> Column:

@@ -100,8 +100,9 @@ def sequence(d: Draws, w: Words) -> Column:
     cast = ["Alice", "Bob", "Carol", "Server", "Client", "DB", "Cache"]
 
     def message(actors: Column, i: Column) -> Column:
-        sender, receiver = d.two_of(actors, "pair", i)
-        return cat("    ", sender, d.choice(["->>", "-->>"], "arrow", i), receiver, ": ", label(d, w, "message", i))
+        arrow = d.choice(["->>", "-->>"], "arrow", i)
+        text = label(d, w, "message", i)
+        return d.two_of(actors, lambda a, b: cat("    ", a, arrow, b, ": ", text), "pair", i)
 
     return let(
         d.sample(cast, d.randint(2, 4, "k"), "actor"),
@@ -112,8 +113,8 @@ def sequence(d: Draws, w: Words) -> Column:
 @template("class_diagram")
 def class_diagram(d: Draws, w: Words) -> Column:
     def relation(names: Column, i: Column) -> Column:
-        left, right = d.two_of(names, "pair", i)
-        return cat("    ", left, " ", d.choice(["<|--", "*--", "o--", "-->"], "relation", i), " ", right)
+        kind = d.choice(["<|--", "*--", "o--", "-->"], "relation", i)
+        return d.two_of(names, lambda a, b: cat("    ", a, " ", kind, " ", b), "pair", i)
 
     return let(
         upto(d.randint(2, 5, "k"), 5, lambda i: cat("Class", i)),
@@ -141,9 +142,9 @@ def state_diagram(d: Draws, w: Words) -> Column:
 @template("er_diagram")
 def er_diagram(d: Draws, w: Words) -> Column:
     def relation(names: Column, i: Column) -> Column:
-        left, right = d.two_of(names, "pair", i)
         kind = d.choice(["||--o{", "||--|{", "}o--o{"], "relation", i)
-        return cat("    ", left, " ", kind, " ", right, " : ", F.lower(d.choice(w.verbs, "verb", i)), "s")
+        verb = F.lower(d.choice(w.verbs, "verb", i))
+        return d.two_of(names, lambda a, b: cat("    ", a, " ", kind, " ", b, " : ", verb, "s"), "pair", i)
 
     return let(
         F.transform(d.sample(w.nouns, d.randint(2, 4, "k"), "entity"), F.upper),
