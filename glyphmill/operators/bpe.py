@@ -9,6 +9,7 @@ way id order does.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -290,6 +291,14 @@ def save(spark: SparkSession, model: Tokenizer, path: str) -> None:
     merge_table(spark, model).write.mode("overwrite").parquet(f"{path}/merges")
 
 
+def load_public(spark: SparkSession, vocab_json: str, merges_txt: str) -> Tokenizer:
+    """Read the two files public tokenizer libraries save; both are bounded by the vocabulary size."""
+    ids = json.loads(spark.read.text(vocab_json, wholetext=True).first().value)
+    lines = spark.read.text(merges_txt, wholetext=True).first().value.split("\n")
+    merges = [tuple(x.split(" ")) for x in lines if x and not x.startswith("#version")]
+    return Tokenizer(sorted(ids, key=ids.get), merges)
+
+
 def load(spark: SparkSession, path: str) -> Tokenizer:
     """Read a saved tokenizer; both tables are bounded by the vocabulary size."""
     tokens = [r.token for r in spark.read.parquet(f"{path}/vocab").orderBy("id").collect()]

@@ -80,6 +80,13 @@ def test_broken_bytes_decode_as_public(spark, tmp_path):
     assert got == reference.decode(ids)
 
 
+def test_load_public_files(spark, tmp_path):
+    texts = corpus(spark)[:10]
+    tokens, merges = public(texts, 290, tmp_path)
+    model = bpe.load_public(spark, str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt"))
+    assert model == bpe.Tokenizer(tokens, merges)
+
+
 def test_save_load(spark, tmp_path):
     model = ours(spark, ["low lower lowest newer newest"] * 3, 266)
     bpe.save(spark, model, str(tmp_path / "t"))

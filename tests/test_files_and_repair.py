@@ -4,13 +4,16 @@ import json
 import re
 import struct
 import zlib
+from types import SimpleNamespace
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text, vectors
 from glyphmill.operators import classify, metrics, repair, sequences as seq
+from glyphmill.session import work_dir
 from glyphmill.sources import files
 
 
@@ -157,3 +160,13 @@ def test_noise_of_no_strength_is_no_step(spark):
     assert vectors.add_noise(values, 0.0, 1, 1) is values
     noisy = one(spark, vectors.add_noise(values, 0.1, 1, 1))
     assert noisy[1] == 1.0 and 0 <= noisy[0] <= 1 and noisy[0] != 0.5
+
+
+def test_work_folder_comes_from_the_session(spark):
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder), sparkContext=SimpleNamespace(master=master, applicationId=master))
+
+    assert work_dir(session("spark://host:7077", "hdfs://shared/work/")) == "hdfs://shared/work"
+    assert work_dir(session("local[2]", None)) == work_dir(session("local[2]", None))
+    with pytest.raises(ValueError):
+        work_dir(session("spark://host:7077", None))
