@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions.draws import let, listed
+from glyphmill.functions.draws import let, listed, quoted
 from glyphmill.functions.text import stripped_equal
 from glyphmill.plans.vocabulary import SPECIAL_TOKENS, VOCAB_SIZE
 from glyphmill.session import materialise
@@ -182,14 +183,15 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
         touched = {c for pair, _ in batch for c in pair}
         made = {s for _, s in batch}
         watched = [p for p in tracked if touched & set(p)]
+        hit = "|".join(re.escape(pair) for pair, _ in batch)
         change = (
-            words.select(F.explode(pair_changes(merged(F.col("word"), pending), batch)).alias("c"), "n")
+            words.select(merged(F.col("word"), pending).alias("word"), "n").where(F.col("word").rlike(hit))
+            .select(F.explode(pair_changes(F.col("word"), batch)).alias("c"), "n")
             .groupBy("c.pair").agg(F.sum(F.col("c.sign") * F.col("n")).alias("n"))
         )
-        fresh = F.lit(False)
-        for s in sorted(made):
-            fresh = fresh | F.col("pair").contains(s)
-        for r in change.where(F.col("pair").isin(watched) | (fresh & (F.col("n") > floor))).collect():
+        followed = F.expr(f"pair IN ({', '.join(map(quoted, watched)) or 'NULL'})")
+        fresh = F.col("pair").rlike("|".join(sorted(map(re.escape, made))))
+        for r in change.where(followed | (fresh & (F.col("n") > floor))).collect():
             tracked[r.pair] = tracked.get(r.pair, 0) + r.n
         tracked = {p: n for p, n in tracked.items() if n > floor}
         if len(tracked) > 4 * TRACKED:
