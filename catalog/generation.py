@@ -173,13 +173,13 @@ def profiles_sql() -> str:
 
 
 @query("gen_profiles", f"""
-    SELECT profile, diagram_type, count(*) AS n, count(DISTINCT target) AS texts, sum(length(target))::BIGINT AS chars,
-      min(target) AS first_text, max(file_name) AS last_name FROM ({profiles_sql()}) GROUP BY 1, 2""")
+    SELECT profile, diagram_type, count(*) AS n, count(DISTINCT md5(target)) AS texts, sum(length(target))::BIGINT AS chars,
+      sum({sql_u32('target')})::BIGINT AS text_sum, sum({sql_u32('file_name')})::BIGINT AS name_sum FROM ({profiles_sql()}) GROUP BY 1, 2""")
 def gen_profiles(spark, sf):
     made = corpus.profiles(docs(spark, sf), "doc_id", 42, dict.fromkeys(corpus.SEED_OFFSETS))
     return made.groupBy("profile", "diagram_type").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("target").alias("texts"), F.sum(F.length("target")).alias("chars"),
-        F.min("target").alias("first_text"), F.max("file_name").alias("last_name"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct(F.md5("target")).alias("texts"), F.sum(F.length("target")).alias("chars"),
+        F.sum(u32(F.col("target"))).alias("text_sum"), F.sum(u32(F.col("file_name"))).alias("name_sum"),
     )
 
 

@@ -9,7 +9,7 @@ from catalog.grammar_sql import u32 as sql_u32
 from catalog.registry import query, table
 from glyphmill.functions.draws import u32
 from glyphmill.operators import bpe, metrics, sequences as seq, splits
-from glyphmill.session import new_path, spread
+from glyphmill.session import materialise, new_path, spread
 
 VOCAB = 320  # tokens; the size is a parameter of training
 
@@ -86,12 +86,13 @@ def tok_save_load(spark, sf):
     SELECT doc_id, pos, coalesce(id, 3)::INTEGER AS id FROM
       (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' '))))::INTEGER AS pos FROM documents) LEFT JOIN v USING (word)""")
 def join_token_ids(spark, sf):
-    """The vocabulary is the 5996 most frequent words: a fixed size, so it is broadcast."""
+    """The vocabulary is the 5996 most frequent words. It is written first, so that its
+    measured size decides whether it is broadcast."""
     words = texts(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(5996)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("ws"))
-    vocab = ranked.select(F.posexplode("ws").alias("i", "w")).select("w.word", (F.col("i") + 4).alias("id"))
-    return words.join(F.broadcast(vocab), "word", "left").select("doc_id", "pos", F.coalesce("id", F.lit(3)).alias("id"))
+    vocab = materialise(ranked.select(F.posexplode("ws").alias("i", "w")).select("w.word", (F.col("i") + 4).alias("id")), "vocab")
+    return words.join(vocab, "word", "left").select("doc_id", "pos", F.coalesce("id", F.lit(3)).alias("id"))
 
 
 # --- sequences ------------------------------------------------------------------------
