@@ -26,3 +26,31 @@ def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.secrets import BASE, secrets, told
+
+    out = secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["strong"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return out.select(
+        "doc_id", *[count(k) for k in BASE], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans")
+    )
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.quality_rules import fit, judged, with_measures, with_votes
+    from glyphmill.session import materialise
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    measured = materialise(with_measures(docs).drop("text"), "quality-measures")
+    out = judged(measured, fit(with_votes(measured)))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
