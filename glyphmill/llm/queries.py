@@ -54,3 +54,19 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
     )
+
+
+@query("op1_style_tree")
+def op1_style_tree(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.style_tree import main_text
+
+    out = main_text(table(spark, sf, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.toxicity import toxicity
+
+    out = toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
