@@ -70,3 +70,10 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
     out = toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("key")
