@@ -1,10 +1,10 @@
 """Operator 10: quality rules as weak supervision.
 
 Every rule votes for or against a document or abstains. Nobody says which rules
-are right, so expectation-maximisation estimates each rule's accuracy and the
-share of good documents from how the votes agree, and a document is kept when
-the posterior probability that it is good reaches one half. A document may fail
-a rule and stay.
+are right, so expectation-maximisation estimates, from how the votes agree, the
+share of good documents and each rule's accuracy on good and on bad ones, how
+often it votes for, against or not at all. A document is kept when the posterior
+probability that it is good reaches one half; it may fail a rule and stay.
 
 The rules need one narrow pass over the texts, in DataFrame functions. What the
 estimate needs is the number of documents with each pattern of votes: grouped
@@ -68,6 +68,9 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": repeated_words(F.col("_words")),
         "n_upper": F.length(whole) - F.length(F.regexp_replace(whole, "[A-Z]", "")),
+        "n_symbol_runs": F.regexp_count(whole, F.lit(SYMBOLS + "+")),
+        "n_kinds": F.size(F.array_distinct("_words")),
+        "n_marks": F.length(whole) - F.length(F.regexp_replace(whole, "[!?]", "")),
         "n_digits": F.length(whole) - F.length(F.regexp_replace(whole, "[0-9]", "")),
     }
     return first.withColumns({k: v.cast("bigint") for k, v in measures.items()}).drop("_words", "_lines")
@@ -78,18 +81,30 @@ RULES = {
     "length": ("n_words >= 30", "n_words < 10"),
     "word_length": ("word_chars between 3 * n_words and 10 * n_words", "word_chars not between 2 * n_words and 15 * n_words"),
     "symbols": ("n_symbols <= 0.02 * n_words", "n_symbols > 0.1 * n_words"),
-    "dup_lines": ("n_dup_lines = 0 and n_lines > 1", "n_dup_lines > 0.3 * n_lines"),
+    "symbol_runs": ("n_symbol_runs <= 0.02 * n_words", "n_symbol_runs > 0.1 * n_words"),
+    "dup_lines": ("n_dup_lines = 0 and n_lines > 1", "n_dup_lines > 0.5 * n_lines"),
     "repeats": ("n_repeat_words <= 0.05 * n_words", "n_repeat_words > 0.2 * n_words"),
+    "variety": ("n_kinds > 0.35 * n_words", "n_words >= 30 and n_kinds < 0.2 * n_words"),
     "capitals": ("n_upper <= 0.15 * word_chars", "n_upper > 0.4 * word_chars"),
-    "digits": ("n_digits <= 0.05 * word_chars", "n_digits > 0.25 * word_chars"),
+    "marks": ("n_marks <= 0.1 * n_words", "n_marks > 0.5 * n_words"),
+    "digits": ("n_digits <= 0.05 * word_chars", "n_digits > 0.5 * word_chars"),
 }
 
 
+VOTES = (1, 0, -1)
+#: Where the estimate starts, and how many documents' worth of votes hold a rule there: shares of the votes
+#: 1, 0 and -1 among good and among bad documents.
+START = ((0.80, 0.17, 0.03), (0.50, 0.15, 0.35))
+STRENGTH = 50.0
+#: A rule is against at most so many good documents and at least so many bad ones; good and bad cannot change places.
+MOST_AGAINST_GOOD, LEAST_AGAINST_BAD = 0.02, 0.05
+
+
 class Accuracies(NamedTuple):
-    """Share of good documents and accuracy per rule, in the order of ``RULES``."""
+    """Share of good documents, and per rule of ``RULES`` the shares of ``VOTES`` among good and bad ones."""
 
     good: float
-    right: tuple[float, ...]
+    rates: tuple[tuple[tuple[float, ...], tuple[float, ...]], ...]
 
 
 def with_votes(df: DataFrame) -> DataFrame:
@@ -98,31 +113,40 @@ def with_votes(df: DataFrame) -> DataFrame:
 
 
 def odds(model: Accuracies, votes) -> float:
-    return log(model.good / (1 - model.good)) + sum(v * log(a / (1 - a)) for v, a in zip(votes, model.right, strict=True))
+    told = (log(good[VOTES.index(v)] / bad[VOTES.index(v)]) for v, (good, bad) in zip(votes, model.rates, strict=True))
+    return log(model.good / (1 - model.good)) + sum(told)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, strength: float = 10.0) -> Accuracies:
-    """Expectation-maximisation over counted vote patterns.
+def bounded(rates: list[float], low: float, high: float) -> tuple[float, ...]:
+    """The rates with the last one, votes against, held within bounds."""
+    against = min(high, max(low, rates[-1]))
+    rest = (1 - against) / max(sum(rates[:-1]), 1e-12)
+    return (*(max(1e-6, r * rest) for r in rates[:-1]), against)
 
-    All rules start 0.8 right; ``strength`` pseudo-votes hold a rule that hardly
-    ever votes at that value. Accuracies stay within 0.55 and 0.99, which keeps
-    the meaning of good and bad from changing places.
-    """
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300) -> Accuracies:
+    """Expectation-maximisation over counted vote patterns."""
     total = sum(n for _, n in patterns)
-    model = Accuracies(0.8, (0.8,) * len(RULES))
+    model = Accuracies(0.85, (START,) * len(RULES))
     for _ in range(rounds if total else 0):
-        good, right, cast = 0.0, [0.8 * strength] * len(RULES), [strength] * len(RULES)
+        sums = [[[STRENGTH * r for r in side] for side in START] for _ in RULES]
+        share = [0.85 * STRENGTH, 0.15 * STRENGTH]
         for votes, n in patterns:
-            p = 1 / (1 + exp(-odds(model, votes)))
-            good += n * p
-            for j, v in enumerate(votes):
-                if v:
-                    cast[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
-        new = Accuracies(
-            min(0.99, max(0.01, good / total)), tuple(min(0.99, max(0.55, r / c)) for r, c in zip(right, cast, strict=True))
+            x = odds(model, votes)
+            good = n / (1 + exp(-x)) if x > -700 else 0.0
+            for side, weight in enumerate((good, n - good)):
+                share[side] += weight
+                for j, v in enumerate(votes):
+                    sums[j][side][VOTES.index(v)] += weight
+        rates = tuple(
+            (
+                bounded([x / sum(good) for x in good], 1e-4, MOST_AGAINST_GOOD),
+                bounded([x / sum(bad) for x in bad], LEAST_AGAINST_BAD, 0.99),
+            )
+            for good, bad in sums
         )
-        still = max(abs(a - b) for a, b in zip((new.good, *new.right), (model.good, *model.right), strict=True)) < 1e-9
+        new = Accuracies(share[0] / sum(share), rates)
+        still = abs(new.good - model.good) < 1e-9
         model = new
         if still:
             break
@@ -138,8 +162,13 @@ def fit(voted: DataFrame) -> Accuracies:
 
 def posterior(model: Accuracies) -> Column:
     """Probability that the document is good, from its vote columns."""
-    weight = (F.col(f"vote_{k}") * F.lit(log(a / (1 - a))) for k, a in zip(RULES, model.right, strict=True))
-    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, weight, F.lit(log(model.good / (1 - model.good))))))
+    def told(name: str, good, bad) -> Column:
+        weights = [F.lit(log(g / b)) for g, b in zip(good, bad, strict=True)]
+        vote = F.col(f"vote_{name}")
+        return F.when(vote == VOTES[0], weights[0]).when(vote == VOTES[1], weights[1]).otherwise(weights[2])
+
+    every = (told(k, *rates) for k, rates in zip(RULES, model.rates, strict=True))
+    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, every, F.lit(log(model.good / (1 - model.good))))))
 
 
 def base_failed() -> Column:

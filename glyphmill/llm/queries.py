@@ -77,3 +77,27 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     from glyphmill.llm.decontaminate import leaks
 
     return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("key")
+
+
+@query("op9_personal_data")
+def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.pii import KINDS, personal, train
+    from glyphmill.llm.secrets import told
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = personal(docs, train(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["base"])
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+@query("op5_site_quality")
+def op5_site_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.site_quality import quality
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    out = quality(docs, table(spark, sf, "labels"))
+    return out.select("doc_id", "held_out", "evidence", "host_posterior", "path_posterior", "score", "kept")

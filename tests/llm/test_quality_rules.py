@@ -4,7 +4,7 @@ import random
 import re
 from math import log
 
-from glyphmill.llm.quality_rules import RULES, WINDOW, estimate, fit, judged, odds, with_measures, with_votes
+from glyphmill.llm.quality_rules import RULES, VOTES, WINDOW, estimate, fit, judged, odds, with_measures, with_votes
 from glyphmill.llm.queries import op10_quality_rules
 
 
@@ -37,24 +37,29 @@ def test_measures(spark):
         assert (*[r[c] for c in names], r.base_failed) == brute(texts[r.doc_id]), texts[r.doc_id]
 
 
-def test_estimate_finds_accuracies():
+def test_estimate_tells_good_from_bad():
     rnd = random.Random(9)
-    right = [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.9]
-    counted = {}
+    rates = [((0.8, 0.19, 0.01), (0.4, 0.2, 0.4)), ((0.6, 0.38, 0.02), (0.1, 0.3, 0.6))] * (len(RULES) // 2)
+    counted, truth = {}, {}
     for _ in range(40_000):
-        y = 1 if rnd.random() < 0.7 else -1
-        votes = tuple(0 if rnd.random() < 0.3 else y if rnd.random() < a else -y for a in right)
+        y = rnd.random() < 0.8
+        votes = tuple(rnd.choices(VOTES, r[0 if y else 1])[0] for r in rates)
         counted[votes] = counted.get(votes, 0) + 1
+        truth.setdefault(votes, []).append(y)
     model = estimate(list(counted.items()))
-    assert abs(model.good - 0.7) < 0.03
-    assert all(abs(a - b) < 0.03 for a, b in zip(model.right, right, strict=True))
+    assert abs(model.good - 0.8) < 0.02
+    for found, given in zip(model.rates, rates, strict=True):
+        assert all(abs(a - b) < 0.03 for f, g in zip(found, given, strict=True) for a, b in zip(f, g, strict=True))
+    right = sum(y == (odds(model, v) > 0) for v, ys in truth.items() for y in ys)
+    assert right > 0.99 * 40_000
 
 
 def test_empty_table_and_all_abstain(spark):
     empty = with_votes(measured(spark, []))
     model = fit(empty)
     assert model == estimate([]) and judged(empty, model).count() == 0
-    assert odds(model, (0,) * len(RULES)) == log(model.good / (1 - model.good))
+    silent = sum(log(good[1] / bad[1]) for good, bad in model.rates)
+    assert abs(odds(model, (0,) * len(RULES)) - log(model.good / (1 - model.good)) - silent) < 1e-9
 
 
 def test_query(spark, sf):
@@ -65,5 +70,6 @@ def test_query(spark, sf):
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(texts[r.doc_id])
         assert not (r.base_failed and r.kept)
+    assert sum(r.kept for r in rows if quality.get(r.doc_id) == 0) < 0.1 * sum(quality.get(r.doc_id) == 0 for r in rows)
     good = [r.kept for r in rows if quality.get(r.doc_id) == 1 and not r.base_failed]
     assert sum(good) > 0.97 * len(good)
