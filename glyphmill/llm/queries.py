@@ -101,3 +101,18 @@ def op5_site_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
     out = quality(docs, table(spark, sf, "labels"))
     return out.select("doc_id", "held_out", "evidence", "host_posterior", "path_posterior", "score", "kept")
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.near_documents import linked
+
+    return linked(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.lines import dedup
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dedup(docs, "n_removed").select("doc_id", "n_removed", F.sha2("text", 256).alias("text_sha256"))
