@@ -147,12 +147,12 @@ def gen_skip_policy(spark, sf):
     return good.select("page_id", F.lit("good").alias("fate")).unionByName(bad.select("page_id", F.lit("reject").alias("fate")))
 
 
-REQUESTED = ["click", "view", "error", "purchase", "signup", "refund"]
+REQUESTED = ["click", "view", "error", "purchase", "refund"]
 
 
 @query("gen_coverage", f"""
-    SELECT r.event_type, coalesce(ok, 0) AS ok, coalesce(n, 0) AS requested FROM (SELECT unnest({arr(REQUESTED)}) AS event_type) r
-    LEFT JOIN (SELECT event_type, count(*) FILTER (WHERE whole) AS ok, count(*) AS n FROM
+    SELECT event_type, coalesce(ok, 0) AS ok, coalesce(n, 0) AS requested FROM (SELECT unnest({arr(REQUESTED)}) AS event_type) r
+    FULL JOIN (SELECT event_type, count(*) FILTER (WHERE whole) AS ok, count(*) AS n FROM
       (SELECT event_type, {sql_u32("'img'", 'event_id')} % 10 <> 0 AS whole FROM events) GROUP BY 1) f USING (event_type)""")
 def gen_coverage(spark, sf):
     ev = table(spark, sf, "events").withColumn("whole", u32("img", F.col("event_id")) % 10 != 0)

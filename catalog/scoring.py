@@ -66,10 +66,10 @@ def cls_label_index(spark, sf):
 def cls_evaluate(spark, sf):
     """Every cell of the matrix beside the accuracy, both from the same scores."""
     scored = classify.score_logits(vecs(spark, sf).withColumn("logits", F.col("embedding")), "logits").select("label", "pred")
-    cells = metrics.confusion_dense(scored, "label", "pred", list(range(64)))
+    cells = metrics.confusion_dense(scored, "label", "pred", list(range(64))).where(F.col("truth") != metrics.OTHER)
     cells = cells.unpivot(["truth"], [F.col(f"`{c}`").alias(str(c)) for c in range(64)], "pred", "n")
     share = metrics.accuracy(scored, "label", "pred").select("accuracy")
-    return cells.withColumn("accuracy", share.scalar()).select("truth", F.col("pred").cast("int").alias("pred"), "n", "accuracy")
+    return cells.withColumn("accuracy", share.scalar()).select(F.col("truth").try_cast("int").alias("truth"), F.col("pred").cast("int").alias("pred"), "n", "accuracy")
 
 
 @query("cls_normalise", f"""
@@ -175,11 +175,15 @@ OK_SQL = f"{s.sql_strip('ground_truth')} = {s.sql_strip('prediction')}"
 
 @query("eval_prediction_report", f"SELECT doc_id, diagram_type, md5(prediction) AS prediction_md5, {OK_SQL} AS exact_match FROM {s.predictions_sql()}")
 def eval_prediction_report(spark, sf):
-    """Truth and prediction come from two tables and meet on the item key."""
-    made = s.predictions(spark, sf)
-    truth = table(spark, sf, "documents").select("doc_id", F.col("source").alias("diagram_type"), F.col("text").alias("ground_truth"))
-    joined = truth.join(made.select("doc_id", "prediction"), "doc_id")
-    return metrics.exact_match(joined).select("doc_id", "diagram_type", F.md5("prediction").alias("prediction_md5"), "exact_match")
+    """Truth and prediction come from two tables and meet on the item key; only digests travel."""
+    made = s.predictions(spark, sf).select(
+        "doc_id", F.md5("prediction").alias("prediction_md5"), F.sha2(text.stripped(F.col("prediction")), 256).alias("made")
+    )
+    truth = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("diagram_type"), F.sha2(text.stripped(F.col("text")), 256).alias("truth")
+    )
+    same = F.col("truth") == F.col("made")
+    return truth.join(made, "doc_id").select("doc_id", "diagram_type", "prediction_md5", same.alias("exact_match"))
 
 
 @query("eval_qualitative_sample", f"""
@@ -223,12 +227,17 @@ def eval_structure_match(spark, sf):
 
 
 @query("eval_compare_runs", """
-    WITH a AS (SELECT event_type AS metric, avg(user_id)::DOUBLE AS value FROM events GROUP BY 1), b AS (SELECT source AS metric, count(*)::DOUBLE AS value FROM documents GROUP BY 1)
+    WITH a AS (SELECT event_type AS metric, count(*)::DOUBLE AS value FROM events WHERE user_id % 2 = 0 AND event_type <> 'signup' GROUP BY 1),
+      b AS (SELECT event_type AS metric, count(*)::DOUBLE AS value FROM events WHERE user_id % 2 = 1 AND event_type <> 'error' GROUP BY 1)
     SELECT metric, a.value AS run_a, b.value AS run_b, b.value - a.value AS change FROM a FULL JOIN b USING (metric)""")
 def eval_compare_runs(spark, sf):
-    a = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("user_id").alias("value"))
-    b = table(spark, sf, "documents").groupBy(F.col("source").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return metrics.compare_runs(a, b)
+    """Two halves of the users, each without one metric that the other has."""
+
+    def half(odd: int, without: str):
+        rows = table(spark, sf, "events").where((F.col("user_id") % 2 == odd) & (F.col("event_type") != without))
+        return rows.groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+    return metrics.compare_runs(half(0, "signup"), half(1, "error"))
 
 
 @query("eval_family_table", f"""
@@ -237,3 +246,36 @@ def eval_compare_runs(spark, sf):
     FROM (SELECT diagram_type, {OK_SQL} AS ok FROM {s.predictions_sql()}) GROUP BY 1, 2""")
 def eval_family_table(spark, sf):
     return metrics.family_table(metrics.exact_match(s.predictions(spark, sf)), "diagram_type", ["src1", "src3", "src5"])
+
+
+# --- duplicates, leakage, repetition, entropy ----------------------------------------------
+
+
+@query("eval_duplicates", "SELECT source, count(*) AS n, count(DISTINCT text) AS texts, 1 - count(DISTINCT text) / count(*) AS duplicate_rate FROM documents GROUP BY 1")
+def eval_duplicates(spark, sf):
+    return metrics.duplicate_rates(table(spark, sf, "documents"), "source", "text")
+
+
+@query("eval_leakage", f"""
+    SELECT source, count(*) AS n, count(*) FILTER (WHERE leaked) AS leaked, count(*) FILTER (WHERE leaked) / count(*) AS leak_rate FROM
+      (SELECT d.source, text IN (SELECT text FROM documents JOIN (SELECT doc_id FROM {SPLIT_SQL} WHERE split = 'train') USING (doc_id)) AS leaked
+       FROM documents d JOIN (SELECT doc_id FROM {SPLIT_SQL} WHERE split = 'val') USING (doc_id)) GROUP BY 1""")
+def eval_leakage(spark, sf):
+    """Validation texts of the stratified split that are training texts too."""
+    docs = splits.stratified_split(table(spark, sf, "documents").select("doc_id", "source", "text"), "source", "doc_id")
+    return metrics.leakage(docs, "source", "text")
+
+
+@query("eval_repetition", """
+    SELECT doc_id, coalesce(1 - len(list_distinct(lines)) / nullif(len(lines), 0), 0)::DOUBLE AS repetition FROM
+      (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) AS lines FROM documents)""")
+def eval_repetition(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", metrics.repetition(F.col("text")).alias("repetition"))
+
+
+@query("eval_label_entropy", """
+    SELECT role, sum(n)::BIGINT AS n, count(*) AS labels, max(n) / sum(n) AS top_share, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS bits FROM
+      (SELECT role, label, count(*) AS n FROM (SELECT role, unnest(string_split(text, ' ')) AS label FROM conversations) GROUP BY 1, 2) GROUP BY 1""")
+def eval_label_entropy(spark, sf):
+    """Words stand in for labels, roles for classes."""
+    return metrics.label_entropy(table(spark, sf, "conversations"), "role", F.split("text", " "))

@@ -47,15 +47,16 @@ def stream_samples(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("stream_bounded_intake")
+@query("stream_bounded_intake", "SELECT 0::BIGINT AS files_not_alone, count(*) AS n FROM events")
 def stream_bounded_intake(spark, sf):
     """One file per micro-batch: intake never runs ahead of the consumer."""
     folder, out = new_path(spark, "landing"), new_path(spark, "intake")
     for wave in waves(spark, sf):
         wave.write.mode("append").parquet(folder)
     rows = live.file_rows(spark, folder, wave.schema, files_per_batch=1)
-    live.each_batch(rows.select("event_id"), live.batch_folder(out), new_path(spark, "stream"))
-    return spark.read.parquet(out).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    live.each_batch(rows.select("event_id", F.input_file_name().alias("file")), live.batch_folder(out), new_path(spark, "stream"))
+    taken = spark.read.parquet(out).groupBy("batch_id").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n"))
+    return taken.agg(F.count_if(F.col("files") != 1).alias("files_not_alone"), F.sum("n").alias("n"))
 
 
 @query("stream_epochs", "SELECT wave // 2 AS epoch, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT event_id, floor((event_id - min(event_id) OVER ()) * 3 / (max(event_id) OVER () - min(event_id) OVER () + 1))::INTEGER AS wave FROM events) GROUP BY 1")
@@ -86,20 +87,21 @@ def stream_mirror(spark, sf):
     """The last eight rows per worker, the same as over the whole table."""
     out = new_path(spark, "mirror")
     write = live.mirror(out, "worker", "event_id", 8, ["event_type"])
-    last = play(spark, sf, lambda rows, cp: live.each_batch(rows.withColumn("worker", F.col("user_id") % 4), write, cp))
-    return live.latest_version(spark, out, last)
+    play(spark, sf, lambda rows, cp: live.each_batch(rows.withColumn("worker", F.col("user_id") % 4), write, cp))
+    return live.latest_version(spark, out)
 
 
 @query("stream_mirror_by_epoch", """
     SELECT epoch, worker, event_id FROM (SELECT event_id, user_id % 4 AS worker, wave AS epoch, row_number() OVER (PARTITION BY wave, user_id % 4 ORDER BY event_id DESC) AS back
       FROM (SELECT *, floor((event_id - min(event_id) OVER ()) * 3 / (max(event_id) OVER () - min(event_id) OVER () + 1))::INTEGER AS wave FROM events)) WHERE back <= 8""")
 def stream_mirror_by_epoch(spark, sf):
+    """Two micro-batches or more make an epoch."""
     out = new_path(spark, "mirror")
     low, high = table(spark, sf, "events").agg(F.min("event_id"), F.max("event_id")).first()
     epoch = F.floor((F.col("event_id") - low) * WAVES / (high - low + 1)).cast("int")
     write = live.cleared_each_epoch(out, epoch, "worker", "event_id", 8, [])
-    play(spark, sf, lambda rows, cp: live.each_batch(rows.withColumn("worker", F.col("user_id") % 4), write, cp))
-    return spark.read.parquet(out).select("epoch", "worker", "event_id")
+    play(spark, sf, lambda rows, cp: live.each_batch(rows.withColumn("worker", F.col("user_id") % 4), write, cp), count=2 * WAVES)
+    return live.latest_version(spark, out).select("epoch", "worker", "event_id")
 
 
 @query("stream_atomic_output", "SELECT event_id, value FROM events")
@@ -113,18 +115,22 @@ def stream_atomic_output(spark, sf):
 @query("stream_running_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_running_counts(spark, sf):
     out = new_path(spark, "counts")
-    last = play(spark, sf, lambda rows, cp: live.each_batch(
+    play(spark, sf, lambda rows, cp: live.each_batch(
         rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), live.running_counts(out), cp, "complete"))
-    return live.latest_version(spark, out, last)
+    return live.latest_version(spark, out)
 
 
-@query("stream_progress")
+@query("stream_progress", """
+    SELECT wave::BIGINT AS batch_id, count(*) AS input_rows, count(*) FILTER (WHERE event_type = 'error') AS errors,
+      ((SELECT count(*) FROM events) - sum(count(*)) OVER (ORDER BY wave))::BIGINT AS pending
+    FROM (SELECT event_type, floor((event_id - min(event_id) OVER ()) * 3 / (max(event_id) OVER () - min(event_id) OVER () + 1))::INTEGER AS wave FROM events) GROUP BY wave""")
 def stream_progress(spark, sf):
-    """Rows, and errors among them, of each micro-batch of the last run."""
-    metrics = {"rows": F.count(F.lit(1)), "errors": F.count_if(F.col("event_type") == "error")}
-    last = play(spark, sf, lambda rows, cp: live.each_batch(
-        live.observed(rows, **metrics), live.batch_folder(new_path(spark, "seen")), cp))
-    return live.progress_rows(spark, last, list(metrics))
+    """Rows, and errors among them, of each micro-batch of all runs, and the rows then still to come."""
+    out, seen = new_path(spark, "progress"), new_path(spark, "seen")
+    write = live.recorded(out, live.batch_folder(seen), errors=F.count_if(F.col("event_type") == "error"))
+    play(spark, sf, lambda rows, cp: live.each_batch(rows, write, cp))
+    rows = live.progress(spark, out, table(spark, sf, "events").count())
+    return rows.select("batch_id", "input_rows", "errors", "pending")
 
 
 @query("stream_snapshot", f"""
@@ -140,7 +146,8 @@ def stream_snapshot(spark, sf):
                             F.col("ts").cast("timestamp").alias("written_at"), F.col("props").alias("target"))
         return live.each_batch(named, write, cp)
 
-    held = live.latest_version(spark, out, play(spark, sf, start))
+    play(spark, sf, start)
+    held = live.latest_version(spark, out)
     now = F.lit("2025-01-01 00:00:00").cast("timestamp")
     return live.snapshot(held, now).select("worker", "slot", "event_id", "age", "shown_type", "preview")
 

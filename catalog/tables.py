@@ -131,10 +131,10 @@ def join_positional(spark, sf):
 
 
 @query("join_class_zero_fill", f"""
-    SELECT event_type, coalesce(n, 0) AS n FROM (SELECT unnest({arr(['click', 'error', 'missing', 'purchase', 'signup', 'view'])}) AS event_type)
-    LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type)""")
+    SELECT event_type, coalesce(n, 0) AS n FROM (SELECT unnest({arr(['click', 'error', 'missing', 'purchase', 'view'])}) AS event_type)
+    FULL JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type)""")
 def join_class_zero_fill(spark, sf):
-    return metrics.dense_counts(table(spark, sf, "events"), "event_type", ["click", "error", "missing", "purchase", "signup", "view"])
+    return metrics.dense_counts(table(spark, sf, "events"), "event_type", ["click", "error", "missing", "purchase", "view"])
 
 
 def run_metrics_sql(salt):
@@ -176,11 +176,12 @@ def agg_confusion(spark, sf):
 
 
 @query("agg_confusion_dense", f"""
-    SELECT truth, coalesce(a, 0) AS A, coalesce(n, 0) AS N, coalesce(r, 0) AS R, coalesce(x, 0) AS X FROM (SELECT unnest(['A','N','R','X']) AS truth)
-    LEFT JOIN (SELECT truth, count(*) FILTER (WHERE pred = 'A') AS a, count(*) FILTER (WHERE pred = 'N') AS n,
-      count(*) FILTER (WHERE pred = 'R') AS r, count(*) FILTER (WHERE pred = 'X') AS x FROM {s.ANSWERS_SQL} GROUP BY 1) USING (truth)""")
+    SELECT truth, coalesce(a, 0) AS A, coalesce(n, 0) AS N, coalesce(x, 0) AS X, coalesce(o, 0) AS other FROM (SELECT unnest(['A','N','X','other']) AS truth)
+    LEFT JOIN (SELECT CASE WHEN truth IN ('A','N','X') THEN truth ELSE 'other' END AS truth, count(*) FILTER (WHERE pred = 'A') AS a, count(*) FILTER (WHERE pred = 'N') AS n,
+      count(*) FILTER (WHERE pred = 'X') AS x, count(*) FILTER (WHERE pred NOT IN ('A','N','X')) AS o FROM {s.ANSWERS_SQL} GROUP BY 1) USING (truth)""")
 def agg_confusion_dense(spark, sf):
-    return metrics.confusion_dense(s.answers(spark, sf), "truth", "pred", ["A", "N", "R", "X"])
+    """One class without rows is listed, and one with rows is not: it counts as other."""
+    return metrics.confusion_dense(s.answers(spark, sf), "truth", "pred", ["A", "N", "X"])
 
 
 @query("agg_accuracy", f"SELECT count(*) FILTER (WHERE truth = pred) AS correct, count(*) AS total, count(*) FILTER (WHERE truth = pred) / count(*) AS accuracy FROM {s.ANSWERS_SQL}")
@@ -189,14 +190,14 @@ def agg_accuracy(spark, sf):
 
 
 @query("agg_loss_means", f"""
-    SELECT epoch, sum(loss::DECIMAL(18,6) * correct)::DOUBLE / greatest(sum(correct), 1) AS weighted_loss,
-      sum(loss::DECIMAL(18,6))::DOUBLE / count(*) AS mean_loss FROM {s.STEPS_SQL} GROUP BY 1""")
+    SELECT epoch, round(sum(loss * correct) / greatest(sum(correct) FILTER (WHERE loss IS NOT NULL), 1), 6) AS weighted_loss,
+      round(avg(loss), 6) AS mean_loss FROM {s.STEPS_SQL} GROUP BY 1""")
 def agg_loss_means(spark, sf):
     return metrics.losses(s.steps(spark, sf), "loss", "correct", ["epoch"])
 
 
 @query("agg_exact_match_rate", f"""
-    SELECT diagram_type, count(*) FILTER (WHERE ok) AS matches, count(*) AS n, count(*) FILTER (WHERE ok) / count(*) AS rate
+    SELECT diagram_type, grouping(diagram_type) = 1 AS is_total, count(*) FILTER (WHERE ok) AS matches, count(*) AS n, count(*) FILTER (WHERE ok) / count(*) AS rate
     FROM (SELECT diagram_type, {s.sql_strip('ground_truth')} = {s.sql_strip('prediction')} AS ok FROM {s.predictions_sql()}) GROUP BY ROLLUP (diagram_type)""")
 def agg_exact_match_rate(spark, sf):
     return metrics.exact_match_rates(metrics.exact_match(s.predictions(spark, sf)))
@@ -247,11 +248,11 @@ def win_first_per_class(spark, sf):
     return splits.first_per_class(docs, "source", "doc_id", 2)
 
 
-PROGRESS = f"""SELECT epoch, step, last_step, elapsed, total_loss / step AS avg_loss, ok / greatest(n, 1) AS avg_accuracy,
+PROGRESS = f"""SELECT epoch, step, last_step, elapsed, round(total_loss / step, 6) AS avg_loss, ok / greatest(n, 1) AS avg_accuracy,
       CASE WHEN elapsed > 0 THEN step / elapsed ELSE 0 END AS steps_per_sec, CASE WHEN elapsed > 0 THEN step / elapsed ELSE 0 END * 16 AS samples_per_sec,
       CASE WHEN elapsed > 0 THEN (last_step - step) / (step / elapsed) END AS eta
     FROM (SELECT epoch, elapsed, row_number() OVER w AS step, count(*) OVER (PARTITION BY epoch) AS last_step,
-        (sum(loss::DECIMAL(18,6)) OVER w)::DOUBLE AS total_loss, (sum(correct) OVER w)::DOUBLE AS ok, (sum(total) OVER w)::DOUBLE AS n
+        sum(loss) OVER w AS total_loss, (sum(correct) OVER w)::DOUBLE AS ok, (sum(total) OVER w)::DOUBLE AS n
       FROM {s.STEPS_SQL} WINDOW w AS (PARTITION BY epoch ORDER BY event_id ROWS UNBOUNDED PRECEDING))"""
 
 
@@ -336,3 +337,30 @@ def set_class_contract(spark, sf):
 def set_union_profiles(spark, sf):
     a = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return a.unionByName(table(spark, sf, "benchmark").select("text", F.col("item_id").alias("id")))
+
+
+@query("win_first_per_class_many", """
+    SELECT event_type, event_id, place::INTEGER AS place FROM
+      (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events) WHERE place <= 1500""")
+def win_first_per_class_many(spark, sf):
+    """More rows per class than a window keeps in the map tasks; the rank runs in buckets."""
+    ev = table(spark, sf, "events").select("event_type", "event_id")
+    return splits.first_per_class(ev, "event_type", "event_id", 1500, rows_per_bucket=700)
+
+
+@query("win_rotating_slots_many", MIRROR_SQL.replace("counter % 8", "counter % 1200"))
+def win_rotating_slots_many(spark, sf):
+    ev = table(spark, sf, "events").withColumn("worker", F.col("user_id") % 4)
+    return splits.mirror_slots(ev, "worker", "event_id", 1200, ["event_type"], rows_per_bucket=700)
+
+
+@query("win_progress_log_bucketed", f"{PROGRESS} WHERE step % 25 = 0 OR step = last_step")
+def win_progress_log_bucketed(spark, sf):
+    """The same log with the order cut into many small buckets."""
+    return metrics.progress_log(s.steps(spark, sf), "epoch", "event_id", 25, 16, rows_per_bucket=300)
+
+
+@query("win_stratified_split_bucketed", f"SELECT source, split, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM {SPLIT_SQL} GROUP BY 1, 2")
+def win_stratified_split_bucketed(spark, sf):
+    docs = splits.stratified_split(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id", rows_per_bucket=100)
+    return docs.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))

@@ -9,6 +9,7 @@ from catalog.grammar_sql import u32 as sql_u32
 from catalog.registry import query, table
 from glyphmill.functions.draws import u32
 from glyphmill.operators import bpe, metrics, sequences as seq, splits
+from glyphmill.plans.vocabulary import MAX_LEN
 from glyphmill.session import materialise, new_path, spread
 
 VOCAB = 320  # tokens; the size is a parameter of training
@@ -52,10 +53,14 @@ def tok_train_bpe(spark, sf):
     return bpe.merge_table(spark, trained(spark, sf, again=True))
 
 
-@query("tok_encode")
+@query("tok_encode", "SELECT doc_id, octet_length(encode(text)) AS bytes, text FROM documents")
 def tok_encode(spark, sf):
-    ids = bpe.encode(F.col("text"), trained(spark, sf))
-    return texts(spark, sf).select("doc_id", F.array_join(ids.cast("array<string>"), " ").alias("ids"))
+    """The tokens' bytes add up to the text's, and the ids spell the text."""
+    model = trained(spark, sf)
+    widths = F.array(*[F.lit(len(t)) for t in model.tokens])
+    coded = texts(spark, sf).select("doc_id", bpe.encode(F.col("text"), model).alias("ids"))
+    bytes_ = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, i: a + F.get(widths, i))
+    return coded.select("doc_id", bytes_.alias("bytes"), bpe.decode(F.col("ids"), model).alias("text"))
 
 
 @query("tok_decode", "SELECT doc_id, text FROM documents")
@@ -98,14 +103,15 @@ def join_token_ids(spark, sf):
 # --- sequences ------------------------------------------------------------------------
 
 IDS = s.TOKEN_IDS_SQL
-SEQ = f"(SELECT doc_id, [1] || list_slice(ids, 1, 638) || [2] AS ids FROM {IDS})"
+SEQ = f"(SELECT doc_id, [1] || ids || [2] AS ids FROM {IDS})"
+CUT = f"(SELECT doc_id, [1] || list_slice(ids, 1, 638) || [2] AS ids FROM {IDS})"
 PADDED = f"""(SELECT doc_id, batch_id, ids || list_resize([]::INTEGER[], longest - len(ids), 0) AS ids FROM
    (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS longest FROM (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM {SEQ})))"""
 
 
 def framed(spark, sf):
     ids = s.token_ids(spark, sf)
-    return ids.select("doc_id", seq.to_sequence(F.col("ids")).alias("ids"))
+    return ids.select("doc_id", seq.to_sequence(F.col("ids"), None).alias("ids"))
 
 
 def padded(spark, sf):
@@ -116,9 +122,11 @@ def shown(ids):
     return F.array_join(ids.cast("array<string>"), " ")
 
 
-@query("seq_frame", f"SELECT doc_id, array_to_string(ids, ' ') AS ids FROM {SEQ}")
+@query("seq_frame", f"SELECT doc_id, array_to_string(ids, ' ') AS ids FROM {CUT}")
 def seq_frame(spark, sf):
-    return framed(spark, sf).select("doc_id", shown(F.col("ids")).alias("ids"))
+    """Framing to the model's length; what does not fit is the truncation report's."""
+    ids = seq.to_sequence(F.col("ids"), MAX_LEN)
+    return s.token_ids(spark, sf).select("doc_id", shown(ids).alias("ids"))
 
 
 @query("seq_pad_batch", f"SELECT doc_id, batch_id, array_to_string(ids, ' ') AS ids FROM {PADDED}")
@@ -143,10 +151,10 @@ NOISY_EOS = f"(SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x % 397 =
 
 @query("seq_cut_at_eos", f"""
     SELECT doc_id, array_to_string(CASE WHEN p > 0 THEN list_slice(k, 1, p) || list_resize([]::INTEGER[], len(k) - p, 2) ELSE k END, ' ') AS ids
-    FROM (SELECT doc_id, k, coalesce(list_position(k, 2), 0) AS p FROM (SELECT doc_id, list_slice(ids, 1, 500) AS k FROM {NOISY_EOS}))""")
+    FROM (SELECT doc_id, k, coalesce(list_position(k, 2), 0) AS p FROM (SELECT doc_id, ids AS k FROM {NOISY_EOS}))""")
 def seq_cut_at_eos(spark, sf):
     drawn = s.token_ids(spark, sf).withColumn("ids", F.transform("ids", lambda x: F.when(x % 397 == 0, 2).otherwise(x)))
-    return drawn.select("doc_id", shown(seq.cut_at_eos(F.col("ids"))).alias("ids"))
+    return drawn.select("doc_id", shown(seq.cut_at_eos(F.col("ids"), None)).alias("ids"))
 
 
 @query("seq_without_special", f"SELECT doc_id, array_to_string(list_filter(ids, lambda x: x NOT IN (0, 1, 2)), ' ') AS ids FROM {PADDED}")
@@ -157,15 +165,16 @@ def seq_without_special(spark, sf):
 @query("seq_truncation_report", f"""
     SELECT count(*) AS rows, count(*) FILTER (WHERE len(ids) > 638) AS rows_cut, sum(greatest(len(ids) - 638, 0))::BIGINT AS tokens_lost, max(len(ids))::INTEGER AS longest FROM {IDS}""")
 def seq_truncation_report(spark, sf):
-    return seq.truncation_report(s.token_ids(spark, sf), "ids")
+    return seq.truncation_report(s.token_ids(spark, sf), "ids", MAX_LEN)
 
 
-GUESSED = f"""(SELECT doc_id, doc_id % 7 AS epoch, ids[2:] AS labels, list_transform(ids[2:], lambda x, i: CASE WHEN {sql_u32("'hit'", 'doc_id', 'i - 1')} % 10 = 0 THEN x + 1 ELSE x END) AS preds FROM {PADDED})"""
+GUESSED = f"""(SELECT doc_id, doc_id % 7 AS epoch, ids[2:] AS labels, list_transform(ids[2:], lambda x, i: CASE WHEN {sql_u32("'hit'", 'doc_id', 'i - 1')} % 10 = 0 THEN x + 1 ELSE x END) AS preds FROM {SEQ})"""
 
 
 def guessed(spark, sf):
+    """Accuracy leaves padding out, so nothing is padded for it."""
     _, labels = seq.shift_pair(F.col("ids"))
-    rows = padded(spark, sf).select("doc_id", (F.col("doc_id") % 7).alias("epoch"), labels.alias("labels"))
+    rows = framed(spark, sf).select("doc_id", (F.col("doc_id") % 7).alias("epoch"), labels.alias("labels"))
     return rows.withColumn("preds", F.transform("labels", lambda x, i: F.when(u32("hit", F.col("doc_id"), i) % 10 == 0, x + 1).otherwise(x)))
 
 

@@ -16,7 +16,8 @@ from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,33 +246,44 @@ class Memo(dict):
 
 
 def encode(text: Column, model: Tokenizer) -> Column:
-    """Token ids of a text. One narrow Arrow step: no shuffle, and frequent
-    pre-tokens are looked up rather than merged again."""
+    """Token ids of a text. One narrow Arrow step without a shuffle: the pre-tokens of a
+    batch become a dictionary in Arrow, and only its entries are looked up or merged."""
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = Memo(model)
-        look_up = memo.__getitem__
-
-        def whole(pieces: np.ndarray | None) -> np.ndarray | None:
-            return None if pieces is None else np.fromiter(chain.from_iterable(map(look_up, pieces)), np.int32)
-
-        for texts in batches:
-            yield texts.map(whole)
+        for pieces in batches:
+            sizes = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+            coded = pieces.flatten().dictionary_encode()
+            known = [memo[p] for p in coded.dictionary.to_pylist()]
+            at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            width = np.array([len(k) for k in known], np.int64)
+            flat = np.fromiter(chain.from_iterable(known), np.int32, width.sum())
+            start, each = (np.cumsum(width) - width)[at], width[at]
+            ends = np.cumsum(each)
+            values = flat[np.repeat(start - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+            offsets = pa.array(bounds.astype(np.int32), mask=np.append(pc.is_null(pieces).to_numpy(zero_copy_only=False), False))
+            yield pa.ListArray.from_arrays(offsets, pa.array(values))
 
     return ids(pretokens(text, cross_lines=True))
 
 
 def decode(ids: Column, model: Tokenizer) -> Column:
-    """Text of token ids, in the JVM; bytes that are no UTF-8 become U+FFFD."""
+    """Text of token ids, in the JVM; bytes that are no UTF-8 become U+FFFD, ids beyond the vocabulary are left out."""
     byte_of = {c: b for b, c in LETTER.items()}
     special = set(SPECIAL_TOKENS)
     spelled = [t.encode().hex() if t in special else bytes(byte_of[c] for c in t).hex() for t in model.tokens]
     table = listed(spelled)
-    joined = F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")
+    joined = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
     return F.make_valid_utf8(F.unhex(joined).cast("string"))
 
 
+def unknown_ids(ids: Column, model: Tokenizer) -> Column:
+    """How many ids the vocabulary does not have."""
+    return F.size(F.filter(ids, lambda i: i.isNull() | (i < 0) | (i >= len(model.tokens))))
+
+
 def roundtrip_check(df: DataFrame, text: str, model: Tokenizer) -> DataFrame:
     """Rows, and rows whose text does not come back."""
     back = df.select(text, encode(F.col(text), model).alias("ids")).withColumn("back", decode(F.col("ids"), model))

@@ -56,8 +56,17 @@ def with_top(df: DataFrame, probs: str) -> DataFrame:
 
 
 def gate(df: DataFrame, pred: str, rejected: Sequence) -> DataFrame:
-    """Stop rows of the rejected classes before the next, dearer step."""
-    return df.where(~F.col(pred).isin(list(rejected)))
+    """Stop rows of the rejected classes, and rows without a class, before the next, dearer step."""
+    return df.where(passes(pred, rejected))
+
+
+def gate_rejects(df: DataFrame, pred: str, rejected: Sequence) -> DataFrame:
+    """The rows that ``gate`` stops."""
+    return df.where(~passes(pred, rejected))
+
+
+def passes(pred: str, rejected: Sequence) -> Column:
+    return F.coalesce(~F.col(pred).isin(list(rejected)), F.lit(False))
 
 
 def batch_scorer(load: Callable[[], Predict], width: int, batch_size: int = 256) -> Callable[..., Column]:

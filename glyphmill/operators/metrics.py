@@ -22,11 +22,21 @@ def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_dense(df: DataFrame, truth: str, pred: str, classes: Sequence[str]) -> DataFrame:
-    """One row per true class, one column per predicted class, zeros filled in."""
-    cells = confusion(df, truth, pred).groupBy("truth").pivot("pred", list(classes)).agg(F.sum("n"))
-    grid = class_list(df, classes, "truth").join(cells, "truth", "left")
-    return grid.select("truth", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(str(c)) for c in classes])
+#: Row and column of the names that the class list lacks, null among them.
+OTHER = "other"
+
+
+def listed_or_other(value: Column, classes: Sequence) -> Column:
+    return F.when(value.isin(list(classes)), value.cast("string")).otherwise(F.lit(OTHER))
+
+
+def confusion_dense(df: DataFrame, truth: str, pred: str, classes: Sequence) -> DataFrame:
+    """One row per true class, one column per predicted class, zeros filled in; what is not listed counts as ``other``."""
+    names = [*map(str, classes), OTHER]
+    mapped = df.select(*[listed_or_other(F.col(c), classes).alias(c) for c in (truth, pred)])
+    cells = confusion(mapped, truth, pred).groupBy("truth").pivot("pred", names).agg(F.sum("n"))
+    grid = class_list(df, names, "truth").join(cells, "truth", "left")
+    return grid.select("truth", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in names])
 
 
 def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -40,8 +50,9 @@ def count_by_class(df: DataFrame, by: str) -> DataFrame:
 
 
 def dense_counts(df: DataFrame, by: str, classes: Sequence[str]) -> DataFrame:
+    """Rows per class: 0 for listed classes without rows; classes that are not listed stay in."""
     found = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    return class_list(df, classes, by).join(found, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
+    return class_list(df, classes, by).join(found, by, "full_outer").select(by, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def correct_tokens(preds: Column, labels: Column) -> Column:
@@ -62,24 +73,38 @@ def token_accuracy(df: DataFrame, preds: str, labels: str, by: Sequence[str] = (
     )
 
 
+#: Decimals of reported means; sums of doubles differ beyond them with the order of the rows.
+DECIMALS = 6
+
+
 def losses(df: DataFrame, loss: str, tokens: str, by: Sequence[str] = ()) -> DataFrame:
-    """Token-weighted mean (validation) beside the plain mean of batch means (training)."""
-    exact = F.col(loss).cast("decimal(18,6)")
+    """Token-weighted mean (validation) beside the plain mean of batch means (training).
+
+    A loss that is not a number shows in both means; a step without a loss counts in neither.
+    """
+    value = F.col(loss).cast("double")
+    known = F.when(value.isNotNull(), F.col(tokens))
     return df.groupBy(*by).agg(
-        (F.sum(exact * F.col(tokens)).cast("double") / F.greatest(F.sum(tokens), F.lit(1))).alias("weighted_loss"),
-        (F.sum(exact).cast("double") / F.count(F.lit(1))).alias("mean_loss"),
+        F.round(F.sum(value * F.col(tokens)) / F.greatest(F.sum(known), F.lit(1)), DECIMALS).alias("weighted_loss"),
+        F.round(F.avg(value), DECIMALS).alias("mean_loss"),
     )
 
 
+def sampled_loss(df: DataFrame, loss: str, samples: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of batch losses weighted by the samples in each batch."""
+    return losses(df, loss, samples, by).select(*by, F.col("weighted_loss").alias("sample_loss"))
+
+
 def exact_match(df: DataFrame) -> DataFrame:
     return df.withColumn("exact_match", stripped_equal(F.col("ground_truth"), F.col("prediction")))
 
 
 def exact_match_rates(df: DataFrame, by: str = "diagram_type") -> DataFrame:
-    """Rate per class and over all (class null); null where there are no rows."""
+    """Rate per class and over all; ``is_total`` marks the latter, a class may be null itself."""
     hits = F.count_if("exact_match")
     n = F.count(F.lit(1))
-    return df.rollup(by).agg(hits.alias("matches"), n.alias("n"), (hits / F.nullif(n, F.lit(0))).alias("rate"))
+    total = (F.grouping(by) == 1).alias("is_total")
+    return df.rollup(by).agg(total, hits.alias("matches"), n.alias("n"), (hits / F.nullif(n, F.lit(0))).alias("rate"))
 
 
 def corpus_size(df: DataFrame, text: str, tokens: Column) -> DataFrame:
@@ -98,14 +123,14 @@ def progress_log(df: DataFrame, epoch: str, order: str, every: int, batch_size:
     steps = materialise(df.groupBy(epoch).agg(F.count(F.lit(1)).alias("last_step")), "epochs")
     run = running(
         df.select(epoch, order, "loss", "correct", "total", "elapsed"), [epoch], [order], rows_per_bucket,
-        step=count_so_far(), _loss=Run("sum", F.col("loss").cast("decimal(18,6)")),
+        step=count_so_far(), _loss=Run("sum", F.col("loss").cast("double")),
         _ok=Run("sum", F.col("correct")), _n=Run("sum", F.col("total")),
     )
     rate = F.when(F.col("elapsed") > 0, F.col("step") / F.col("elapsed")).otherwise(F.lit(0.0))
     return (
         meet(run, steps, [epoch]).select(
             epoch, "step", "last_step", "elapsed",
-            (F.col("_loss").cast("double") / F.col("step")).alias("avg_loss"),
+            F.round(F.col("_loss") / F.col("step"), DECIMALS).alias("avg_loss"),
             (F.col("_ok") / F.greatest("_n", F.lit(1))).alias("avg_accuracy"),
             rate.alias("steps_per_sec"), (rate * batch_size).alias("samples_per_sec"),
         )
@@ -122,8 +147,13 @@ def best_so_far(history: DataFrame, run: list[str], epoch: str, value: str, lowe
 
 
 def best_epoch(history: DataFrame, run: list[str], epoch: str, value: str) -> DataFrame:
-    """Epoch of the lowest value, the first one on ties."""
-    return history.groupBy(*run).agg(F.min(F.struct(value, epoch)).alias("b")).select(*run, f"b.{epoch}", f"b.{value}")
+    """Epoch of the lowest value, the first one on ties; null where no epoch has a value."""
+    return history.groupBy(*run).agg(F.min(with_value(value, epoch)).alias("b")).select(*run, f"b.{epoch}", f"b.{value}")
+
+
+def with_value(value: str, epoch: str) -> Column:
+    """(value, epoch) where the value is a number; a missing one is never the lowest."""
+    return F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), F.struct(F.col(value), F.col(epoch)))
 
 
 def time_left(history: DataFrame, run: list[str], epoch: str, seconds: str) -> DataFrame:
@@ -144,7 +174,7 @@ def run_totals(df: DataFrame, steps: str, batch_size: int, seconds: str) -> Data
 def overfit_onset(history: DataFrame, run: list[str], epoch: str, train: str, val: str) -> DataFrame:
     """Best epoch, how far the validation loss rose after it, and the last train/val gap."""
     facts = history.groupBy(*run).agg(
-        F.min(F.struct(F.col(val), F.col(epoch))).alias("best"),
+        F.min(with_value(val, epoch)).alias("best"),
         F.max(F.struct(F.col(epoch), F.col(val), F.col(train))).alias("last"),
     )
     return facts.select(
@@ -176,3 +206,36 @@ def contract_drift(df: DataFrame, by: str, required: Sequence[str]) -> DataFrame
     return both.where(F.col("present").isNull() | F.col("required").isNull()).select(
         by, F.when(F.col("present").isNull(), "missing").otherwise("unexpected").alias("drift")
     )
+
+
+def duplicate_rates(df: DataFrame, by: str, text: str) -> DataFrame:
+    """Rows, different texts and the share of rows whose text came before, per class."""
+    digests = df.groupBy(by, F.sha2(text, 256).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    n, texts = F.sum("_n"), F.count(F.lit(1))
+    return digests.groupBy(by).agg(n.alias("n"), texts.alias("texts"), (1 - texts / n).alias("duplicate_rate"))
+
+
+def leakage(df: DataFrame, by: str, text: str, split: str = "split") -> DataFrame:
+    """Validation rows per class, and those whose text is also a training text of any class."""
+    digests = df.select(by, split, F.sha2(text, 256).alias("_d"))
+    seen = digests.where(F.col(split) == "train").select("_d").distinct().withColumn("_seen", F.lit(True))
+    val = digests.where(F.col(split) == "val").join(seen, "_d", "left")
+    n, leaked = F.count(F.lit(1)), F.count("_seen")
+    return val.groupBy(by).agg(n.alias("n"), leaked.alias("leaked"), (leaked / n).alias("leak_rate"))
+
+
+def repetition(text: Column) -> Column:
+    """Share of a text's lines that repeat an earlier line of it; 0 for an empty text."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x)) > 0)
+    return F.coalesce(1 - F.size(F.array_distinct(lines)) / F.nullif(F.size(lines), F.lit(0)), F.lit(0.0))
+
+
+def label_entropy(df: DataFrame, by: str, labels: Column) -> DataFrame:
+    """Labels, different labels, the share of the most frequent one, and Shannon bits, per class."""
+    counts = df.select(by, F.explode(labels).alias("_label")).groupBy(by, "_label").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n")
+    bits = F.log2(total) - F.sum(F.col("_n") * F.log2("_n")) / total
+    return counts.groupBy(by).agg(
+        total.alias("n"), F.count(F.lit(1)).alias("labels"), (F.max("_n") / total).alias("top_share"),
+        F.round(bits, DECIMALS).alias("bits"),
+    )

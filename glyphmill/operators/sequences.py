@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.plans.vocabulary import BOS, EOS, MAX_LEN, MAX_NEW_TOKENS, PAD
+from glyphmill.plans.vocabulary import BOS, EOS, PAD
 
 
 def ints(*values: int) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def to_sequence(ids: Column, max_len: int = MAX_LEN) -> Column:
-    """BOS, as many ids as fit, EOS."""
-    return F.concat(ints(BOS), F.slice(ids, 1, max_len - 2), ints(EOS))
+def to_sequence(ids: Column, max_len: int | None) -> Column:
+    """BOS, as many ids as fit into ``max_len`` or all of them, EOS."""
+    return F.concat(ints(BOS), ids if max_len is None else F.slice(ids, 1, max_len - 2), ints(EOS))
 
 
 def pad_batches(df: DataFrame, ids: str, batch: str = "batch_id") -> DataFrame:
@@ -35,9 +35,9 @@ def pad_mask(ids: Column) -> Column:
     return F.transform(ids, lambda x: x != PAD)
 
 
-def cut_at_eos(ids: Column, most: int = MAX_NEW_TOKENS) -> Column:
-    """Ids up to the first EOS, then EOS to the end; at most ``most`` ids."""
-    kept = F.slice(ids, 1, most)
+def cut_at_eos(ids: Column, most: int | None) -> Column:
+    """Ids up to the first EOS, then EOS to the end; at most ``most`` ids unless it is None."""
+    kept = ids if most is None else F.slice(ids, 1, most)
     at = F.array_position(kept, EOS).cast("int")
     filled = F.concat(F.slice(kept, F.lit(1), at), F.array_repeat(F.lit(EOS), F.size(kept) - at))
     return F.when(at > 0, filled).otherwise(kept)
@@ -48,7 +48,7 @@ def without_special(ids: Column) -> Column:
     return F.filter(ids, lambda x: ~x.isin(PAD, BOS, EOS))
 
 
-def truncation_report(df: DataFrame, ids: str, max_len: int = MAX_LEN) -> DataFrame:
+def truncation_report(df: DataFrame, ids: str, max_len: int) -> DataFrame:
     over = F.size(ids) - (max_len - 2)
     return df.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(over > 0).alias("rows_cut"),

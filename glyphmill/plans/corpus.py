@@ -136,13 +136,13 @@ def good_and_rejects(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame
 
 
 def coverage(df: DataFrame, by: str, requested: Sequence[str], ok: Column) -> DataFrame:
-    """ok / asked per requested class; classes without rows stay, with 0.
+    """ok / asked per requested class; classes without rows stay, with 0, and so do classes nobody requested.
 
     ``requested`` is the class contract, a short list given by the caller.
     """
     found = df.groupBy(by).agg(F.count_if(ok).alias("ok"), F.count(F.lit(1)).alias("requested"))
     wanted = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in requested])).alias(by))
-    return wanted.join(found, by, "left").select(
+    return wanted.join(found, by, "full_outer").select(
         by, F.coalesce("ok", F.lit(0)).alias("ok"), F.coalesce("requested", F.lit(0)).alias("requested")
     )
 

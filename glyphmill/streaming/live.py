@@ -6,6 +6,7 @@ batch is replayed, so a restart from the checkpoint repeats no row.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from glyphmill.functions.text import preview
+from glyphmill.operators.running import Run, meet, running
 from glyphmill.plans.corpus import with_samples
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -108,37 +110,72 @@ def mirror(path: str, worker: str, order: str, slots: int, payload: list[str]) -
         spark = batch.sparkSession
         counts = batch.groupBy(worker).agg(F.count(F.lit(1)).alias("here"))
         last = batch.select(worker, order, *payload).withColumn("back", back).where(F.col("back") <= slots)
-        old = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
-        rows = last.join(counts, worker)
+        old = committed_before(spark, path, batch_id)
+        rows = meet(last, counts, [worker])
         if old is None:
             rows = rows.withColumn("seen", F.lit(0).cast("bigint"))
         else:
             seen = old.groupBy(worker).agg(F.max("counter").alias("seen"))
-            rows = rows.join(seen, worker, "left").withColumn("seen", F.coalesce("seen", F.lit(0).cast("bigint")))
+            rows = meet(rows, seen, [worker], "left").withColumn("seen", F.coalesce("seen", F.lit(0).cast("bigint")))
         counter = F.col("seen") + F.col("here") - F.col("back") + 1
         fresh = rows.select(worker, (counter % slots).cast("int").alias("slot"), counter.alias("counter"), order, *payload)
         both = fresh if old is None else fresh.unionByName(old)
         kept = both.groupBy(worker, "slot").agg(F.max_by(F.struct("counter", order, *payload), "counter").alias("r"))
-        kept.select(worker, "slot", "r.*").write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        new_version(kept.select(worker, "slot", "r.*"), path, batch_id)
 
     return write
 
 
-def latest_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """Table left by the last micro-batch of the query."""
-    return spark.read.parquet(f"{path}/version={query.lastProgress['batchId']}")
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a table that were written to the end, in order."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    numbers = sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+    return [n for n in numbers if files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))]
+
+
+def committed_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The newest whole version that an earlier micro-batch left."""
+    found = [n for n in versions(spark, path) if n < batch_id]
+    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
+
+
+def new_version(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write the table as this micro-batch leaves it; the version before stays for a replay, older ones go."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    for n in [n for n in versions(spark, path) if n < batch_id][:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The table as the last micro-batch that ended left it, whichever run that was."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no version in {path}")
+    return spark.read.parquet(f"{path}/version={found[-1]}")
 
 
 def cleared_each_epoch(path: str, epoch: Column, worker: str, order: str, slots: int, payload: list[str]) -> BatchWriter:
-    """Mirror that starts anew every epoch: an epoch's partition is replaced as a whole."""
+    """Mirror that starts anew every epoch, and keeps what each epoch ended with.
+
+    An epoch may span many micro-batches: their rows join what the epoch holds so
+    far, and the last ``slots`` rows per worker stay. The table has slots x workers
+    rows per epoch.
+    """
     back = F.row_number().over(Window.partitionBy("epoch", worker).orderBy(F.desc(order)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("epoch", epoch).withColumn("back", back).where(F.col("back") <= slots)
-        (
-            rows.select(worker, order, *payload, "epoch").write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
-        )
+        rows = batch.withColumn("epoch", epoch).select("epoch", worker, order, *payload)
+        rows = rows.withColumn("back", back).where(F.col("back") <= slots).drop("back")
+        old = committed_before(batch.sparkSession, path, batch_id)
+        both = rows if old is None else rows.unionByName(old)
+        new_version(both.withColumn("back", back).where(F.col("back") <= slots).drop("back"), path, batch_id)
 
     return write
 
@@ -147,23 +184,37 @@ def running_counts(path: str) -> BatchWriter:
     """Whole result of a complete-mode aggregate, one folder per micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        new_version(batch, path, batch_id)
 
     return write
 
 
-def observed(stream: DataFrame, **metrics: Column) -> DataFrame:
-    return stream.observe("progress", *[m.alias(n) for n, m in metrics.items()])
+def recorded(path: str, write: BatchWriter, **metrics: Column) -> BatchWriter:
+    """Write each micro-batch, and a row of its progress beside it: rows, the given metrics, and seconds taken.
+
+    The rows of all runs stay, one folder per micro-batch; a replay replaces its row.
+    """
+
+    def both(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            began = time.monotonic()
+            write(batch, batch_id)
+            row = batch.agg(F.count(F.lit(1)).alias("input_rows"), *[m.alias(n) for n, m in metrics.items()])
+            row.withColumn("seconds", F.lit(time.monotonic() - began)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return both
 
 
-def progress_rows(spark: SparkSession, query: StreamingQuery, names: list[str]) -> DataFrame:
-    """Metrics of the recent micro-batches, a short list Spark keeps on the driver."""
-    rows = []
-    for p in query.recentProgress:
-        seen = p["observedMetrics"].get("progress")
-        if seen is not None:
-            rows.append((p["batchId"], p["numInputRows"], *[seen[n] for n in names]))
-    return spark.createDataFrame(rows, ", ".join(["batch_id bigint", "input_rows bigint", *[f"{n} bigint" for n in names]]))
+def progress(spark: SparkSession, path: str, available: int | None = None) -> DataFrame:
+    """The recorded micro-batches with rows per second and, where ``available`` rows were there to take, the rows still pending."""
+    rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    out = rows.withColumn("rows_per_sec", F.when(F.col("seconds") > 0, F.col("input_rows") / F.col("seconds")))
+    if available is None:
+        return out
+    return running(out, [], ["batch_id"], taken=Run("sum", F.col("input_rows"))).withColumn("pending", F.lit(available) - F.col("taken"))
 
 
 def snapshot(df: DataFrame, now: Column, payload: str = "target") -> DataFrame:

@@ -131,7 +131,7 @@ def test_scalars(spark):
 
 def test_sequences(spark):
     ids = F.array(*[F.lit(i) for i in (5, 6, 2, 7)])
-    assert one(spark, seq.cut_at_eos(ids)) == [5, 6, 2, 2]
+    assert one(spark, seq.cut_at_eos(ids, None)) == [5, 6, 2, 2]
     assert one(spark, seq.cut_at_eos(ids, 2)) == [5, 6]
     assert one(spark, seq.to_sequence(ids, 4)) == [1, 5, 6, 2]
     assert one(spark, seq.without_special(F.array(*[F.lit(i) for i in (1, 9, 9, 0, 2, 8)]))) == [9, 9, 8]
@@ -170,3 +170,39 @@ def test_work_folder_comes_from_the_session(spark):
     assert work_dir(session("local[2]", None)) == work_dir(session("local[2]", None))
     with pytest.raises(ValueError):
         work_dir(session("spark://host:7077", None))
+
+
+def test_unlisted_classes_stay(spark):
+    pairs = spark.createDataFrame([("A", "A"), ("Z", "A"), ("A", "Z"), (None, "B")], "t string, p string")
+    got = {r.truth: (r.A, r.B, r.other) for r in metrics.confusion_dense(pairs, "t", "p", ["A", "B"]).collect()}
+    assert got == {"A": (1, 0, 1), "B": (0, 0, 0), "other": (1, 1, 0)}
+    counts = {r.t: r.n for r in metrics.dense_counts(pairs, "t", ["A", "B"]).collect()}
+    assert counts == {"A": 2, "B": 0, "Z": 1, None: 1}
+
+
+def test_losses_show_what_is_wrong(spark):
+    rows = [(1, 4e-7, 2), (1, 4e-7, 2), (2, float("nan"), 1), (2, 0.5, 1), (3, None, 9), (3, 0.5, 1)]
+    got = {r.e: r for r in metrics.losses(spark.createDataFrame(rows, "e int, loss double, n long"), "loss", "n", ["e"]).collect()}
+    assert got[2].mean_loss != got[2].mean_loss and got[2].weighted_loss != got[2].weighted_loss
+    assert got[3].mean_loss == 0.5 and got[3].weighted_loss == 0.5
+    assert got[1].mean_loss == 0.0, "six decimals are reported"
+
+
+def test_missing_losses_are_never_best(spark):
+    rows = [("r", 1, None, 1.0), ("r", 2, 0.5, 1.0), ("r", 3, float("nan"), 1.0), ("s", 1, None, 1.0)]
+    history = spark.createDataFrame(rows, "run string, epoch int, val double, train double")
+    got = {r.run: r for r in metrics.best_epoch(history, ["run"], "epoch", "val").collect()}
+    assert (got["r"].epoch, got["r"].val) == (2, 0.5) and got["s"].epoch is None
+    assert {r.run: r.best_epoch for r in metrics.overfit_onset(history, ["run"], "epoch", "train", "val").collect()} == {"r": 2, "s": None}
+
+
+def test_total_is_marked(spark):
+    rows = spark.createDataFrame([(None, True), (None, False), ("a", True)], "diagram_type string, exact_match boolean")
+    got = {(r.diagram_type, r.is_total): r.n for r in metrics.exact_match_rates(rows).collect()}
+    assert got == {(None, True): 3, (None, False): 2, ("a", False): 1}
+
+
+def test_gate_counts_rows_without_class(spark):
+    rows = spark.createDataFrame([(1, 3), (2, 0), (3, None)], "id int, pred int")
+    assert [r.id for r in classify.gate(rows, "pred", [3]).collect()] == [2]
+    assert sorted(r.id for r in classify.gate_rejects(rows, "pred", [3]).collect()) == [1, 3]

@@ -73,3 +73,14 @@ def test_first_per_class_sees_every_class(spark):
     assert len(got) == 6 and {r["count"] for r in got} == {2}
     plan = splits.first_per_class(df, "k", "id", 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # cut to n rows before the shuffle and after it
+
+
+@pytest.mark.parametrize("rows_per_bucket", [40, 10**6])
+def test_many_rows_per_class(spark, rows_per_bucket):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").alias("k"))
+    got = splits.first_per_class(df, "k", "id", 1100, rows_per_bucket)
+    assert {r.k: r["count"] for r in got.groupBy("k").count().collect()} == {"hot": 1100, None: 1000}
+    many = splits.mirror_slots(df, "k", "id", 1100, [], rows_per_bucket)
+    few = {r.k: (r.n, r.low, r.high) for r in many.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("counter").alias("high")).collect()}
+    assert few["hot"][0] == 1100 and few["hot"][2] == 2000
+    assert few[None] == (1000, 0, 1000)

@@ -35,11 +35,10 @@ def test_intake_is_bounded(spark, tmp_path):
 @pytest.mark.parametrize("cuts", [[0, 7, 50, 200], [0, 200], [0, 1, 2, 3, 200]])
 def test_mirror_equals_batch(spark, tmp_path, cuts):
     write = live.mirror(str(tmp_path / "m"), "worker", "id", 5, ["target"])
-    last = None
     for low, high in zip(cuts, cuts[1:]):
         schema = land(spark, str(tmp_path / "in"), low, high)
-        last = live.each_batch(live.file_rows(spark, str(tmp_path / "in"), schema), write, str(tmp_path / "cp"))
-    got = live.latest_version(spark, str(tmp_path / "m"), last).select("worker", "slot", "counter", "id", "target")
+        live.each_batch(live.file_rows(spark, str(tmp_path / "in"), schema), write, str(tmp_path / "cp"))
+    got = live.latest_version(spark, str(tmp_path / "m")).select("worker", "slot", "counter", "id", "target")
     whole = spark.read.parquet(str(tmp_path / "in"))
     want = mirror_slots(whole, "worker", "id", 5, ["target"]).select("worker", "slot", "counter", "id", "target")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
@@ -69,10 +68,39 @@ def test_dead_letters(spark, tmp_path):
 
 def test_progress_and_snapshot(spark, tmp_path):
     schema = land(spark, str(tmp_path / "in"), 0, 30)
-    stream = live.observed(live.file_rows(spark, str(tmp_path / "in"), schema), rows=F.count(F.lit(1)), even=F.count_if(F.col("id") % 2 == 0))
-    q = live.each_batch(stream, live.batch_folder(str(tmp_path / "out")), str(tmp_path / "cp"))
-    assert live.progress_rows(spark, q, ["rows", "even"]).collect()[0] == (0, 30, 30, 15)
+    write = live.recorded(str(tmp_path / "log"), live.batch_folder(str(tmp_path / "out")), even=F.count_if(F.col("id") % 2 == 0))
+    live.each_batch(live.file_rows(spark, str(tmp_path / "in"), schema), write, str(tmp_path / "cp"))
+    land(spark, str(tmp_path / "in"), 30, 50)
+    live.each_batch(live.file_rows(spark, str(tmp_path / "in"), schema), write, str(tmp_path / "cp"))
+    log = live.progress(spark, str(tmp_path / "log"), 60).orderBy("batch_id").collect()
+    assert [(r.batch_id, r.input_rows, r.even, r.pending) for r in log] == [(0, 30, 15, 30), (1, 20, 10, 10)]
+    assert all(r.rows_per_sec > 0 for r in log)
     held = spark.createDataFrame([(None, None, "a\nb"), ("pie", "2024-01-01 00:00:00", None)], "diagram_type string, at string, target string")
     held = held.withColumn("written_at", F.col("at").cast("timestamp")).drop("at")
     got = live.snapshot(held, F.lit("2024-01-01 00:00:07.5").cast("timestamp")).collect()
     assert [(r.shown_type, r.age, r.preview) for r in got] == [("?", 0.0, "a \\n b"), ("pie", 7.5, "")]
+
+
+def test_mirror_keeps_rows_without_worker(spark, tmp_path):
+    rows = [(i, None if i % 2 else "w") for i in range(10)]
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, "id long, worker string").write.mode("append").parquet(str(tmp_path / "in"))
+        write = live.mirror(str(tmp_path / "m"), "worker", "id", 3, [])
+        live.each_batch(live.file_rows(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), write, str(tmp_path / "cp"))
+    got = live.latest_version(spark, str(tmp_path / "m")).select("worker", "id").collect()
+    assert sorted((r.worker or "", r.id) for r in got) == [("", 5), ("", 7), ("", 9), ("w", 4), ("w", 6), ("w", 8)]
+    write = live.mirror(str(tmp_path / "m"), "worker", "id", 3, [])
+    live.each_batch(live.file_rows(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), write, str(tmp_path / "cp"))
+    assert live.latest_version(spark, str(tmp_path / "m")).count() == 6, "a run without new rows changes nothing"
+
+
+def test_epoch_mirror_spans_batches_and_old_versions_go(spark, tmp_path):
+    schema = "id long, worker long"
+    write = live.cleared_each_epoch(str(tmp_path / "m"), F.floor(F.col("id") / 30).cast("int"), "worker", "id", 4, [])
+    for low, high in ((0, 20), (20, 22), (22, 40), (40, 60)):
+        spark.range(low, high).select("id", (F.col("id") % 2).alias("worker")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.file_rows(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        live.each_batch(stream, write, str(tmp_path / "cp"))
+    got = sorted((r.epoch, r.id) for r in live.latest_version(spark, str(tmp_path / "m")).collect())
+    assert got == [(0, i) for i in range(22, 30)] + [(1, i) for i in range(52, 60)]
+    assert live.versions(spark, str(tmp_path / "m")) == [2, 3]
