@@ -32,9 +32,11 @@ from glyphmill.llm.common import sliced
 from glyphmill.session import materialise
 
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas"
+#: The rest of a tag; a quote that is never closed runs to the end of the page.
+IN_TAG = r"""(?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
-    r"|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b{IN_TAG}(?:/>|>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    rf"|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{IN_TAG})(?:>|\Z)",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
