@@ -8,6 +8,62 @@ from pyspark.sql import functions as F
 from catalog.registry import query, table
 
 
+# --- SQL that states results -----------------------------------------------------------
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def shingles_sql(key: str, text: str, source: str) -> str:
+    """Distinct (key, sh): five-word shingles of a text, all its words where it has fewer; no rows without words."""
+    words = rf"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    return f"""SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS sh
+      FROM (SELECT {key}, {words} AS ws FROM {source}) WHERE len(ws) > 0"""
+
+
+NGRAM_SQL = f"""
+    WITH RECURSIVE s AS ({shingles_sql('doc_id', f"translate(text, '{UPPER}', '{LOWER}')", 'documents')}),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+    reach(doc_id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = o)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id)
+      JOIN (SELECT doc_id, min(o) AS component_id FROM reach GROUP BY 1) m USING (doc_id)"""
+
+LINES_SQL = "(SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
+LINE_SQL = f"""
+    WITH l AS (SELECT doc_id * 100000 + line_no AS id, doc_id, line_no, line FROM {LINES_SQL}),
+    s AS ({shingles_sql('id', 'line', 'l')}), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+    shared AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.id < b.id GROUP BY 1, 2),
+    gone AS (SELECT DISTINCT y AS id FROM shared JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 100 * c >= 80 * (a.n + b.n - c))
+    SELECT doc_id, count(gone.id) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE gone.id IS NULL), '')) AS text_sha256
+    FROM l LEFT JOIN gone USING (id) GROUP BY 1"""
+
+
+def secret_sql() -> str:
+    """The same parts by another road: places from match lengths, scopes by comparing all parts of a document."""
+    from glyphmill.llm.secrets import BASE, KINDS, REACH
+
+    parts = []
+    for place, (kind, (role, strong, pattern, group, least)) in enumerate(KINDS.items()):
+        # RE2 cannot look around: a key is a whole run of its class and of the characters that may not stand beside it.
+        run, fits = (r"[A-Za-z0-9+/=_-]+", "length(m) = 40 AND NOT regexp_matches(m, '[=_-]')") if kind == "key40" else (pattern, f"length(part) >= {least}")
+        run = run.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {place} AS place, '{role}' AS role, {strong} AS strong, s, s + length(m) AS e FROM (
+          SELECT doc_id, ms[i] AS m, ps[i] AS part, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+          FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{run}', 0) AS ms, regexp_extract_all(text, '{run}', {group if kind != 'key40' else 0}) AS ps,
+            string_split_regex(text, '{run}') AS gs FROM documents))) WHERE {fits}""")
+    told = "string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, place)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+    WITH p AS ({' UNION ALL '.join(parts)}),
+    k AS (SELECT * FROM p WHERE strong OR EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND o.role <> p.role AND o.s <= p.e + {REACH} AND p.s <= o.e + {REACH}))
+    SELECT doc_id, {counts}, sha256(coalesce({told} FILTER (WHERE strong), '')) AS base_sha256, coalesce({told}, '') AS spans
+    FROM documents LEFT JOIN k USING (doc_id) GROUP BY 1"""
+
+
+# --- queries ----------------------------------------------------------------------------
+
+
 def tokenizer_model() -> str:
     import public_tokenizers
 
@@ -28,7 +84,7 @@ def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op2_secrets")
+@query("op2_secrets", secret_sql())
 def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
     from glyphmill.llm.secrets import BASE, secrets, told
 
@@ -103,14 +159,14 @@ def op5_site_quality(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", "evidence", "host_posterior", "path_posterior", "score", "kept")
 
 
-@query("op3_ngram_join")
+@query("op3_ngram_join", NGRAM_SQL)
 def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     from glyphmill.llm.near_documents import linked
 
     return linked(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op6_line_dedup")
+@query("op6_line_dedup", LINE_SQL)
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from glyphmill.llm.lines import dedup
 
