@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import standins as s
+from catalog.generation import all_types_sql
 from catalog.grammar_sql import arr, u32 as sql_u32
 from catalog.registry import query, table
 from catalog.tables import SPLIT_SQL
 from glyphmill.functions import text, vectors
-from glyphmill.operators import classify, metrics, repair, splits
+from glyphmill.operators import classify, metrics, repair, splits, structure
+from glyphmill.plans import corpus
 
 # Channel statistics of the image inputs (fixed values).
 MEAN, STD = [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]
@@ -279,3 +281,57 @@ def eval_repetition(spark, sf):
 def eval_label_entropy(spark, sf):
     """Words stand in for labels, roles for classes."""
     return metrics.label_entropy(table(spark, sf, "conversations"), "role", F.split("text", " "))
+
+
+# --- structure of flowcharts ----------------------------------------------------------------
+
+
+def charts(spark, sf):
+    """Flowcharts, and pies among them, beside copies with a wrong edge, a wrong label or neither."""
+    made = corpus.generate(table(spark, sf, "documents").select("doc_id"), "doc_id", 42, types=["flowchart", "pie"])
+    chosen = made.where((F.col("doc_id") % 5 == 0) == (F.col("diagram_type") == "pie"))
+    wrong = F.when(F.col("doc_id") % 3 == 0, F.replace("target", F.lit(" --> N2"), F.lit(" --> N1"))).when(
+        F.col("doc_id") % 3 == 1, F.regexp_replace("target", '"Check [a-z]+"', '"Check it"')
+    )
+    return chosen.select("doc_id", "diagram_type", F.col("target").alias("truth"), F.coalesce(wrong, "target").alias("prediction"))
+
+
+CHARTS_SQL = f"""(SELECT *, CASE doc_id % 3 WHEN 0 THEN replace(target, ' --> N2', ' --> N1') WHEN 1 THEN regexp_replace(target, '"Check [a-z]+"', '"Check it"', 'g') ELSE target END AS made
+  FROM {all_types_sql('documents', 'doc_id', '42', ['flowchart', 'pie'])} WHERE (doc_id % 5 = 0) = (diagram_type = 'pie'))"""
+_NODE, _EDGE = structure.NODE.replace("'", "''"), structure.EDGE.replace("'", "''")
+
+
+def _edges_sql(text):
+    ids, labels = f"regexp_extract_all({text}, '{_NODE}', 1)", f"regexp_extract_all({text}, '{_NODE}', 2)"
+    named = lambda x: f"coalesce({labels}[nullif(coalesce(list_position({ids}, {x}), 0), 0)], {x})"
+    a, l, b = (f"regexp_extract_all({text}, '{_EDGE}', {k})" for k in (1, 2, 3))
+    return f"list_transform({a}, lambda x, i: concat_ws('|', {named('x')}, {l}[i], {named(b + '[i]')}))"
+
+
+def _shared_sql(a, b):
+    return f"list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda z: z = x)))))"
+
+
+STRUCTURE_SQL = f"""(SELECT doc_id, diagram_type, flow, CASE WHEN flow THEN len(nt) END AS nt, CASE WHEN flow THEN len(np) END AS np, CASE WHEN flow THEN coalesce({_shared_sql('nt', 'np')}, 0) END AS ns,
+    CASE WHEN flow THEN len(et) END AS et, CASE WHEN flow THEN len(ep) END AS ep, CASE WHEN flow THEN coalesce({_shared_sql('et', 'ep')}, 0) END AS es
+  FROM (SELECT doc_id, diagram_type, regexp_matches(target, '{structure.FLOW}') AS flow, regexp_extract_all(target, '{_NODE}', 2) AS nt, regexp_extract_all(made, '{_NODE}', 2) AS np,
+    {_edges_sql('target')} AS et, {_edges_sql('made')} AS ep FROM {CHARTS_SQL}))"""
+
+
+@query("eval_structure_scores", f"""
+    SELECT doc_id, CASE WHEN flow THEN coalesce(ns / nullif(np, 0), 0) END AS node_precision, CASE WHEN flow THEN coalesce(ns / nullif(nt, 0), 0) END AS node_recall,
+      CASE WHEN flow THEN coalesce(2 * ns / nullif(nt + np, 0), 0) END AS node_f1, CASE WHEN flow THEN coalesce(es / nullif(ep, 0), 0) END AS edge_precision,
+      CASE WHEN flow THEN coalesce(es / nullif(et, 0), 0) END AS edge_recall, CASE WHEN flow THEN coalesce(2 * es / nullif(et + ep, 0), 0) END AS edge_f1 FROM {STRUCTURE_SQL}""")
+def eval_structure_scores(spark, sf):
+    scored = structure.with_structure(charts(spark, sf), "truth", "prediction")
+    return scored.withColumns(structure.rates("node") | structure.rates("edge")).select(
+        "doc_id", *[f"{k}_{m}" for k in ("node", "edge") for m in ("precision", "recall", "f1")]
+    )
+
+
+@query("eval_structure_f1", f"""
+    SELECT diagram_type, count(nt) AS flowcharts, 2 * sum(ns) / nullif(sum(nt) + sum(np), 0) AS node_micro_f1, 2 * sum(es) / nullif(sum(et) + sum(ep), 0) AS edge_micro_f1,
+      round(avg(2 * ns / nullif(nt + np, 0)), 9) AS node_macro_f1, round(avg(2 * es / nullif(et + ep, 0)), 9) AS edge_macro_f1 FROM {STRUCTURE_SQL} GROUP BY 1""")
+def eval_structure_f1(spark, sf):
+    """Pies have no nodes to score: null."""
+    return structure.structure_f1(structure.with_structure(charts(spark, sf), "truth", "prediction"), "diagram_type")
