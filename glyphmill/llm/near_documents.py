@@ -35,6 +35,9 @@ from glyphmill.llm.setjoin import FREQUENT, SHARE, candidates, led, similar
 from glyphmill.session import materialise
 
 LEAST_BITS = 64
+#: Members of a crowd's list that all others are compared with first; copies of one text can each lie too far
+#: from one of them and near enough to another.
+LEADERS = 3
 
 
 def reserve(n: int) -> int:
@@ -114,17 +117,19 @@ def linked(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         return found.dropDuplicates(["node"]).select("node", "n", "tokens")
 
     pairs, lists = candidates(held, full, frequent)
-    stars = led(lists, ids.select("node", F.col("node").alias("rank")))
-    some = materialise(close(pairs.unionByName(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), ids), "close-pairs")
+    for salt in range(LEADERS if lists.limit(1).count() else 0):
+        stars = led(lists, ids.select("node", F.xxhash64("node", F.lit(salt)).alias("rank")))
+        pairs = pairs.unionByName(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    some = materialise(close(pairs.distinct(), ids), "close-pairs")
     # First one partner for each node, from either side.
     one = some.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").unionByName(some.groupBy("x").agg(F.max("y").alias("y"))).distinct()
     links = materialise(similar(one, full), "links")
     roots = components(links)
-    apart = different(some.join(one, ["x", "y"], "left_anti"), roots)
-    crowd = close(different(across(lists, roots), roots), ids)
-    rest = materialise(apart.unionByName(crowd).distinct().join(one, ["x", "y"], "left_anti"), "pairs-apart")
-    if rest.limit(1).count():
-        roots = components(links.unionByName(materialise(similar(rest, full), "links")))
+    for rest in (lambda: some, lambda: close(across(lists, roots), ids)):
+        apart = materialise(different(rest(), roots).join(one, ["x", "y"], "left_anti"), "pairs-apart")
+        if apart.limit(1).count():
+            links = links.unionByName(materialise(similar(apart, full), "links"))
+            roots = components(links)
     smallest = ids.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
     named = ids.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")).join(smallest, "root")
     named = materialise(named.select(F.col("node").alias("_node"), F.col("n").alias("_n"), "component_id"), "named-nodes")

@@ -10,11 +10,12 @@ Which tokens are frequent shows while prefixes are taken: a token that more than
 ``FREQUENT`` sets list is frequent, and those sets extend their prefixes by as many
 further tokens, until nothing changes. So the lists of rare tokens are bounded,
 and all pairs within them may be formed. A set that runs out of rare tokens lies
-within a crowd of similar sets; two such sets meet by combinations of their
-tokens instead: of two tokens for small sets, of all tokens that a hash deals to
-one of m slices for large ones, with m above the most tokens in which similar sets
-can differ. Lists of combinations are not bounded; their users compare members
-with one leader first and look further only where that settles nothing.
+within a crowd of similar sets; two such sets meet by combinations of two tokens
+instead, neighbours in the order of rarity within the crowd. Sets that are similar
+share at least ceil(0.6 n) - 1 such pairs of n - 1, as each token in which they
+differ parts one pair, so again a prefix of the pairs does, the rarest ones. Lists
+of combinations are not bounded; their users compare members with few leaders
+first and look further only where that settles nothing.
 """
 
 from __future__ import annotations
@@ -29,10 +30,6 @@ from glyphmill.session import materialise
 #: Similarity in hundredths, and sets that may list a token before it counts as frequent.
 SHARE = 80
 FREQUENT = 50
-#: Above this size sets meet by slices, up to 5/4 of it by pairs of tokens as well.
-PAIRED = 310
-GROWTH = 1.25
-
 Full = Callable[[DataFrame], DataFrame]
 
 
@@ -108,7 +105,8 @@ def candidates(base: DataFrame, full: Full, frequent: int = FREQUENT) -> tuple[D
         ids = grown.select("node")
         fresh = materialise(ids.join(union(near_ids), "node", "left_anti") if near_ids else ids, "near-sets")
         near_ids.append(fresh)
-        near.append(materialise(kept.join(fresh, "node", "left_semi").dropDuplicates(["node"]), "reserves"))
+        # The ids grow with the table, so both sides are dealt by them at every size.
+        near.append(materialise(kept.join(fresh.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "reserves"))
         short = grown.filter(F.col("upto") > reserve_length(size)).select("node")
         short = materialise(short.join(union(crowd_ids), "node", "left_anti") if crowd_ids else short, "crowd-sets")
         longer = union(near).join(grown, ["node", "n"]).join(union([*crowd_ids, short]), "node", "left_anti")
@@ -146,22 +144,19 @@ def sizes_allow(a: Column, b: Column) -> Column:
 
 
 def combinations(crowd: DataFrame) -> DataFrame:
-    """(key, node, n): keys of which two similar sets of the crowd share at least one."""
+    """(key, node, n): keys of token pairs of which two similar sets of the crowd share at least one."""
+    each = crowd.select("node", "n", F.explode("tokens").alias("t"))
+    ranked = each.join(each.groupBy("t").agg(F.count("*").alias("c")), "t")
+    ordered = ranked.filter("n > 1").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("a"))
     size = F.col("n")
-    length = F.least(size, prefix_length(size) + 1)
-    small = crowd.filter((size > 1) & (size <= int(PAIRED * GROWTH) + 1)).withColumn("p", F.slice("tokens", F.lit(1), length))
-    one = small.select("node", "n", "p", F.posexplode("p").alias("i", "a"))
-    two = one.select("node", "n", "a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b"))
-    paired = two.select(F.xxhash64("a", "b").alias("key"), "node", "n")
-    # A set belongs to two neighbouring ranges of sizes, so that any two similar large sets share a range.
-    step = F.floor(F.log(GROWTH, size.cast("double")))
-    ranged = crowd.filter(size > PAIRED).select("node", "n", "tokens", F.explode(F.array(step - 1, step)).alias("range"))
-    most = F.ceil(F.pow(F.lit(GROWTH), F.col("range") + 2))
-    slices = (F.floor(2 * most * (100 - SHARE) / (100 + SHARE)) + 1).cast("bigint")
-    dealt = ranged.withColumn("m", slices).select("node", "n", "range", "m", F.explode("tokens").alias("token"))
-    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("token", "range"), F.col("m")))
-    whole = dealt.groupBy("node", "n", "range", "slice").agg(F.bit_xor(F.xxhash64("token")).alias("h"), F.count("*").alias("c"))
-    return paired.unionByName(whole.select(F.xxhash64("range", "slice", "h", "c").alias("key"), "node", "n"))
+
+    def pair(i: Column) -> Column:
+        low, high = F.col("a")[i], F.col("a")[i + 1]
+        return F.struct(high["c"].alias("high"), low["c"].alias("low"), F.xxhash64(low["t"], high["t"]).alias("key"))
+
+    rarest = F.sort_array(F.transform(F.sequence(F.lit(0), size - 2), pair))
+    length = size - ((size * 60 + 99) / 100).cast("int") + 1
+    return ordered.select(F.explode(F.slice(rarest, F.lit(1), length)).alias("p"), "node", "n").select("p.key", "node", "n")
 
 
 def led(lists: DataFrame, rank: DataFrame) -> DataFrame:
