@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import let, words
-from glyphmill.llm.setjoin import FREQUENT, candidates, led, reserve_length, similar
+from glyphmill.llm.setjoin import FREQUENT, candidates, could, led, reserve_length, similar
 from glyphmill.session import materialise
 
 SIZE = 5
@@ -95,8 +95,8 @@ def repeated(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     gone = materialise(later(similar(pairs.unionByName(stars).distinct(), full)).distinct(), "alike-lines")
     # Members that their list's leader did not settle meet all earlier members.
     left = lists.join(gone, "node", "left_anti").join(rank, "node")
-    others = lists.join(rank, "node").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"))
-    met = left.join(others, "key").filter((F.col("rx") < F.col("rank")) & (5 * F.least("n", "nx") >= 4 * F.greatest("n", "nx")))
+    others = lists.join(rank, "node").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("v").alias("vx"), F.col("rank").alias("rx"))
+    met = left.join(others, "key").filter((F.col("rx") < F.col("rank")) & could(F.col("n"), F.col("v"), F.col("nx"), F.col("vx")))
     rest = met.select("x", F.col("node").alias("y")).distinct()
     more = similar(rest.join(stars, ["x", "y"], "left_anti"), full).select(F.col("y").alias("node"))
     gone = materialise(gone.unionByName(more).distinct(), "alike-lines")

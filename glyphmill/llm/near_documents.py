@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import components, sliced
 from glyphmill.llm.hashing import mix, shingle_set
-from glyphmill.llm.setjoin import FREQUENT, SHARE, candidates, led, similar
+from glyphmill.llm.setjoin import FREQUENT, SHARE, candidates, could, led, similar
 from glyphmill.session import materialise
 
 LEAST_BITS = 64
@@ -151,12 +151,12 @@ def different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def across(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs x < y of a list's members in different components; lists within one component give none."""
-    named = root_of(lists.select("key", F.col("node").alias("x"), "n"), "x", roots)
+    named = root_of(lists.select("key", F.col("node").alias("x"), "n", "v"), "x", roots)
     mixed = named.groupBy("key").agg(F.min("root_x").alias("low"), F.max("root_x").alias("high")).filter("low != high").select("key")
     left = materialise(named.join(mixed, "key", "left_semi"), "mixed-lists")
-    right = left.select("key", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("root_x").alias("root_y"))
+    right = left.select("key", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("v").alias("vy"), F.col("root_x").alias("root_y"))
     met = left.join(right, "key").filter((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")))
-    return met.filter(100 * F.least("n", "ny") >= SHARE * F.greatest("n", "ny")).select("x", "y").distinct()
+    return met.filter(could(F.col("n"), F.col("v"), F.col("ny"), F.col("vy"))).select("x", "y").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

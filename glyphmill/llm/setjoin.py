@@ -65,7 +65,7 @@ def frequent_in(rows: DataFrame, frequent: int) -> DataFrame:
 
 
 def candidates(base: DataFrame, full: Full, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (x, y) by rare tokens, and lists (key, node, n) of token combinations.
+    """Candidate pairs (x, y) by rare tokens, and lists (key, node, n, v) of token combinations.
 
     ``base`` has rows of node, n and tokens, the first ``reserve_length(n)`` in
     ascending order; equal sets may repeat. ``full(nodes)`` gives (node, n, tokens)
@@ -120,7 +120,7 @@ def candidates(base: DataFrame, full: Full, frequent: int = FREQUENT) -> tuple[D
         hot.append(materialise(frequent_in(extended[-1], frequent).join(union(hot), "token", "left_anti"), "frequent-tokens"))
     pairs = rare_pairs(union([first, *extended]).join(union(hot), "token", "left_anti"))
     if not crowd:
-        return pairs, base.sparkSession.createDataFrame([], "key long, node long, n int")
+        return pairs, base.sparkSession.createDataFrame([], "key long, node long, n int, v int")
     out = state.filter(size - F.col("hits") < prefix).select("node")
     return pairs, materialise(combinations(union(crowd).join(out, "node", "left_semi")), "combinations")
 
@@ -143,11 +143,21 @@ def sizes_allow(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SHARE * F.greatest(a, b)
 
 
+def could(na: Column, va: Column, nb: Column, vb: Column) -> Column:
+    """Whether two sets of sizes n can be similar when v of their tokens occur in another set of the crowd at all."""
+    most = F.least(va, vb)
+    return 100 * most >= SHARE * (na + nb - most)
+
+
 def combinations(crowd: DataFrame) -> DataFrame:
-    """(key, node, n): keys of token pairs of which two similar sets of the crowd share at least one."""
+    """(key, node, n, v): keys of token pairs of which two similar sets of the crowd share at least one.
+
+    ``v`` counts the tokens that another set of the crowd has too; a set with too few of them is in no list.
+    """
     each = crowd.select("node", "n", F.explode("tokens").alias("t"))
     ranked = each.join(each.groupBy("t").agg(F.count("*").alias("c")), "t")
     ordered = ranked.filter("n > 1").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("a"))
+    ordered = ordered.withColumn("v", F.size(F.filter("a", lambda x: x["c"] > 1))).filter(100 * F.col("v") >= SHARE * F.col("n"))
     size = F.col("n")
 
     def pair(i: Column) -> Column:
@@ -156,7 +166,7 @@ def combinations(crowd: DataFrame) -> DataFrame:
 
     rarest = F.sort_array(F.transform(F.sequence(F.lit(0), size - 2), pair))
     length = size - ((size * 60 + 99) / 100).cast("int") + 1
-    return ordered.select(F.explode(F.slice(rarest, F.lit(1), length)).alias("p"), "node", "n").select("p.key", "node", "n")
+    return ordered.select(F.explode(F.slice(rarest, F.lit(1), length)).alias("p"), "node", "n", "v").select("p.key", "node", "n", "v")
 
 
 def led(lists: DataFrame, rank: DataFrame) -> DataFrame:
@@ -164,9 +174,9 @@ def led(lists: DataFrame, rank: DataFrame) -> DataFrame:
 
     ``rank`` has (node, rank), any type that has an order.
     """
-    ranked = lists.join(rank, "node").select("key", "node", "n", "rank")
-    first = ranked.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("f"), F.count("*").alias("c")).filter("c > 1")
-    met = ranked.join(first, "key").filter((F.col("node") != F.col("f.node")) & sizes_allow(F.col("n"), F.col("f.n")))
+    ranked = lists.join(rank, "node").select("key", "node", "n", "v", "rank")
+    first = ranked.groupBy("key").agg(F.min(F.struct("rank", "node", "n", "v")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    met = ranked.join(first, "key").filter((F.col("node") != F.col("f.node")) & could(F.col("n"), F.col("v"), F.col("f.n"), F.col("f.v")))
     return met.select(F.col("f.node").alias("x"), F.col("node").alias("y")).distinct()
 
 
