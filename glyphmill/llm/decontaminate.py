@@ -146,19 +146,20 @@ def found_in(text: str, block: Block) -> list[tuple[int, int, int, int]]:
     window, place, at = block.window[spots], block.place[spots], np.repeat(at, count)
     out = []
     half = 2 * budget(WIDTH) + 1
-    # Band b holds the diagonals from b * half up to (b + 2) * half: any 2 k neighbours share a band.
-    diagonal = (at - place + WIDTH) // half
-    for shift in (0, 1):
-        cell = window.astype(np.int64) * (len(text) + 2 * WIDTH) + (diagonal - shift + 1)
-        pair = np.unique(np.stack([cell, place], axis=1), axis=0)  # a q-gram of the window counts once per band
-        cells, n = np.unique(pair[:, 0], return_counts=True)
-        for c, m in zip(cells.tolist(), n.tolist(), strict=True):
-            w, band = divmod(c, len(text) + 2 * WIDTH)
-            if m >= bound(len(block.texts[w])):
-                low = (band - 1) * half - WIDTH
-                hit = align(block.texts[w], text, low, low + 2 * half - 1, budget(len(block.texts[w])))
-                if hit is not None:
-                    out.append((w, *hit))
+    # Band b holds the diagonals from (b - 1) * half - WIDTH, two cells of half each: any 2 k neighbours share a
+    # band. A hit counts in both bands that its cell belongs to.
+    span = len(text) + 2 * WIDTH
+    band = window.astype(np.int64) * span + (at - place + WIDTH) // half
+    # A q-gram of the window counts once per band.
+    pair = np.unique(np.concatenate([band, band + 1]) * WIDTH + np.concatenate([place, place]))
+    bands, n = np.unique(pair // WIDTH, return_counts=True)
+    least = np.array([bound(len(t)) for t in block.texts])
+    for c in bands[n >= least[bands // span]].tolist():
+        w, b = divmod(c, span)
+        low = (b - 1) * half - WIDTH
+        hit = align(block.texts[w], text, low, low + 2 * half - 1, budget(len(block.texts[w])))
+        if hit is not None:
+            out.append((w, *hit))
     best: dict[int, tuple[int, int, int, int]] = {}
     for w, start, end, edits in sorted(out, key=lambda x: (x[3], x[1], x[2])):
         best.setdefault(w, (w, start, end, edits))

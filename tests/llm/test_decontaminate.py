@@ -79,6 +79,18 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert D.clean(docs.limit(0), bench).count() == 0
 
 
+def test_insertion_at_every_diagonal_offset():
+    rnd = random.Random(1)
+    item = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
+    copy = list(item)
+    for p in (12, 30, 65, 83):
+        copy[p] = "ß"
+    copy.insert(50, "é")
+    block = D.index([(7, item)])
+    for offset in range(2 * D.budget(D.WIDTH) + 1):
+        assert D.found_in("0" * offset + "".join(copy), block) == [(0, offset, offset + 101, 5)]
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: D.fold(r.text)[0] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: D.fold(r.text)[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
