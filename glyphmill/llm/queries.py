@@ -172,3 +172,49 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return dedup(docs, "n_removed").select("doc_id", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def phrase_sql(least: int = 10, top: int = 2000, absorbed: int = 50) -> str:
+    """The same collocations from the words of every piece, grouped by their text."""
+    pieces = rf"unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\n\x0B-\x0D]'))"
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {n} AS n, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS phrase FROM ws WHERE len(w) >= {n}" for n in (1, 2, 3)
+    )
+    return f"""
+    WITH ps AS (SELECT coalesce(lang, 'und') AS lang, {pieces} AS piece FROM documents),
+    ws AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM ps),
+    f AS (SELECT lang, n, phrase, count(*)::HUGEINT AS a FROM ({grams}) GROUP BY ALL),
+    total AS (SELECT lang, sum(len(w)) AS total FROM ws GROUP BY 1),
+    c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND a >= {least}),
+    cuts AS (SELECT c.lang, c.phrase, c.n, c.a, k, l.a AS l, r.a AS r, (1000000 * c.a * c.a) // (l.a * r.a) AS score
+      FROM (SELECT *, unnest(range(1, n)) AS k FROM c) c
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cuts) WHERE o = 1),
+    around AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE n = 3) GROUP BY 1, 2),
+    ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+      FROM best LEFT JOIN around ON around.lang = best.lang AND around.phrase = best.phrase WHERE longer IS NULL OR 100 * longer < {absorbed} * a)
+    SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total::BIGINT AS n, score::BIGINT AS score
+    FROM ranked JOIN total USING (lang) WHERE rank <= {top}"""
+
+
+@query("op11_phrase_collocations", phrase_sql())
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.collocations import collocations
+
+    return collocations(table(spark, sf, "documents"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from glyphmill.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    from glyphmill.llm.conversations import audited
+
+    return audited(table(spark, sf, "conversations"))
