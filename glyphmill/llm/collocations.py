@@ -115,8 +115,16 @@ class Laid:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.piece[: len(self.piece) - n + 1] == self.piece[n - 1 :])
 
-    def prints(self, which: Polynomial, i: np.ndarray, n: int) -> np.ndarray:
-        return which.spans(self.raw, self.salt[i], self.starts[i], self.ends[i + n - 1])
+    def prints(self, i: np.ndarray, n: int, bits: int) -> np.ndarray:
+        return shortened(FIRST.spans(self.raw, self.salt[i], self.starts[i], self.ends[i + n - 1]), bits)
+
+    def checks(self, i: np.ndarray, n: int) -> np.ndarray:
+        return second(SECOND.spans(self.raw, self.salt[i], self.starts[i], self.ends[i + n - 1]))
+
+
+def shortened(prints: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits only; fewer than 64 are for tests of collisions."""
+    return prints & (~U(0) << U(64 - bits))
 
 
 def second(values: np.ndarray) -> np.ndarray:
@@ -164,18 +172,18 @@ def filter_of(prints: DataFrame) -> np.ndarray:
     return out
 
 
-def survivors(laid: Laid, n: int, parts: np.ndarray | None) -> np.ndarray:
+def survivors(laid: Laid, n: int, parts: np.ndarray | None, bits: int) -> np.ndarray:
     """First words of the phrases of n words of which both parts of n - 1 words may be frequent."""
     i = laid.phrases(n)
     if n == 1:
         return i
     every = laid.phrases(n - 1)
     good = np.zeros(len(laid.piece) + 1, bool)
-    good[every] = has(parts, laid.prints(FIRST, every, n - 1))
+    good[every] = has(parts, laid.prints(every, n - 1, bits))
     return i[good[i] & good[i + 1]]
 
 
-def counted(docs: DataFrame, n: int, parts: np.ndarray | None) -> DataFrame:
+def counted(docs: DataFrame, n: int, parts: np.ndarray | None, bits: int) -> DataFrame:
     """(fp, n, a, doc, at, check) of the phrases of n words: occurrences, a pointer, and the sum of second fingerprints."""
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
@@ -199,9 +207,9 @@ def counted(docs: DataFrame, n: int, parts: np.ndarray | None) -> DataFrame:
         for batch in batches:
             for texts in blocks(batch):
                 laid = Laid(texts)
-                i = survivors(laid, n, shared.value)
+                i = survivors(laid, n, shared.value, bits)
                 if len(i):
-                    held.append((laid.prints(FIRST, i, n), second(laid.prints(SECOND, i, n)), laid.doc[i], laid.at[i]))
+                    held.append((laid.prints(i, n, bits), laid.checks(i, n), laid.doc[i], laid.at[i]))
                     size += len(i)
                 if size > FLUSH:
                     yield from out()
@@ -219,7 +227,7 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[\x20\x09.,;:!?\x0A-\x0D]+"), "")
 
 
-def looked_up(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def looked_up(docs: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
     """(fp, n, a, lang, phrase, good) for each pointer; ``good`` if its words account for all occurrences."""
     wanted = frequent.groupBy("doc").agg(F.collect_list(F.struct("fp", "n", "a", "at", "check")).alias("told"))
     wanted = materialise(wanted.withColumnRenamed("doc", "_doc"), "collocation-pointers")
@@ -236,13 +244,13 @@ def looked_up(docs: DataFrame, frequent: DataFrame) -> DataFrame:
             ends = np.cumsum([len(t[0]) for t in texts])
             starts = ends - [len(t[0]) for t in texts]
             salts = np.array([t[1] for t in texts], U)
-            good = (FIRST.spans(raw, salts, starts, ends).view(np.int64) == fp) & (second(SECOND.spans(raw, salts, starts, ends)) * a == check)
+            good = (shortened(FIRST.spans(raw, salts, starts, ends), bits).view(np.int64) == fp) & (second(SECOND.spans(raw, salts, starts, ends)) * a == check)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("fp", "n", "a", "lang", "phrase")], pa.array(good)], names=["fp", "n", "a", "lang", "phrase", "good"])
 
     return each.mapInArrow(run, "fp long, n int, a long, lang string, phrase string, good boolean")
 
 
-def recounted(docs: DataFrame, shared_prints: DataFrame) -> DataFrame:
+def recounted(docs: DataFrame, shared_prints: DataFrame, bits: int) -> DataFrame:
     """(lang, phrase, n, a) of all phrases with one of these fingerprints (fp, n), counted by their words."""
     wanted = materialise(shared_prints, "collocation-collisions")
     lengths = {r.n: filter_of(wanted.filter(F.col("n") == r.n)) for r in wanted.select("n").distinct().collect()}
@@ -254,7 +262,7 @@ def recounted(docs: DataFrame, shared_prints: DataFrame) -> DataFrame:
                 whole = laid.raw.tobytes()
                 for n, filter_ in lengths.items():
                     i = laid.phrases(n)
-                    fp = laid.prints(FIRST, i, n)
+                    fp = laid.prints(i, n, bits)
                     hit = has(filter_, fp)
                     i, fp = i[hit], fp[hit]
                     phrases = [whole[a:b].decode() for a, b in zip(laid.starts[i], laid.ends[i + n - 1], strict=True)]
@@ -269,24 +277,24 @@ def recounted(docs: DataFrame, shared_prints: DataFrame) -> DataFrame:
     return told.join(lang, "doc").groupBy("lang", "phrase", "n").agg(F.sum("a").alias("a"))
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n, a) of all phrases of up to ``LONGEST`` words with ``least`` occurrences, and (lang, n) of all words.
 
     ``docs`` has lang, text and doc, a hash of both.
     """
     found, parts = [], None
     for n in range(1, LONGEST + 1):
-        found.append(materialise(counted(docs, n, parts).filter(F.col("a") >= least), f"collocation-prints-{n}"))
+        found.append(materialise(counted(docs, n, parts, bits).filter(F.col("a") >= least), f"collocation-prints-{n}"))
         if n < LONGEST:
             parts = filter_of(found[-1])
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    named = materialise(looked_up(docs, every), "collocation-phrases")
+    named = materialise(looked_up(docs, every, bits), "collocation-phrases")
     phrases = named.filter("good").select("lang", "phrase", "n", "a")
     lost = every.select("fp", "n").join(named.filter("good").select("fp", "n"), ["fp", "n"], "left_anti")
     if lost.limit(1).count():
-        phrases = phrases.unionByName(recounted(docs, lost).filter(F.col("a") >= least))
+        phrases = phrases.unionByName(recounted(docs, lost, bits).filter(F.col("a") >= least))
     total = docs.groupBy("lang").agg(F.sum(F.size(words_of(F.col("text"))).cast("long")).alias("total"))
     return materialise(phrases, "collocation-frequent"), total
 
@@ -307,14 +315,14 @@ def scored(phrases: DataFrame) -> DataFrame:
     return best.select("lang", "phrase", "n", "a", "b.l", "b.r", "b.score")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int = 64) -> DataFrame:
     """The first ``top`` collocations of each language: lang, rank, phrase, a, l, r, n, score.
 
-    ``docs`` has lang and text.
+    ``docs`` has lang and text; ``bits`` is the length of the fingerprints.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.xxhash64("lang", "text"))
-    phrases, total = frequent_phrases(rows, least)
+    phrases, total = frequent_phrases(rows, least, bits)
     every = materialise(scored(phrases), "collocation-candidates")
     inner = every.filter("n > 2").withColumn("w", F.split("phrase", " "))
     within = F.explode(F.array_distinct(F.flatten(F.transform(

@@ -213,7 +213,61 @@ def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op13_conversation_repair")
+def repair_sql() -> str:
+    """The damage, the faults, and the cheapest edits by a recursion over the rows of each conversation from its end.
+
+    A row of ``best`` holds cost, audit and repaired rows by state: start, behind s, behind u, behind a.
+    """
+    turn = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = "xor(c, ascii(x)::BIGINT)"
+    for _ in range(8):
+        byte = f"(list_transform([{byte}], lambda c: {turn})[1])"
+    # A list of one keeps the running value; SQL has no fold from a start value here.
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {byte.replace('ascii(x)::BIGINT', 'b')}), 4294967295)"
+    ahead, wanted, lead = (3, 3, 4, 3), ("u", "u", "a", "u"), ({"s": 2, "u": 3}, {"u": 3}, {"a": 4}, {"u": 3})
+    role = {"u": "user", "a": "assistant"}
+
+    def then(q: int, cost: str, letter: str, told: str | None, rest: str = "b.v") -> str:
+        r = f"{rest}[{q}].r" if told is None else f"{told} || CASE WHEN {rest}[{q}].r = '' THEN '' ELSE chr(10) || {rest}[{q}].r END"
+        return f"{{'c': {rest}[{q}].c + {cost}, 't': '{letter}' || {rest}[{q}].t, 'r': {r}}}"
+
+    never = "{'c': 1000000000::BIGINT, 't': '', 'r': ''}"
+    plain = []
+    for q in range(4):
+        keep = " ".join(f"WHEN i = '{k}' THEN {then(to, 'stay', 'K', 'role || chr(58) || text')}" for k, to in lead[q].items())
+        new = f"'{role[wanted[q]]}:' || text"
+        plain.append(f"least({then(q + 1, '3', 'D', None)}, CASE WHEN go THEN {never} ELSE {then(ahead[q], 'stay + 2', 'R', new)} END, CASE WHEN go THEN {never} {keep} ELSE {never} END)")
+
+    def insert(q: int, value: str) -> str:
+        told = f"'{role[wanted[q]]}:'"
+        return f"{{'c': {value}.c + 2, 't': 'I' || {value}.t, 'r': {told} || CASE WHEN {value}.r = '' THEN '' ELSE chr(10) || {value}.r END}}"
+
+    closed = []
+    for q in range(4):
+        one = ahead[q] - 1
+        two = ahead[one] - 1
+        closed.append(f"least(p[{q + 1}], {insert(q, f'p[{one + 1}]')}, {insert(q, '(' + insert(one, f'p[{two + 1}]') + ')')})")
+    end = f"[{{'c': 0::BIGINT, 't': '', 'r': ''}}, {{'c': 4::BIGINT, 't': 'II', 'r': 'user:' || chr(10) || 'assistant:'}}, {{'c': 2::BIGINT, 't': 'I', 'r': 'assistant:'}}, {{'c': 0::BIGINT, 't': '', 'r': ''}}]"
+    return f"""
+    WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+    hurt AS (SELECT *, ({crc}) % 20 AS h FROM named),
+    placed AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hurt WHERE h <> 0),
+    ordered AS (SELECT *, row_number() OVER w AS k, substr(role, 1, 1) AS i, lag(substr(role, 1, 1)) OVER w AS before
+      FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS nth, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM ordered),
+    faults AS (SELECT *, NOT blank AND nth > 1 AS dup, NOT blank AND nth = 1 AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM seen),
+    rs AS (SELECT conv_id, k, i, role, text, blank OR dup AS go, CASE WHEN cut THEN 1 ELSE 0 END AS stay FROM faults),
+    best AS (SELECT conv_id, max(k) AS k, {end} AS v FROM rs GROUP BY 1
+      UNION ALL SELECT conv_id, k - 1, [{', '.join(closed)}] FROM (SELECT b.conv_id, b.k, [{', '.join(plain)}] AS p FROM best b JOIN rs ON rs.conv_id IS NOT DISTINCT FROM b.conv_id AND rs.k = b.k)),
+    sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+      count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE k > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY 1)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+      coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].t, '') AS audit, sha256(coalesce(v[1].r, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id AND best.k = 0"""
+
+
+@query("op13_conversation_repair", repair_sql())
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     from glyphmill.llm.conversations import audited
 
