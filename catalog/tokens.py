@@ -7,22 +7,15 @@ from pyspark.sql import functions as F
 from catalog import standins as s
 from catalog.grammar_sql import u32 as sql_u32
 from catalog.registry import query, table
-from glyphmill.functions.draws import u32
+from glyphmill.functions.draws import listed, u32
 from glyphmill.operators import bpe, metrics, sequences as seq, splits
 from glyphmill.plans.vocabulary import MAX_LEN
 from glyphmill.session import materialise, new_path, spread
 
-VOCAB = 320  # tokens; the size is a parameter of training
 
-
-MODELS: dict[str, bpe.Tokenizer] = {}
-
-
-def trained(spark, sf, again: bool = False):
-    """Tokenizer of the documents; a few hundred tokens, kept for the queries that share it."""
-    if again or sf not in MODELS:
-        MODELS[sf] = bpe.train(bpe.pretoken_counts(texts(spark, sf), "text"), VOCAB)
-    return MODELS[sf]
+def trained(spark, sf):
+    """Tokenizer of the documents at its full size."""
+    return bpe.train(bpe.pretoken_counts(texts(spark, sf), "text"))
 
 
 def texts(spark, sf):
@@ -50,14 +43,14 @@ def tok_word_counts(spark, sf):
 
 @query("tok_train_bpe")
 def tok_train_bpe(spark, sf):
-    return bpe.merge_table(spark, trained(spark, sf, again=True))
+    return bpe.merge_table(spark, trained(spark, sf))
 
 
 @query("tok_encode", "SELECT doc_id, octet_length(encode(text)) AS bytes, text FROM documents")
 def tok_encode(spark, sf):
     """The tokens' bytes add up to the text's, and the ids spell the text."""
     model = trained(spark, sf)
-    widths = F.array(*[F.lit(len(t)) for t in model.tokens])
+    widths = listed([len(t) for t in model.tokens])
     coded = texts(spark, sf).select("doc_id", bpe.encode(F.col("text"), model).alias("ids"))
     bytes_ = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, i: a + F.get(widths, i))
     return coded.select("doc_id", bytes_.alias("bytes"), bpe.decode(F.col("ids"), model).alias("text"))
@@ -75,6 +68,15 @@ def tok_roundtrip(spark, sf):
     return bpe.roundtrip_check(texts(spark, sf), "text", trained(spark, sf))
 
 
+@query("agg_corpus_tokens")
+def agg_corpus_tokens(spark, sf):
+    """Characters a token, by the tokens of the trained tokenizer over all rows."""
+    model = trained(spark, sf)
+    coded = texts(spark, sf).select(F.length("text").alias("chars"), F.size(bpe.encode(F.col("text"), model)).alias("tokens"))
+    sums = coded.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("chars", "tokens")])
+    return sums.withColumn("chars_per_token", F.col("chars") / F.greatest("tokens", F.lit(1)))
+
+
 @query("tok_save_load")
 def tok_save_load(spark, sf):
     path = new_path(spark, "tokenizer")

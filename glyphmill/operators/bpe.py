@@ -37,8 +37,8 @@ ALPHABET = sorted(LETTER.values())
 MERGED_FROM = 0x144  # first character after the alphabet
 SURROGATES = range(0xD800, 0xE000)
 
-TRACKED = 4096  # pairs whose counts the driver follows between full counts
-PENDING = 32  # merges applied on the fly before the word table is written again
+HOT = 65_536  # most frequent pairs that a round of training looks at
+STRETCHES = 200_000  # different stretches of such pairs that reach the driver in a round
 MEMO = 200_000  # encoded pre-tokens remembered per Python task
 
 
@@ -77,135 +77,172 @@ def pairs_of(word: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def merged(word: Column, batch: list[tuple[str, str]]) -> Column:
-    for pair, symbol in batch:
-        word = F.replace(word, F.lit(pair), F.lit(symbol))
-    return word
-
-
-def pair_changes(word: Column, batch: list[tuple[str, str]]) -> Column:
-    """Pairs a word loses (-1) and gains (+1) through the merges; none if it has none of them."""
-
-    def signed(w: Column, sign: int) -> Column:
-        return F.transform(pairs_of(w), lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
-
-    return let(word, lambda old: let(
-        merged(old, batch), lambda new: F.when(old != new, F.concat(signed(old, -1), signed(new, 1)))
-    ))
-
-
-def by_count(pairs: dict[str, int]) -> list[tuple[str, int]]:
-    """Most frequent first, then by ids."""
-    return sorted(pairs.items(), key=lambda x: (-x[1], x[0]))
-
-
-def pick_batch(ranked: list[tuple[str, int]], names: dict[str, str], known: set[str], floor: int, room: int) -> list[str]:
-    """Pairs that one-at-a-time training would merge next, in its order.
-
-    Going down the counts, pairs are taken while no symbol is the left part of
-    one and the right part of another: then no two of them overlap in any word,
-    so none changes the count of another. A pair that only comes to exist through
-    these merges grew out of a pair that ends in one of the left parts or begins
-    with one of the right parts, and counts at most as much as the first such
-    pair. Everything strictly above that count is safe. A doubled symbol, and a
-    pair that spells an existing token, are merged alone.
-    """
-    batch: list[str] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    spelled: set[str] = set()
-    limit = floor
-    for pair, n in ranked:
-        token = names[pair[0]] + names[pair[1]]
-        alone = pair[0] == pair[1] or token in known or token in spelled
-        if pair[0] in rights or pair[1] in lefts or alone or len(batch) == room:
-            limit = max(limit, n)
-            break
-        batch.append(pair)
-        lefts.add(pair[0])
-        rights.add(pair[1])
-        spelled.add(token)
-    counts = dict(ranked)
-    kept = [p for i, p in enumerate(batch) if i == 0 or counts[p] > limit]
-    return kept or [ranked[0][0]]
+def stretches(words: DataFrame, hot: list[str]) -> DataFrame:
+    """(word, n): the parts of the words between neighbours that are no ``hot`` pair, equal ones added up."""
+    codes = np.sort(np.array([ord(p[0]) << 16 | ord(p[1]) for p in hot], np.uint32))
+
+    def run(batches):
+        for batch in batches:
+            letters = np.frombuffer("".join(batch.column("word").to_pylist()).encode("utf-32-le"), np.uint32)
+            if not len(letters):
+                continue
+            ends = np.cumsum(pc.utf8_length(batch.column("word")).to_numpy(zero_copy_only=False))
+            pairs = letters[:-1] << 16 | letters[1:]
+            at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
+            cut = codes[at] != pairs
+            cut[ends[:-1] - 1] = True
+            borders = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(letters)]])
+            long = np.flatnonzero(np.diff(borders) > 1)
+            text = letters.tobytes().decode("utf-32-le")
+            n = np.asarray(batch.column("n"))[np.searchsorted(ends, borders[long], "right")]
+            found = pa.array([text[borders[i] : borders[i + 1]] for i in long], pa.string())
+            yield pa.RecordBatch.from_arrays([found, pa.array(n)], names=["word", "n"])
+
+    return words.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def advanced(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """The words after these (pair, symbol) merges, one after the other; words of one symbol have no pairs and go."""
+    places: dict[str, list[int]] = {}
+    for i, (pair, _) in enumerate(merges):
+        places.setdefault(pair, []).append(i)
+
+    def of(word: str) -> str:
+        at = 0
+        while True:
+            # The next merge, in the order in which they were learnt, of a pair that the word has.
+            coming = [r for pair in set(map("".join, zip(word, word[1:]))) for r in places.get(pair, ()) if r >= at]
+            if not coming:
+                return word
+            at = min(coming)
+            word = word.replace(*merges[at])
+            at += 1
+
+    def run(batches):
+        for batch in batches:
+            changed = pa.array([of(w) for w in batch.column("word").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([changed, batch.column("n")], names=["word", "n"])
+
+    return words.mapInArrow(run, "word string, n long").where(F.length("word") > 1)
+
+
+class Training:
+    """Tokens and merges so far, and the names of the symbols: one character each, rising with the ids."""
+
+    def __init__(self, vocab_size: int, min_frequency: int):
+        self.size, self.least = vocab_size, min_frequency
+        self.tokens = [*SPECIAL_TOKENS, *ALPHABET]
+        self.names = {c: c for c in ALPHABET}
+        self.symbols = {c: c for c in ALPHABET}
+        self.merges: list[tuple[str, str]] = []
+        self.code = MERGED_FROM
+
+    def full(self) -> bool:
+        return len(self.tokens) >= self.size
+
+    def learn(self, pair: str) -> tuple[str, bool]:
+        """Symbol that the pair becomes, and whether its token is new; a token may be spelled in two ways."""
+        left, right = self.names[pair[0]], self.names[pair[1]]
+        token, new = left + right, left + right not in self.symbols
+        if new:
+            self.code = SURROGATES.stop if self.code in SURROGATES else self.code
+            self.symbols[token], self.names[chr(self.code)] = chr(self.code), token
+            self.tokens.append(token)
+            self.code += 1
+        self.merges.append((left, right))
+        return self.symbols[token], new
+
+    def settle(self, parts: list[tuple[str, int]], cold: int) -> list[tuple[str, str]]:
+        """Merge within counted stretches while the best pair is certain; the (pair, symbol) merged.
+
+        Between stretches no pair counts more than ``cold``, and none that merges make there does: its neighbours
+        end in the old ones, so it occurs no more often than theirs did. A token that is spelled in a second way
+        adds pairs to those its symbol had, so its bound grows by both.
+        """
+        words, weight = [p for p, _ in parts], [n for _, n in parts]
+        count: dict[str, int] = {}
+        where: dict[str, set[int]] = {}
+        for i, w in enumerate(words):
+            for pair in map("".join, zip(w, w[1:])):
+                count[pair] = count.get(pair, 0) + weight[i]
+                where.setdefault(pair, set()).add(i)
+        bound: dict[str, int] = {}
+        most = cold
+        heap = [(-n, pair) for pair, n in count.items()]
+        heapq.heapify(heap)
+        done: list[tuple[str, str]] = []
+        while heap and not self.full():
+            n, pair = heapq.heappop(heap)
+            now = count.get(pair, 0)
+            if -n != now:
+                if now > 0:
+                    heapq.heappush(heap, (-now, pair))
+                continue
+            if now <= most or now < self.least:
+                break
+            symbol, new = self.learn(pair)
+            done.append((pair, symbol))
+            ends = max(bound.get(c, cold) for c in pair)
+            bound[symbol] = ends if new else bound.get(symbol, cold) + 3 * ends
+            most = max(most, bound[symbol])
+            grown: set[str] = set()
+            for i in where.pop(pair):
+                old = words[i]
+                made = old.replace(pair, symbol)
+                if made == old:
+                    continue
+                words[i] = made
+                for sign, w in ((-1, old), (1, made)):
+                    for p in map("".join, zip(w, w[1:])):
+                        count[p] = count.get(p, 0) + sign * weight[i]
+                        if sign > 0:
+                            where.setdefault(p, set()).add(i)
+                            grown.add(p)
+            for p in grown:
+                heapq.heappush(heap, (-count[p], p))
+        return done
 
 
 def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int = 2) -> Tokenizer:
-    """Learn merges from (piece, n).
+    """Learn merges from (piece, n); the same, one by one, as training one merge at a time.
 
-    The words stay in Spark; the driver holds only the vocabulary and the counts
-    of the most frequent pairs. A round recounts only the words its merges
-    changed. When the best followed pair is no longer above the least count of
-    the last full count, all pairs are counted again, so no pair is missed.
+    The words stay in Spark. A round counts all pairs and takes the ``HOT`` most frequent at most. Neighbours
+    that are no such pair part a word for good as long as merges count more than they do, so all merges above that
+    count are settled on the stretches between them. Equal stretches are added up by a shuffle, and at most
+    ``STRETCHES`` different ones reach the driver, whatever the corpus; where there are more, fewer pairs are hot.
+    One round settles hundreds to thousands of merges, then brings the words up to date in one narrow pass.
     """
     cores = counts.sparkSession.sparkContext.defaultParallelism
     words = counts.select(lettered(F.col("piece")).alias("word"), "n").where(F.length("word") > 1)
-    words = materialise(words.repartition(cores), "words")  # every round reads all of it, on all cores
-    tokens = [*SPECIAL_TOKENS, *ALPHABET]
-    names = {c: c for c in ALPHABET}
-    symbols = {c: c for c in ALPHABET}
-    known = set(ALPHABET)
-    merges: list[tuple[str, str]] = []
-    pending: list[tuple[str, str]] = []
-    tracked: dict[str, int] = {}
-    floor, complete, recount, code = 0, False, True, MERGED_FROM
-    while len(tokens) < vocab_size:
-        ranked = by_count(tracked)
-        if not ranked and complete and not recount:
+    words = materialise(words.repartition(cores), "words")
+    state, wanted = Training(vocab_size, min_frequency), HOT
+    while not state.full():
+        ranked = (
+            words.select(F.explode(pairs_of(F.col("word"))).alias("pair"), "n")
+            .groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
+            .orderBy(F.desc("n"), "pair").limit(HOT + 1).collect()
+        )
+        if not ranked:
             break
-        if recount or not ranked:
-            full = (
-                words.select(F.explode(pairs_of(merged(F.col("word"), pending))).alias("pair"), "n")
-                .groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
-                .orderBy(F.desc("n"), "pair").limit(TRACKED).collect()
-            )
-            if not full:
+        while True:
+            # Hot are the pairs that count more than the first one left out.
+            cold = ranked[wanted].n if wanted < len(ranked) else min_frequency - 1
+            hot = [r.pair for r in ranked if r.n > cold]
+            if not hot:
+                # One tie longer than the list: its first pair is certain, nothing else.
+                done = [(ranked[0].pair, state.learn(ranked[0].pair)[0])]
                 break
-            # A short list holds every pair that counts; a full one leaves out pairs of its least count.
-            complete = len(full) < TRACKED
-            floor = min_frequency - 1 if complete else full[-1].n
-            tracked = {r.pair: r.n for r in full if r.n > floor}
-            recount = not tracked  # one tie as long as the list: only its first pair is certain
-            ranked = by_count(tracked) or [(full[0].pair, full[0].n)]
-        batch = []
-        for pair in pick_batch(ranked, names, known, floor, vocab_size - len(tokens)):
-            left, right = names[pair[0]], names[pair[1]]
-            token = left + right
-            if token not in known:
-                code = SURROGATES.stop if code in SURROGATES else code
-                symbols[token], names[chr(code)] = chr(code), token
-                tokens.append(token)
-                known.add(token)
-                code += 1
-            else:
-                recount = True  # pairs of a symbol that was there before may grow
-            merges.append((left, right))
-            batch.append((pair, symbols[token]))
-        touched = {c for pair, _ in batch for c in pair}
-        made = {s for _, s in batch}
-        watched = [p for p in tracked if touched & set(p)]
-        hit = "|".join(re.escape(pair) for pair, _ in batch)
-        change = (
-            words.select(merged(F.col("word"), pending).alias("word"), "n").where(F.col("word").rlike(hit))
-            .select(F.explode(pair_changes(F.col("word"), batch)).alias("c"), "n")
-            .groupBy("c.pair").agg(F.sum(F.col("c.sign") * F.col("n")).alias("n"))
-        )
-        followed = F.expr(f"pair IN ({', '.join(map(quoted, watched)) or 'NULL'})")
-        fresh = F.col("pair").rlike("|".join(sorted(map(re.escape, made))))
-        for r in change.where(followed | (fresh & (F.col("n") > floor))).collect():
-            tracked[r.pair] = tracked.get(r.pair, 0) + r.n
-        tracked = {p: n for p, n in tracked.items() if n > floor}
-        if len(tracked) > 4 * TRACKED:
-            ranked = by_count(tracked)
-            floor, complete = ranked[TRACKED][1], False
-            tracked = {p: n for p, n in ranked if n > floor}
-        pending += batch
-        if len(pending) >= PENDING:
-            words = materialise(
-                words.select(merged(F.col("word"), pending).alias("word"), "n").where(F.length("word") > 1), "words"
-            )
-            pending = []
-    return Tokenizer(tokens, merges)
+            parts = materialise(stretches(words, hot), "stretches")
+            found = parts.count()
+            if found <= STRETCHES or len(hot) == 1:
+                done = state.settle([(r.word, r.n) for r in parts.collect()] if found <= STRETCHES else [(hot[0], ranked[0].n)], cold if found <= STRETCHES else ranked[0].n - 1)
+                wanted = min(HOT, 2 * wanted)
+                break
+            wanted = max(1, min(len(hot) // 4, int(len(hot) * STRETCHES / found)))
+        if state.full():
+            break
+        words = materialise(advanced(words, done), "words")
+    return Tokenizer(state.tokens, state.merges)
 
 
 def spell(piece: str, ranks: dict[tuple[str, str], int]) -> list[str]:

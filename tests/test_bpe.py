@@ -40,13 +40,21 @@ def test_training_equals_public(spark, tmp_path):
     assert got.merges == merges and got.tokens == tokens
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("tracked,pending", [(3, 2), (4096, 32)])
-def test_small_alphabets(spark, tmp_path, monkeypatch, seed, tracked, pending):
-    """Few letters make ties, doubled symbols and tokens spelled two ways; a short
-    list of followed pairs makes the job count again often."""
-    monkeypatch.setattr(bpe, "TRACKED", tracked)
-    monkeypatch.setattr(bpe, "PENDING", pending)
+def test_full_size_equals_public(spark, tmp_path, monkeypatch):
+    """Whole documents to 2,000 tokens; bounds that the words pass."""
+    monkeypatch.setattr(bpe, "STRETCHES", 8_000)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    tokens, merges = public(texts, 2_000, tmp_path)
+    got = ours(spark, texts, 2_000)
+    assert got.merges == merges and got.tokens == tokens
+
+
+@pytest.mark.parametrize("seed,hot,stretches", [(0, 12, 40), (1, 4, 3), (2, 30, 20), (3, 65_536, 200_000)])
+def test_small_alphabets(spark, tmp_path, monkeypatch, seed, hot, stretches):
+    """Few letters make ties, doubled symbols and tokens spelled two ways; small
+    bounds make the job cut words between rare neighbours and go through many rounds."""
+    monkeypatch.setattr(bpe, "HOT", hot)
+    monkeypatch.setattr(bpe, "STRETCHES", stretches)
     rnd = random.Random(seed)
     texts = [" ".join("".join(rnd.choice("ab" if seed % 2 else "abc") for _ in range(rnd.randint(1, 9))) for _ in range(12)) for _ in range(15)]
     tokens, merges = public(texts, 275, tmp_path)
@@ -54,6 +62,42 @@ def test_small_alphabets(spark, tmp_path, monkeypatch, seed, tracked, pending):
     assert got.merges == merges and got.tokens == tokens
 
 
+def test_rounds_equal_one_at_a_time():
+    """Settling stretches in rounds, without Spark: random counted words, few hot pairs a round, against plain training."""
+    rnd = random.Random(7)
+    for trial in range(150):
+        pieces = {"".join(rnd.choice("abcd"[: 2 + trial % 3]) for _ in range(rnd.randint(2, 12))): rnd.randint(1, 30) for _ in range(40)}
+        vocab = 260 + rnd.randint(5, 40)
+        plain = bpe.Training(vocab, 2)
+        plain.settle(list(pieces.items()), 1)
+        state, words = bpe.Training(vocab, 2), dict(pieces)
+        while not state.full():
+            count = {}
+            for w, n in words.items():
+                for p in map("".join, zip(w, w[1:])):
+                    count[p] = count.get(p, 0) + n
+            ranked = sorted(((n, p) for p, n in count.items() if n >= 2), key=lambda x: (-x[0], x[1]))
+            if not ranked:
+                break
+            room = rnd.randint(1, 4)
+            cold = ranked[room][0] if room < len(ranked) else 1
+            hot = {p for n, p in ranked if n > cold}
+            parts = {}
+            for w, n in words.items():
+                at = 0
+                for k in range(1, len(w) + 1):
+                    if k == len(w) or w[k - 1 : k + 1] not in hot:
+                        parts[w[at:k]] = parts.get(w[at:k], 0) + n
+                        at = k
+            done = state.settle(list(parts.items()), cold) if hot else [(ranked[0][1], state.learn(ranked[0][1])[0])]
+            for pair, symbol in done:
+                changed = {}
+                for w, n in words.items():
+                    changed[w.replace(pair, symbol)] = changed.get(w.replace(pair, symbol), 0) + n
+                words = changed
+        assert state.merges == plain.merges and state.tokens == plain.tokens
+
+
 HARD = ["", " ", "a  b\n   c\n", "naïve – ‘quotes’ 東京 🙂\t\r\nend", "it's 'll DON'T 12 345", "<s> </s> <pad>", "x" * 3000, "\x00\x01", "===---===" * 40]
 
 
