@@ -71,7 +71,7 @@ def luhn(number: str) -> bool:
 
 def holds(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.split("."))
     if kind == "card":
         number = digits(found)
         return 13 <= len(number) <= 19 and luhn(number)

@@ -3,15 +3,18 @@
 Every rule votes for or against a document or abstains. Nobody says which rules
 are right, so expectation-maximisation estimates, from how the votes agree, the
 share of good documents and each rule's accuracy on good and on bad ones, how
-often it votes for, against or not at all. A document is kept when the posterior
-probability that it is good reaches one half; it may fail a rule and stay.
+often it votes for, against or not at all. It looks at all documents that pass the base
+test, as the others are settled, and leaves out rules that vote the same everywhere.
+A document is kept when the posterior probability that it is good reaches one half; it
+may fail a rule and stay.
 
 The rules need one narrow pass over the texts, in DataFrame functions. What the
 estimate needs is the number of documents with each pattern of votes: grouped
 counts, at most 3 to the power of the number of rules however many documents
 there are, and the only thing the driver sees.
 
-Null texts count as empty; an empty text has no words and fails the base test.
+Null texts count as empty; an empty text has no words and fails the base test. Very long texts
+are read whole, in memory in proportion to their length.
 Repeated rows count as often as they occur. An empty table gives an empty table
 and the starting accuracies. Only the text is looked at.
 """
@@ -68,7 +71,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": repeated_words(F.col("_words")),
         "n_upper": F.length(whole) - F.length(F.regexp_replace(whole, "[A-Z]", "")),
-        "n_symbol_runs": F.regexp_count(whole, F.lit(SYMBOLS + "+")),
+        "n_letters": F.length(F.regexp_replace(whole, r"[^\p{L}]+", "")),
         "n_kinds": F.size(F.array_distinct("_words")),
         "n_marks": F.length(whole) - F.length(F.regexp_replace(whole, "[!?]", "")),
         "n_digits": F.length(whole) - F.length(F.regexp_replace(whole, "[0-9]", "")),
@@ -81,7 +84,7 @@ RULES = {
     "length": ("n_words >= 30", "n_words < 10"),
     "word_length": ("word_chars between 3 * n_words and 10 * n_words", "word_chars not between 2 * n_words and 15 * n_words"),
     "symbols": ("n_symbols <= 0.02 * n_words", "n_symbols > 0.1 * n_words"),
-    "symbol_runs": ("n_symbol_runs <= 0.02 * n_words", "n_symbol_runs > 0.1 * n_words"),
+    "letters": ("n_letters >= 0.9 * word_chars", "n_letters < 0.8 * word_chars"),
     "dup_lines": ("n_dup_lines = 0 and n_lines > 1", "n_dup_lines > 0.5 * n_lines"),
     "repeats": ("n_repeat_words <= 0.05 * n_words", "n_repeat_words > 0.2 * n_words"),
     "variety": ("n_kinds > 0.35 * n_words", "n_words >= 30 and n_kinds < 0.2 * n_words"),
@@ -125,8 +128,13 @@ def bounded(rates: list[float], low: float, high: float) -> tuple[float, ...]:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300) -> Accuracies:
-    """Expectation-maximisation over counted vote patterns."""
+    """Expectation-maximisation over counted vote patterns.
+
+    A rule that votes the same everywhere tells nothing: its rates are the same on both sides.
+    """
     total = sum(n for _, n in patterns)
+    constant = [len({votes[j] for votes, _ in patterns}) == 1 for j in range(len(RULES))]
+    even = (tuple(1 / len(VOTES) for _ in VOTES),) * 2
     model = Accuracies(0.85, (START,) * len(RULES))
     for _ in range(rounds if total else 0):
         sums = [[[STRENGTH * r for r in side] for side in START] for _ in RULES]
@@ -139,11 +147,11 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300) ->
                 for j, v in enumerate(votes):
                     sums[j][side][VOTES.index(v)] += weight
         rates = tuple(
-            (
+            even if same else (
                 bounded([x / sum(good) for x in good], 1e-4, MOST_AGAINST_GOOD),
                 bounded([x / sum(bad) for x in bad], LEAST_AGAINST_BAD, 0.99),
             )
-            for good, bad in sums
+            for same, (good, bad) in zip(constant, sums, strict=True)
         )
         new = Accuracies(share[0] / sum(share), rates)
         still = abs(new.good - model.good) < 1e-9
@@ -154,9 +162,12 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300) ->
 
 
 def fit(voted: DataFrame) -> Accuracies:
-    """Estimate from the votes of all rows."""
+    """Estimate from the votes of all rows that pass the base test.
+
+    Those that fail it are settled without the estimate and would otherwise be what it takes for bad documents.
+    """
     names = [f"vote_{k}" for k in RULES]
-    rows = voted.groupBy(*names).count().orderBy(*names).collect()
+    rows = voted.filter(~base_failed()).groupBy(*names).count().orderBy(*names).collect()
     return estimate([(tuple(r[:-1]), r[-1]) for r in rows])
 
 

@@ -97,3 +97,7 @@ def test_query(spark, sf):
         assert r.base_sha256 == hashlib.sha256(told_base.encode()).hexdigest()
         assert set(told_base.split(",")) <= set(r.spans.split(","))
     assert told is not None
+
+
+def test_long_runs_of_zeros():
+    assert P.base_spans("1.2.3." + "0" * 5000) and not P.base_spans("1.2.3." + "9" * 5000)

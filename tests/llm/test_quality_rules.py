@@ -73,3 +73,19 @@ def test_query(spark, sf):
     assert sum(r.kept for r in rows if quality.get(r.doc_id) == 0) < 0.1 * sum(quality.get(r.doc_id) == 0 for r in rows)
     good = [r.kept for r in rows if quality.get(r.doc_id) == 1 and not r.base_failed]
     assert sum(good) > 0.97 * len(good)
+    assert any(not r.base_failed and not r.kept for r in rows)
+
+
+def test_verdict_decides_behind_the_base_test(spark):
+    """On the larger table: junk that passes the base test goes by the posterior, good documents stay."""
+    sf = "/root/testdata/sf0.01"
+    rows = op10_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    junk, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert junk and sum(junk) < 0.1 * len(junk) and sum(good) > 0.97 * len(good)
+
+
+def test_constant_rules_say_nothing():
+    votes = [((1,) * len(RULES), 900), ((1, 1, -1, -1, *(1,) * (len(RULES) - 4)), 100)]
+    model = estimate(votes)
+    assert all(good == bad for j, (good, bad) in enumerate(model.rates) if j not in (2, 3))
+    assert odds(model, votes[0][0]) > 0 > odds(model, votes[1][0])
