@@ -11,8 +11,11 @@ from catalog.grammar_sql import arr, u32 as sql_u32
 from catalog.registry import query, table
 from catalog.tables import SPLIT_SQL
 from glyphmill.functions import text, vectors
-from glyphmill.operators import classify, metrics, repair, splits, structure
-from glyphmill.plans import corpus
+from glyphmill.operators import bpe, classify, epochs, metrics, repair, splits, structure
+from glyphmill.operators import sequences as seq
+from glyphmill.plans import corpus, inference
+from glyphmill.plans import vocabulary as v
+from glyphmill.session import new_path
 
 # Channel statistics of the image inputs (fixed values).
 MEAN, STD = [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]
@@ -46,6 +49,16 @@ def cls_training_history(spark, sf):
     return metrics.best_so_far(history, ["run"], "epoch", "train_loss").select("epoch", "train_loss", "new_best")
 
 
+@query("cls_best_epoch")
+def cls_best_epoch(spark, sf):
+    """History with losses and validation accuracy per epoch, trained in two runs that share a folder; the kept model's epoch is flagged."""
+    rows, folder = split_vecs(spark, sf), new_path(spark, "classifier")
+    for last in (3, 8):
+        told = epochs.train_epochs(rows, "embedding", "label", F.col("split") == "val", 64, 64, folder, last)
+    kept, _ = epochs.best_model(spark, folder)
+    return epochs.with_best(told).withColumn("kept", F.col("epoch") == kept)
+
+
 SCORED_SQL = """(SELECT vec_id, label, list_position(e, list_max(e)) - 1 AS pred, list_transform(p, lambda x: x / list_sum(p)) AS probs FROM
   (SELECT vec_id, label, e, list_transform(e, lambda x: exp(x::DOUBLE - list_max(e)::DOUBLE)) AS p FROM (SELECT vec_id, label, embedding AS e FROM embeddings)))"""
 
@@ -131,6 +144,34 @@ def cls_batch_scoring(spark, sf):
     return out.select("vec_id", "pred", F.round("confidence", 6).alias("confidence"), "answer")
 
 
+def flow_items(spark, sf):
+    """A page with the vector of its id; what the second model would put out: the page's bytes as ids, an end mark, and more."""
+    pages = read_pages(spark, sf).select("page_id", "html", "texts")
+    ids = F.concat(seq.to_sequence(bpe.encode(F.col("html"), BYTES), None), seq.ints(7, 8, v.EOS))
+    return pages.withColumn("ids", ids).join(vecs(spark, sf), F.col("page_id") == F.col("vec_id"))
+
+
+# A tokenizer without merges: one token per byte.
+BYTES = bpe.Tokenizer([*v.SPECIAL_TOKENS, *bpe.ALPHABET], [])
+MEANS_SQL = "(SELECT label, list(m ORDER BY i) AS mu FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query("cls_inference_flow", f"""
+    WITH s AS (SELECT vec_id, label, list_sum(list_transform(list_zip(embedding, mu), lambda z: 2 * z[1]::DOUBLE * z[2] - z[2] * z[2])) AS score FROM (SELECT vec_id, embedding FROM embeddings) CROSS JOIN {MEANS_SQL}),
+    p AS (SELECT vec_id, arg_max(label, score)::INTEGER AS pred, round(1 / sum(exp(score - top)), 6) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY vec_id) AS top FROM s) GROUP BY vec_id)
+    SELECT page_id, pred, confidence, len(labels)::INTEGER AS labels,
+      len(list_filter(labels, lambda x, i: texts[i] IS NOT NULL AND texts[i] <> x))::INTEGER AS replaced,
+      sha256(array_to_string(list_transform(parts, lambda p, i: p || CASE WHEN i <= len(labels) THEN '"' || coalesce(texts[i], labels[i]) || '"' ELSE '' END), '')) AS code_sha256
+    FROM (SELECT *, regexp_split_to_array(html, '"[^"]*"') AS parts FROM {s.TEXTS_SQL}) JOIN p ON vec_id = page_id WHERE pred % 5 <> 3""")
+def cls_inference_flow(spark, sf):
+    """A fitted model routes, the gate stops a fifth of the classes, the rest is decoded and repaired."""
+    model = inference.centroids(vecs(spark, sf), "embedding", "label")
+    rejected = [c for c in range(len(model.weights)) if c % 5 == 3]
+    done, _ = inference.infer(flow_items(spark, sf), model, BYTES, rejected, "embedding")
+    replaced = F.size(F.filter("slots", lambda x: x["status"] == "replaced"))
+    return done.select("page_id", "pred", F.round("confidence", 6).alias("confidence"), F.size("slots").alias("labels"), replaced.alias("replaced"), F.sha2("repaired", 256).alias("code_sha256"))
+
+
 # --- label repair ------------------------------------------------------------------------
 
 

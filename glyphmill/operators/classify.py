@@ -69,12 +69,12 @@ def passes(pred: str, rejected: Sequence) -> Column:
     return F.coalesce(~F.col(pred).isin(list(rejected)), F.lit(False))
 
 
-def batch_scorer(load: Callable[[], Predict], width: int, batch_size: int = 256) -> Callable[..., Column]:
+def batch_scorer(load: Callable[[], Predict], width: int, batch_size: int = 256, kind: str = "float") -> Callable[..., Column]:
     """Column function of a model that ``load`` brings up once per Python worker.
 
     The model maps a batch of feature rows, ``width`` wide, to a batch of class scores.
     """
-    return predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[width]])
+    return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType() if kind == "double" else T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[width]])
 
 
 def route_and_repair(df: DataFrame, features: str, scorer: Callable[..., Column], rejected: Sequence, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
