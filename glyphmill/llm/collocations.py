@@ -7,8 +7,8 @@ its frequency counts all its occurrences in the texts of one language.
 A task lays its texts out as bytes with one blank between words and sums letters
 times powers of a base up; any phrase's fingerprint is then read off two of these
 prefix sums. Fingerprints are aggregated in the task, then shuffled with their
-number, a pointer to one occurrence (hash of the text, place of the word) and the
-sum of a second, independent fingerprint. A phrase of n words can only be frequent
+number, a pointer to a text that has the phrase (its hash) and the sum of a second,
+independent fingerprint. A phrase of n words can only be frequent
 if both its parts of n - 1 words are, so after each length a bit filter of the
 frequent fingerprints goes to all tasks: ``FILTER_BITS`` bounds its size; where it
 fills up it lets more rows through and no frequent one less.
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import sliced
 from glyphmill.llm.hashing import mix
 from glyphmill.session import materialise
 
@@ -42,10 +43,9 @@ LONGEST = 3
 #: Share of a phrase's occurrences, in hundredths, from which a longer candidate around it takes its place.
 ABSORBED = 50
 BREAKS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes laid out at a time, and occurrences a task holds before it hands them on.
-BLOCK = 2_000_000
-FLUSH = 3_000_000
+BLOCK = 1_000_000
+FLUSH = 1_000_000
 #: Bits of a filter for each fingerprint in it, and the most bits of one filter (32 MB).
 BITS_EACH, FILTER_BITS = 16, 28
 #: Buckets that a language's candidates are ranked in before the last ranking.
@@ -89,8 +89,8 @@ def salt_of(lang: str) -> np.uint64:
 class Laid:
     """Some texts as words with one blank between them."""
 
-    def __init__(self, texts: list[tuple[bytes, np.uint64, int, int]]):
-        """``texts``: bytes, salt of the language, hash of the whole text, words of it that came before."""
+    def __init__(self, texts: list[tuple[bytes, np.uint64, int]]):
+        """``texts``: bytes, salt of the language, hash of the whole text."""
         raw = np.frombuffer(b"\n".join([t[0] for t in texts]).lower() + b"\n", np.uint8)
         gap = IS_GAP[raw]
         edge = np.diff(np.concatenate([[True], gap]).astype(np.int8))
@@ -98,16 +98,13 @@ class Laid:
         kept = ~gap
         kept[ends] = True  # of a gap its first byte, as a blank
         self.raw = np.where(gap, np.uint8(0x20), raw)[kept]
-        place = np.cumsum(kept) - 1
+        place = np.cumsum(kept, dtype=np.int32) - 1
         self.starts, self.ends = place[starts], place[ends]
-        self.piece = np.cumsum(IS_BREAK[raw])[starts]
+        self.piece = np.cumsum(IS_BREAK[raw], dtype=np.int32)[starts]
         first = np.cumsum([0, *[len(t[0]) + 1 for t in texts]])
         text = np.searchsorted(first, starts, "right") - 1
-        words_before = np.searchsorted(starts, first[:-1])
         self.salt = np.array([t[1] for t in texts], U)[text]
         self.doc = np.array([t[2] for t in texts], np.int64)[text]
-        skipped = np.array([t[3] for t in texts], np.int64)
-        self.at = np.arange(len(starts)) - words_before[text] + skipped[text]
 
     def phrases(self, n: int) -> np.ndarray:
         """First words of the phrases of n words."""
@@ -132,26 +129,24 @@ def second(values: np.ndarray) -> np.ndarray:
     return (values >> U(33)).astype(np.int64)
 
 
-def blocks(batch: pa.RecordBatch):
-    """Lists of (bytes, salt, text hash, words before) of about ``BLOCK`` bytes; long texts are cut behind breaks."""
-    held, size = [], 0
-    for text, lang, doc in zip(*[batch.column(c).to_pylist() for c in ("text", "lang", "doc")], strict=True):
-        rest, salt, before = (text or "").encode(), salt_of(lang), 0
-        while rest:
-            part = rest
-            if len(rest) > BLOCK:
-                cut = next((i for i in range(BLOCK, len(rest)) if rest[i] < 128 and IS_BREAK[rest[i]]), len(rest) - 1) + 1
-                part = rest[:cut]
-            rest = rest[len(part) :]
-            held.append((part, salt, doc, before))
-            size += len(part)
-            if rest:
-                before += int((np.diff(np.concatenate([[True], IS_GAP[np.frombuffer(part, np.uint8)]]).astype(np.int8)) == -1).sum())
-            if size >= BLOCK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def blocks(batches):
+    """Lists of (bytes, salt, text hash) of about ``BLOCK`` bytes; long texts are cut behind breaks."""
+    for batch in sliced(batches):
+        held, size = [], 0
+        for text, lang, doc in zip(*[batch.column(c).to_pylist() for c in ("text", "lang", "doc")], strict=True):
+            rest, salt = (text or "").encode(), salt_of(lang)
+            while rest:
+                part = rest
+                if len(rest) > BLOCK:
+                    part = rest[: next((i for i in range(BLOCK, len(rest)) if IS_BREAK[rest[i]]), len(rest) - 1) + 1]
+                rest = rest[len(part) :]
+                held.append((part, salt, doc))
+                size += len(part)
+                if size >= BLOCK:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
 
 
 def has(filter_: np.ndarray | None, values: np.ndarray) -> np.ndarray:
@@ -184,70 +179,82 @@ def survivors(laid: Laid, n: int, parts: np.ndarray | None, bits: int) -> np.nda
 
 
 def counted(docs: DataFrame, n: int, parts: np.ndarray | None, bits: int) -> DataFrame:
-    """(fp, n, a, doc, at, check) of the phrases of n words: occurrences, a pointer, and the sum of second fingerprints."""
+    """(fp, n, a, doc, check) of the phrases of n words: occurrences, a pointer, and the sum of second fingerprints."""
     shared = docs.sparkSession.sparkContext.broadcast(parts)
+    names = ["fp", "a", "doc", "check"]
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
         def out():
-            fp, check, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(fp, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(fp[order]) != 0]))
-            a = np.diff(np.concatenate([first, [len(fp)]]))
-            one = order[first]
-            sums = np.add.reduceat(check[order], first)
-            columns = [fp[one].view(np.int64), a, doc[one], at[one].astype(np.int32), sums]
-            table = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "a", "doc", "at", "check"])
+            fp, check, doc = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            for k in range(0, table.num_rows, 200_000):
-                yield table.slice(k, 200_000)
+            order = np.argsort(fp, kind="stable")
+            fp, check, doc = fp[order], check[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+            columns = [fp[first].view(np.int64), np.diff(np.append(first, len(fp))), doc[first], np.add.reduceat(check, first)]
+            for k in range(0, len(first), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=names)
 
         size = 0
-        for batch in batches:
-            for texts in blocks(batch):
-                laid = Laid(texts)
-                i = survivors(laid, n, shared.value, bits)
-                if len(i):
-                    held.append((laid.prints(i, n, bits), laid.checks(i, n), laid.doc[i], laid.at[i]))
-                    size += len(i)
-                if size > FLUSH:
-                    yield from out()
-                    size = 0
+        for texts in blocks(batches):
+            laid = Laid(texts)
+            i = survivors(laid, n, shared.value, bits)
+            if len(i):
+                held.append((laid.prints(i, n, bits), laid.checks(i, n), laid.doc[i]))
+                size += len(i)
+            if size > FLUSH:
+                yield from out()
+                size = 0
         if held:
             yield from out()
 
-    each = docs.select("text", "lang", "doc").mapInArrow(run, "fp long, a long, doc long, at int, check long")
-    told = each.groupBy("fp").agg(F.sum("a").alias("a"), F.min(F.struct("doc", "at")).alias("p"), F.sum("check").alias("check"))
-    return told.select("fp", F.lit(n).alias("n"), "a", "p.doc", "p.at", "check")
+    each = docs.select("text", "lang", "doc").mapInArrow(run, "fp long, a long, doc long, check long")
+    told = each.groupBy("fp").agg(F.sum("a").alias("a"), F.min("doc").alias("doc"), F.sum("check").alias("check"))
+    return told.select("fp", F.lit(n).alias("n"), "a", "doc", "check")
 
 
 def words_of(text: Column) -> Column:
     """All words of a text in order, without the borders of pieces."""
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[\x20\x09.,;:!?\x0A-\x0D]+"), "")
+    return F.array_remove(F.split(text, r"[\x20\x09.,;:!?\x0A-\x0D]+"), "")
 
 
 def looked_up(docs: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
-    """(fp, n, a, lang, phrase, good) for each pointer; ``good`` if its words account for all occurrences."""
-    wanted = frequent.groupBy("doc").agg(F.collect_list(F.struct("fp", "n", "a", "at", "check")).alias("told"))
+    """(fp, n, a, lang, phrase): the words at each pointer, if they account for all occurrences."""
+    wanted = frequent.groupBy("doc").agg(F.collect_list(F.struct("fp", "n", "a", "check")).alias("told"))
     wanted = materialise(wanted.withColumnRenamed("doc", "_doc"), "collocation-pointers")
     texts = docs.join(wanted.select("_doc"), docs["doc"] == F.col("_doc"), "left_semi").dropDuplicates(["doc"])
-    each = texts.join(wanted, texts["doc"] == F.col("_doc")).select("lang", words_of(F.col("text")).alias("w"), "told")
-    each = each.select("lang", "w", F.explode("told").alias("t"))
-    each = each.select("t.fp", "t.n", "t.a", "t.check", "lang", F.array_join(F.slice("w", F.col("t.at") + 1, F.col("t.n")), " ").alias("phrase"))
+    each = texts.join(wanted, texts["doc"] == F.col("_doc")).select("lang", "text", "doc", "told")
 
     def run(batches):
-        for batch in batches:
-            texts = [(p.encode(), salt_of(lang), 0, 0) for p, lang in zip(batch.column("phrase").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
-            fp, a, check = (batch.column(c).to_numpy() for c in ("fp", "a", "check"))
-            raw = np.frombuffer(b"".join([t[0] for t in texts]), np.uint8)
-            ends = np.cumsum([len(t[0]) for t in texts])
-            starts = ends - [len(t[0]) for t in texts]
-            salts = np.array([t[1] for t in texts], U)
-            good = (shortened(FIRST.spans(raw, salts, starts, ends), bits).view(np.int64) == fp) & (second(SECOND.spans(raw, salts, starts, ends)) * a == check)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("fp", "n", "a", "lang", "phrase")], pa.array(good)], names=["fp", "n", "a", "lang", "phrase", "good"])
-
-    return each.mapInArrow(run, "fp long, n int, a long, lang string, phrase string, good boolean")
+        for batch in sliced(batches):
+            langs = {salt_of(x): x for x in set(batch.column("lang").to_pylist())}
+            told = batch.column("told").flatten()
+            fp, n, a, check = (told.field(k).to_numpy() for k in range(4))
+            doc = np.repeat(batch.column("doc").to_numpy(), batch.column("told").value_lengths().to_numpy())
+            order = np.lexsort((fp, n))
+            fp, n, a, check, doc = (x[order] for x in (fp, n, a, check, doc))
+            for texts in blocks([batch]):
+                laid = Laid(texts)
+                whole = laid.raw.tobytes()
+                for size in range(1, LONGEST + 1):
+                    mine = slice(*np.searchsorted(n, [size, size + 1]))
+                    i = laid.phrases(size)
+                    if mine.start == mine.stop or not len(i):
+                        continue
+                    found = laid.prints(i, size, bits).view(np.int64)
+                    at = np.minimum(np.searchsorted(fp[mine], found), mine.stop - mine.start - 1) + mine.start
+                    hit = (fp[at] == found) & (doc[at] == laid.doc[i])
+                    at, first = np.unique(at[hit], return_index=True)
+                    i = i[hit][first]
+                    good = laid.checks(i, size) * a[at] == check[at]
+                    at, i = at[good], i[good]
+                    phrases = [whole[p:q].decode() for p, q in zip(laid.starts[i], laid.ends[i + size - 1], strict=True)]
+                    columns = [pa.array(fp[at]), pa.array(n[at]), pa.array(a[at]), pa.array([langs[x] for x in laid.salt[i]], pa.string()), pa.array(phrases, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "a", "lang", "phrase"])
+
+    # A text laid out in several blocks may show a phrase in each.
+    return each.mapInArrow(run, "fp long, n int, a long, lang string, phrase string").dropDuplicates(["fp", "n"])
 
 
 def recounted(docs: DataFrame, shared_prints: DataFrame, bits: int) -> DataFrame:
@@ -256,20 +263,17 @@ def recounted(docs: DataFrame, shared_prints: DataFrame, bits: int) -> DataFrame
     lengths = {r.n: filter_of(wanted.filter(F.col("n") == r.n)) for r in wanted.select("n").distinct().collect()}
 
     def run(batches):
-        for batch in batches:
-            for texts in blocks(batch):
-                laid = Laid(texts)
-                whole = laid.raw.tobytes()
-                for n, filter_ in lengths.items():
-                    i = laid.phrases(n)
-                    fp = laid.prints(i, n, bits)
-                    hit = has(filter_, fp)
-                    i, fp = i[hit], fp[hit]
-                    phrases = [whole[a:b].decode() for a, b in zip(laid.starts[i], laid.ends[i + n - 1], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(fp.view(np.int64)), pa.array(np.full(len(i), n, np.int32)), pa.array(laid.doc[i]), pa.array(phrases, pa.string())],
-                        names=["fp", "n", "doc", "phrase"],
-                    )
+        for texts in blocks(batches):
+            laid = Laid(texts)
+            whole = laid.raw.tobytes()
+            for n, filter_ in lengths.items():
+                i = laid.phrases(n)
+                fp = laid.prints(i, n, bits)
+                hit = has(filter_, fp)
+                i, fp = i[hit], fp[hit]
+                phrases = [whole[a:b].decode() for a, b in zip(laid.starts[i], laid.ends[i + n - 1], strict=True)]
+                columns = [pa.array(fp.view(np.int64)), pa.array(np.full(len(i), n, np.int32)), pa.array(laid.doc[i]), pa.array(phrases, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "doc", "phrase"])
 
     each = docs.select("text", "lang", "doc").mapInArrow(run, "fp long, n int, doc long, phrase string")
     told = each.join(wanted, ["fp", "n"], "left_semi").groupBy("doc", "phrase", "n").agg(F.count("*").alias("a"))
@@ -291,8 +295,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = 64) -> tup
     for f in found[1:]:
         every = every.unionByName(f)
     named = materialise(looked_up(docs, every, bits), "collocation-phrases")
-    phrases = named.filter("good").select("lang", "phrase", "n", "a")
-    lost = every.select("fp", "n").join(named.filter("good").select("fp", "n"), ["fp", "n"], "left_anti")
+    phrases = named.select("lang", "phrase", "n", "a")
+    lost = every.select("fp", "n").join(named.select("fp", "n"), ["fp", "n"], "left_anti")
     if lost.limit(1).count():
         phrases = phrases.unionByName(recounted(docs, lost, bits).filter(F.col("a") >= least))
     total = docs.groupBy("lang").agg(F.sum(F.size(words_of(F.col("text"))).cast("long")).alias("total"))
