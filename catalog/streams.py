@@ -91,6 +91,28 @@ def stream_mirror(spark, sf):
     return live.latest_version(spark, out)
 
 
+@query("stream_mirror_stateful", MIRROR_SQL)
+def stream_mirror_stateful(spark, sf):
+    """The same from the stream's own state, over three runs of one checkpoint."""
+    out = new_path(spark, "mirror")
+    play(spark, sf, lambda rows, cp: live.each_batch(
+        live.stateful_mirror(rows.withColumn("worker", F.col("user_id") % 4), "worker", "event_id", 8, ["event_type"]), live.batch_folder(out), cp, "update"))
+    return live.slots_now(spark, out, "worker")
+
+
+TAKEN_SQL = "(SELECT unnest(range(0, 3 * ((count(*) + 2) // 3))) AS value FROM events)"
+
+
+@query("stream_endless", f"SELECT value, diagram_type, {TEXT_OF.replace('event_id', 'value')} AS target FROM (SELECT value, {TYPE_OF.replace('event_id', 'value')} AS diagram_type FROM {TAKEN_SQL})")
+def stream_endless(spark, sf):
+    """As many generated samples as there are events, from a source without an end in three runs of one checkpoint."""
+    out, checkpoint = new_path(spark, "endless"), new_path(spark, "stream")
+    each = -(-table(spark, sf, "events").count() // 3)
+    for _ in range(3):
+        live.to_files(live.samples(live.rate_rows(spark, each).select("value"), "value", 42), out, checkpoint)
+    return spark.read.parquet(out)
+
+
 @query("stream_mirror_by_epoch", """
     SELECT epoch, worker, event_id FROM (SELECT event_id, user_id % 4 AS worker, wave AS epoch, row_number() OVER (PARTITION BY wave, user_id % 4 ORDER BY event_id DESC) AS back
       FROM (SELECT *, floor((event_id - min(event_id) OVER ()) * 3 / (max(event_id) OVER () - min(event_id) OVER () + 1))::INTEGER AS wave FROM events)) WHERE back <= 8""")
@@ -101,7 +123,7 @@ def stream_mirror_by_epoch(spark, sf):
     epoch = F.floor((F.col("event_id") - low) * WAVES / (high - low + 1)).cast("int")
     write = live.cleared_each_epoch(out, epoch, "worker", "event_id", 8, [])
     play(spark, sf, lambda rows, cp: live.each_batch(rows.withColumn("worker", F.col("user_id") % 4), write, cp), count=2 * WAVES)
-    return live.latest_version(spark, out).select("epoch", "worker", "event_id")
+    return live.epoch_mirrors(spark, out).select("epoch", "worker", "event_id")
 
 
 @query("stream_atomic_output", "SELECT event_id, value FROM events")

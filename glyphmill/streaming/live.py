@@ -9,10 +9,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from glyphmill.functions.text import preview
 from glyphmill.operators.running import Run, meet, running
@@ -161,25 +163,103 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={found[-1]}")
 
 
+def hadoop_folder(spark: SparkSession, path: str):
+    """The folder and the file system it lies in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def epoch_folder(epoch) -> str:
+    return f"epoch={'__HIVE_DEFAULT_PARTITION__' if epoch is None else epoch}"
+
+
+def epoch_batches(spark: SparkSession, path: str, epoch: str = "epoch=*") -> dict[str, list[int]]:
+    """By epoch folder, the micro-batches that wrote it to the end, in order."""
+    pattern, files = hadoop_folder(spark, f"{path}/batch_id=*/{epoch}")
+    out: dict[str, list[int]] = {}
+    for f in files.globStatus(pattern) or []:
+        where = f.getPath()
+        if files.exists(hadoop_folder(spark, f"{where.getParent()}/_SUCCESS")[0]):
+            out.setdefault(where.getName(), []).append(int(where.getParent().getName().partition("=")[2]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def cleared_each_epoch(path: str, epoch: Column, worker: str, order: str, slots: int, payload: list[str]) -> BatchWriter:
     """Mirror that starts anew every epoch, and keeps what each epoch ended with.
 
-    An epoch may span many micro-batches: their rows join what the epoch holds so
-    far, and the last ``slots`` rows per worker stay. The table has slots x workers
-    rows per epoch.
+    A micro-batch writes the epochs that it has rows of and no other: those rows join what the epoch held
+    and the last ``slots`` rows per worker stay. An epoch's newest folder of a whole write is its state; the one before
+    stays for a replay, older ones go. So a micro-batch writes slots x workers rows per open epoch, however many are past.
     """
     back = F.row_number().over(Window.partitionBy("epoch", worker).orderBy(F.desc(order)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = batch.withColumn("epoch", epoch).select("epoch", worker, order, *payload)
-        rows = rows.withColumn("back", back).where(F.col("back") <= slots).drop("back")
-        old = committed_before(batch.sparkSession, path, batch_id)
-        both = rows if old is None else rows.unionByName(old)
-        new_version(both.withColumn("back", back).where(F.col("back") <= slots).drop("back"), path, batch_id)
+        rows = rows.withColumn("back", back).where(F.col("back") <= slots).drop("back").persist()
+        try:
+            touched = [r.epoch for r in rows.select("epoch").distinct().collect()]
+            both, spare = rows, []
+            for e in touched:
+                found = [n for n in epoch_batches(spark, path, epoch_folder(e)).get(epoch_folder(e), []) if n < batch_id]
+                if found:
+                    old = spark.read.parquet(f"{path}/batch_id={found[-1]}/{epoch_folder(e)}")
+                    both = both.unionByName(old.withColumn("epoch", F.lit(e).cast(rows.schema["epoch"].dataType)))
+                    spare += [f"{path}/batch_id={n}/{epoch_folder(e)}" for n in found[:-1]]
+            kept = both.withColumn("back", back).where(F.col("back") <= slots).drop("back")
+            kept.write.mode("overwrite").partitionBy("epoch").parquet(f"{path}/batch_id={batch_id}")
+            for name in spare:
+                folder, files = hadoop_folder(spark, name)
+                files.delete(folder, True)
+        finally:
+            rows.unpersist()
 
     return write
 
 
+def epoch_mirrors(spark: SparkSession, path: str) -> DataFrame:
+    """What each epoch's mirror holds, with its ``epoch``."""
+    newest = [f"{path}/batch_id={found[-1]}/{name}" for name, found in sorted(epoch_batches(spark, path).items())]
+    if not newest:
+        raise FileNotFoundError(f"no epoch in {path}")
+    return spark.read.option("basePath", path).parquet(*newest).drop("batch_id")
+
+
+def stateful_mirror(rows: DataFrame, worker: str, order: str, slots: int, payload: list[str]) -> DataFrame:
+    """The last rows per worker in rotating slots, held as the state of a stream.
+
+    A worker's state is its counter and its last ``slots`` rows, whatever has gone through. Each micro-batch gives the
+    mirror of the workers that it has rows of; within it rows may stand in any order. ``each_batch`` in update mode with
+    ``batch_folder`` keeps what it gives, and ``slots_now`` reads the newest row of every slot.
+    A worker's rows of one micro-batch go through one task, chunk by chunk; the intake bounds their number.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    columns = [order, *payload]
+
+    def keep(key, chunks, state):
+        seen, *held = state.get if state.exists else (0, *[[] for _ in columns])
+        last = [tuple(r) for r in zip(*held)]
+        for chunk in chunks:
+            seen += len(chunk)
+            fresh = [tuple(r) for r in chunk[columns].astype(object).where(chunk[columns].notna(), None).itertuples(index=False)]
+            last = sorted(last + fresh, key=lambda r: r[0])[-slots:]
+        state.update((seen, *[[r[i] for r in last] for i in range(len(columns))]))
+        counters = range(seen - len(last) + 1, seen + 1)
+        name = None if pd.isna(key[0]) else key[0]
+        out = {worker: [name] * len(last), "slot": [c % slots for c in counters], "counter": list(counters)}
+        yield pd.DataFrame({**{k: pd.Series(v, dtype=object) for k, v in out.items()}, **{c: pd.Series([r[i] for r in last], dtype=object) for i, c in enumerate(columns)}})
+
+    shown = ", ".join([f"`{worker}` {kinds[worker]}", "slot int", "counter long", *[f"`{c}` {kinds[c]}" for c in columns]])
+    held = ", ".join(["seen long", *[f"`{c}` array<{kinds[c]}>" for c in columns]])
+    return rows.select(worker, *columns).groupBy(worker).applyInPandasWithState(keep, shown, held, "update", GroupStateTimeout.NoTimeout)
+
+
+def slots_now(spark: SparkSession, path: str, worker: str) -> DataFrame:
+    """The newest row of each slot among all that a stateful mirror gave."""
+    rows = spark.read.parquet(path).drop("batch_id")
+    return rows.groupBy(worker, "slot").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (worker, "slot")]), "counter").alias("r")).select(worker, "slot", "r.*")
+
+
 def running_counts(path: str) -> BatchWriter:
     """Whole result of a complete-mode aggregate, one folder per micro-batch."""
 

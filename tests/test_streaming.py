@@ -101,6 +101,39 @@ def test_epoch_mirror_spans_batches_and_old_versions_go(spark, tmp_path):
         spark.range(low, high).select("id", (F.col("id") % 2).alias("worker")).write.mode("append").parquet(str(tmp_path / "in"))
         stream = live.file_rows(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
         live.each_batch(stream, write, str(tmp_path / "cp"))
-    got = sorted((r.epoch, r.id) for r in live.latest_version(spark, str(tmp_path / "m")).collect())
+    got = sorted((r.epoch, r.id) for r in live.epoch_mirrors(spark, str(tmp_path / "m")).collect())
     assert got == [(0, i) for i in range(22, 30)] + [(1, i) for i in range(52, 60)]
-    assert live.versions(spark, str(tmp_path / "m")) == [2, 3]
+    assert live.epoch_batches(spark, str(tmp_path / "m")) == {"epoch=0": [1, 2], "epoch=1": [2, 3]}
+
+
+def test_epoch_mirror_writes_open_epochs_only(spark, tmp_path):
+    """Twelve epochs, one micro-batch each: the last one writes as much as the first."""
+    write = live.cleared_each_epoch(str(tmp_path / "m"), F.floor(F.col("id") / 10).cast("int"), "worker", "id", 4, [])
+    for n in range(12):
+        write(spark.range(10 * n, 10 * n + 10).select("id", (F.col("id") % 2).alias("worker")), n)
+        assert spark.read.parquet(str(tmp_path / "m" / f"batch_id={n}")).count() == 8
+    assert live.epoch_mirrors(spark, str(tmp_path / "m")).count() == 12 * 8
+    # A micro-batch that is played again leaves the same; one that broke off is not seen.
+    write(spark.range(110, 120).select("id", (F.col("id") % 2).alias("worker")), 11)
+    (tmp_path / "m" / "batch_id=11" / "_SUCCESS").unlink()
+    assert live.epoch_mirrors(spark, str(tmp_path / "m")).where("epoch = 11").count() == 0
+    write(spark.range(110, 120).select("id", (F.col("id") % 2).alias("worker")), 11)
+    assert live.epoch_mirrors(spark, str(tmp_path / "m")).count() == 12 * 8
+    write(spark.range(3).select(F.lit(None).cast("long").alias("id"), F.lit(1).cast("long").alias("worker")), 12)
+    assert live.epoch_mirrors(spark, str(tmp_path / "m")).where("epoch is null").count() == 3
+
+
+def test_stateful_mirror_equals_batch(spark, tmp_path):
+    """Three runs of one checkpoint; a worker that comes late, one without a name, times and nulls as payload."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
+    worker = F.when(F.col("id") % 4 == 3, None).when((F.col("id") % 4 == 2) & (F.col("id") < 50), 0).otherwise(F.col("id") % 4)
+    note = F.when(F.col("id") % 5 > 0, F.concat(F.lit("t"), "id"))
+    for low, high in ((0, 7), (7, 60), (60, 200)):
+        df = spark.range(low, high, 1, 2).select(F.col("id"), worker.alias("worker"), note.alias("target"), at.alias("written_at"))
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.stateful_mirror(live.file_rows(spark, str(tmp_path / "in"), df.schema), "worker", "id", 5, ["target", "written_at"])
+        live.each_batch(stream, live.batch_folder(str(tmp_path / "m")), str(tmp_path / "cp"), "update")
+    columns = ["worker", "slot", "counter", "id", "target", "written_at"]
+    got = live.slots_now(spark, str(tmp_path / "m"), "worker").select(columns)
+    want = mirror_slots(spark.read.parquet(str(tmp_path / "in")), "worker", "id", 5, ["target", "written_at"]).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 20
