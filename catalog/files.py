@@ -10,7 +10,7 @@ from catalog.generation import G
 from catalog.registry import query, table
 from catalog.tables import SPLIT_SQL, split_docs
 from glyphmill.functions.draws import Draws
-from glyphmill.operators import metrics
+from glyphmill.operators import metrics, summary
 from glyphmill.plans import corpus, vocabulary as v
 from glyphmill.session import new_path
 from glyphmill.sources import files
@@ -133,3 +133,41 @@ def snk_run_summary(spark, sf):
     )
     files.write_run_summary(facts, path)
     return spark.read.schema("best_val_loss double, num_epochs bigint, on_the_fly boolean, total_train_seconds double").json(path)
+
+
+RUN_SQL = f"(SELECT epoch, sum(val_loss) AS val_loss, sum(steps)::DOUBLE / 7 AS val_token_acc, sum(seconds)::DOUBLE / 9 AS train_token_acc, sum(seconds) AS seconds FROM {s.HISTORY_SQL} WHERE run = 'click' GROUP BY 1)"
+
+
+@query("snk_sequence_summary", f"""
+    SELECT part, size, 6000 AS vocab_size, best_val_loss, final_val_token_acc, final_train_token_acc, q AS qualitative_exact_match_rate, r AS roundtrip_exact_match_rate, num_epochs, true AS on_the_fly,
+      'unbounded (on the fly)' AS num_train_samples, num_val_samples, total_train_seconds
+    FROM (SELECT c_mktsegment AS part, count(*) AS size FROM customer GROUP BY 1),
+      (SELECT min(val_loss) AS best_val_loss, arg_max(val_token_acc, epoch) AS final_val_token_acc, arg_max(train_token_acc, epoch) AS final_train_token_acc, count(*)::INTEGER AS num_epochs, sum(seconds)::DOUBLE AS total_train_seconds FROM {RUN_SQL}),
+      (SELECT count(*) FILTER (WHERE ok) / count(*) AS r, count(*) FILTER (WHERE ok AND doc_id % 2 = 0) / count(*) FILTER (WHERE doc_id % 2 = 0) AS q, count(*)::INTEGER AS num_val_samples
+        FROM (SELECT doc_id, {s.sql_strip('ground_truth')} = {s.sql_strip('prediction')} AS ok FROM {s.predictions_sql()}))""")
+def snk_sequence_summary(spark, sf):
+    """All facts of a training run, written as one nested row and read back; a row per part of the model here."""
+    path = new_path(spark, "summary")
+    run = s.history(spark, sf).where("run = 'click'").select("epoch", "val_loss", (F.col("steps") / 7).alias("val_token_acc"), (F.col("seconds") / 9).alias("train_token_acc"), "seconds")
+    params = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    scored = metrics.exact_match(s.predictions(spark, sf))
+    facts = summary.sequence_summary(run, params, v.VOCAB_SIZE, scored.where("doc_id % 2 = 0"), scored, scored, None)
+    files.write_run_summary(facts, path)
+    back = summary.read_summary(spark, path, summary.SEQUENCE_SUMMARY)
+    return back.select(F.explode("model_size_params").alias("part", "size"), *[c for c in back.columns if c != "model_size_params"])
+
+
+@query("snk_classifier_summary", f"""
+    SELECT truth, pred, coalesce(n, 0) AS n, best_val_acc, num_epochs, num_train_images, num_val_images
+    FROM (SELECT unnest(['A', 'N', 'R']) AS truth) CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS pred) LEFT JOIN (SELECT truth, pred, count(*) AS n FROM {s.ANSWERS_SQL} GROUP BY 1, 2) USING (truth, pred),
+      (SELECT max(val_loss) AS best_val_acc, count(*)::INTEGER AS num_epochs FROM {s.HISTORY_SQL} WHERE run = 'view'),
+      (SELECT count(*) FILTER (WHERE split = 'train') AS num_train_images, count(*) FILTER (WHERE split = 'val') AS num_val_images FROM {SPLIT_SQL})""")
+def snk_classifier_summary(spark, sf):
+    """The classifier's facts with its confusion matrix, written and read back; a row per cell here."""
+    path = new_path(spark, "summary")
+    run = s.history(spark, sf).where("run = 'view'").withColumnRenamed("val_loss", "val_accuracy")
+    files.write_run_summary(summary.classifier_summary(run, s.answers(spark, sf), "truth", "pred", s.CLASSES, split_docs(spark, sf)), path)
+    back = summary.read_summary(spark, path, summary.CLASSIFIER_SUMMARY)
+    cells = back.select("*", F.posexplode("final_confusion_matrix").alias("t", "row")).select("*", F.posexplode("row").alias("p", "n"))
+    facts = ["best_val_acc", "num_epochs", "num_train_images", "num_val_images"]
+    return cells.select(F.get("classes", F.col("t")).alias("truth"), F.get("classes", F.col("p")).alias("pred"), "n", *facts)

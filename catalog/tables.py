@@ -10,7 +10,7 @@ from catalog.registry import query, table
 from glyphmill.functions import text
 from glyphmill.functions.draws import u32
 from glyphmill.operators import classify, metrics, splits
-from glyphmill.operators.repair import corner, positional_join, reading_order
+from glyphmill.operators.repair import corner, kth_with_kth, positional_join, reading_order
 from glyphmill.session import spread
 
 SPLIT_SQL = """(SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id)
@@ -130,6 +130,18 @@ def join_positional(spark, sf):
     return positional_join(left, right, "conv_id", "turn")
 
 
+@query("join_kth_with_kth", """
+    SELECT conv_id, turn, pos, original, replacement FROM
+      (SELECT conv_id, turn, text AS original, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations WHERE role = 'user') LEFT JOIN
+      (SELECT conv_id, text AS replacement, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations WHERE role = 'assistant') USING (conv_id, pos)""")
+def join_kth_with_kth(spark, sf):
+    """The k-th question of a conversation with its k-th answer, wherever they stand."""
+    conv = table(spark, sf, "conversations")
+    left = conv.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("original"))
+    right = conv.where("role = 'assistant'").select("conv_id", F.col("turn").alias("at"), F.col("text").alias("replacement"))
+    return kth_with_kth(left, right, ["conv_id"], ["turn"], ["at"]).select("conv_id", "turn", "pos", "original", "replacement")
+
+
 @query("join_class_zero_fill", f"""
     SELECT event_type, coalesce(n, 0) AS n FROM (SELECT unnest({arr(['click', 'error', 'missing', 'purchase', 'view'])}) AS event_type)
     FULL JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type)""")
@@ -196,6 +208,15 @@ def agg_loss_means(spark, sf):
     return metrics.losses(s.steps(spark, sf), "loss", "correct", ["epoch"])
 
 
+@query("eval_epoch_metrics", f"""
+    SELECT epoch, part, round(sum(loss * total) / greatest(sum(total), 1), 6) AS weighted_loss, round(avg(loss), 6) AS mean_loss, sum(correct) / greatest(sum(total), 1) AS token_accuracy
+    FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'val' ELSE 'train' END AS part FROM {s.STEPS_SQL}) GROUP BY 1, 2""")
+def eval_epoch_metrics(spark, sf):
+    """Loss and accuracy of each epoch, train beside validation."""
+    steps = s.steps(spark, sf).withColumn("part", F.when(F.col("event_id") % 5 == 0, "val").otherwise("train"))
+    return metrics.epoch_metrics(steps, ["epoch", "part"])
+
+
 @query("agg_exact_match_rate", f"""
     SELECT diagram_type, grouping(diagram_type) = 1 AS is_total, count(*) FILTER (WHERE ok) AS matches, count(*) AS n, count(*) FILTER (WHERE ok) / count(*) AS rate
     FROM (SELECT diagram_type, {s.sql_strip('ground_truth')} = {s.sql_strip('prediction')} AS ok FROM {s.predictions_sql()}) GROUP BY ROLLUP (diagram_type)""")

@@ -102,6 +102,24 @@ def join_token_ids(spark, sf):
     return words.join(vocab, "word", "left").select("doc_id", "pos", F.coalesce("id", F.lit(3)).alias("id"))
 
 
+VOCABULARY_SQL = """(SELECT word, (row_number() OVER (ORDER BY n DESC, word) + 3)::INTEGER AS id FROM
+      (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, word) <= 5996)"""
+PLACED_SQL = "(SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS pos FROM documents)"
+
+
+@query("join_ids_to_tokens", f"""
+    SELECT doc_id, string_agg(CASE WHEN id IS NULL THEN '<unk>' ELSE word END, ' ' ORDER BY pos) AS text, count(*) FILTER (WHERE id IS NULL) AS unknown, sum(coalesce(id, 3))::BIGINT AS ids
+    FROM {PLACED_SQL} LEFT JOIN {VOCABULARY_SQL} USING (word) GROUP BY 1""")
+def join_ids_to_tokens(spark, sf):
+    """Words to ids through a ranked vocabulary, and the ids back to text."""
+    words = texts(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    vocabulary = seq.ranked_vocabulary(words, "word", 5996, 4)
+    ids = seq.words_to_ids(words, "word", vocabulary, 3)
+    back = seq.ids_to_text(ids, "doc_id", "pos", vocabulary, "word", "<unk>")
+    sums = ids.groupBy("doc_id").agg(F.count_if(F.col("id") == 3).alias("unknown"), F.sum(F.col("id").cast("bigint")).alias("ids"))
+    return back.join(sums, "doc_id")
+
+
 # --- sequences ------------------------------------------------------------------------
 
 IDS = s.TOKEN_IDS_SQL
@@ -136,6 +154,12 @@ def seq_pad_batch(spark, sf):
     return padded(spark, sf).select("doc_id", "batch_id", shown(F.col("ids")).alias("ids"))
 
 
+@query("seq_padded_batches", f"SELECT doc_id, batch_id, array_to_string(ids, ' ') AS ids FROM {PADDED}")
+def seq_padded_batches(spark, sf):
+    """Batches and padding with one shuffle of the sequences."""
+    return seq.padded_batches(framed(spark, sf), "doc_id", "ids", 16).select("doc_id", "batch_id", shown(F.col("ids")).alias("ids"))
+
+
 @query("seq_shift_pair", f"SELECT doc_id, array_to_string(ids[:-2], ' ') AS inputs, array_to_string(ids[2:], ' ') AS labels FROM {SEQ}")
 def seq_shift_pair(spark, sf):
     inputs, labels = seq.shift_pair(F.col("ids"))

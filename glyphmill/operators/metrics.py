@@ -90,6 +90,16 @@ def losses(df: DataFrame, loss: str, tokens: str, by: Sequence[str] = ()) -> Dat
     )
 
 
+def epoch_metrics(steps: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Both means of the loss and the token accuracy per group of steps (loss, correct, total), in one pass."""
+    value, n = F.col("loss").cast("double"), F.sum("total")
+    known = F.when(value.isNotNull(), F.col("total"))
+    return steps.groupBy(*by).agg(
+        F.round(F.sum(value * F.col("total")) / F.greatest(F.sum(known), F.lit(1)), DECIMALS).alias("weighted_loss"),
+        F.round(F.avg(value), DECIMALS).alias("mean_loss"), (F.sum("correct") / F.greatest(n, F.lit(1))).alias("token_accuracy"),
+    )
+
+
 def sampled_loss(df: DataFrame, loss: str, samples: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean of batch losses weighted by the samples in each batch."""
     return losses(df, loss, samples, by).select(*by, F.col("weighted_loss").alias("sample_loss"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.draws import let
 from glyphmill.functions.text import labels_of
+from glyphmill.operators.running import ROWS_PER_BUCKET, meet, with_rank
 
 ROW_HEIGHT = 20  # fixed value: boxes whose tops round to the same row are read left to right
 
@@ -51,3 +52,14 @@ def substitutions(code: Column, texts: Column) -> Column:
 def positional_join(left: DataFrame, right: DataFrame, key: str, pos: str) -> DataFrame:
     """The k-th left row with the k-th right row; surplus on the right is dropped."""
     return left.join(right, [key, pos], "left")
+
+
+def kth_with_kth(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The k-th left row of a group with the k-th right row, each side in its own order; callers bring no positions.
+
+    Left rows stay where the right side runs out; a surplus on the right is dropped. Both orders are total and
+    begin with a number; groups are ranked in buckets, so a large one is spread. Adds ``pos`` from 1 on.
+    """
+    a = with_rank(left, by, left_order, "pos", rows_per_bucket)
+    b = with_rank(right, by, right_order, "pos", rows_per_bucket)
+    return meet(a, b.select(*by, "pos", *[c for c in right.columns if c not in left.columns]), [*by, "pos"], "left")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.running import ROWS_PER_BUCKET, with_rank
 from glyphmill.plans.vocabulary import BOS, EOS, PAD
+from glyphmill.session import materialise
 
 
 def ints(*values: int) -> Column:
@@ -25,6 +27,21 @@ def pad_batches(df: DataFrame, ids: str, batch: str = "batch_id") -> DataFrame:
     ).drop("_longest")
 
 
+def padded_batches(df: DataFrame, order: str, ids: str, size: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Batches of ``size`` rows in order of a unique key, padded to the longest sequence of each.
+
+    Keys and lengths alone are ranked, batched and compared; the sequences move once, to meet their batch and its
+    length on the key.
+    """
+    slim = df.select(order, F.size(ids).alias("_n"))
+    ranked = with_rank(slim, [], [order], "_place", rows_per_bucket).withColumn("batch_id", F.expr(f"(_place - 1) div {size}"))
+    longest = F.max("_n").over(Window.partitionBy("batch_id")).alias("_longest")
+    known = ranked.select(order, "batch_id", longest).repartition(F.col(order))
+    met = df.join(known, order)
+    padded = F.concat(F.col(ids), F.array_repeat(F.lit(PAD), F.col("_longest") - F.size(ids)))
+    return met.withColumn(ids, padded).select(*df.columns, "batch_id")
+
+
 def shift_pair(ids: Column) -> tuple[Column, Column]:
     """Model input (all but the last id) and labels (all but the first)."""
     n = F.greatest(F.size(ids) - 1, F.lit(0))
@@ -55,3 +72,22 @@ def truncation_report(df: DataFrame, ids: str, max_len: int) -> DataFrame:
         F.coalesce(F.sum(F.greatest(over, F.lit(0))), F.lit(0)).cast("bigint").alias("tokens_lost"),
         F.coalesce(F.max(F.size(ids)), F.lit(0)).alias("longest"),
     )
+
+
+def ranked_vocabulary(words: DataFrame, word: str, size: int, first_id: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(word, id): the ``size`` most frequent words, ids from ``first_id`` on by frequency and then by word."""
+    counts = words.groupBy(word).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.where(F.col(word).isNotNull()).orderBy(F.desc("_n"), word).limit(size).withColumn("_n", -F.col("_n"))
+    ranked = with_rank(top, [], ["_n", word], "_place", rows_per_bucket)
+    return materialise(ranked.select(word, (F.col("_place") + first_id - 1).cast("int").alias("id")), "vocabulary")
+
+
+def words_to_ids(words: DataFrame, word: str, vocabulary: DataFrame, unknown: int) -> DataFrame:
+    """Add ``id``; Catalyst sends the vocabulary to all tasks if it is small enough."""
+    return words.join(vocabulary, word, "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
+
+
+def ids_to_text(ids: DataFrame, by: str, pos: str, vocabulary: DataFrame, word: str, unknown: str) -> DataFrame:
+    """(by, text): the words of the ids in order of their place, a blank between."""
+    named = ids.select(by, pos, "id").join(vocabulary, "id", "left").withColumn(word, F.coalesce(word, F.lit(unknown)))
+    return named.groupBy(by).agg(F.array_join(F.sort_array(F.collect_list(F.struct(pos, word)))[word], " ").alias("text"))
