@@ -9,20 +9,25 @@ is filled from left to right: an automaton names all pieces that end at a place,
 and the pair test picks the one that fits. The ids are then read backwards.
 
 No piece of the vocabulary has a word mark behind another character, so a text
-is cut in front of each run of marks, every segment is encoded alone, and a
-bounded memo per Python worker keeps the segments seen.
+is cut in front of each run of marks, and a segment between two characters that stand side by
+side in no piece either; what is left is encoded and decoded alone.
+Arrow gives the different segments of a batch, so each is looked at once there, and
+a bounded memo per Python worker keeps those seen.
 
-Null texts count as empty. An empty text has the end id only. Repeated rows,
+Null texts count as empty. An empty text has the end id only. Very long texts are encoded in
+batches of their own, in memory in proportion to their length. Repeated rows,
 ties and extra columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +37,10 @@ from glyphmill.llm.common import sliced
 MARK = "▁"
 #: Segments that one worker remembers; the memo starts afresh when it is full.
 MEMO = 300_000
+LONG = 200
 PAIRS = 400_000
+#: Runs of letters, and runs of anything else.
+RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+").findall
 
 
 def settings(model: bytes) -> dict[int, dict[int, int]]:
@@ -94,16 +102,21 @@ class Pieces:
             tree = self.tree(x)
             if tree is not None:
                 self.right[x], self.left[x] = self.spine(tree, 1), self.spine(tree, 0)
-                self.automaton.add_word(x, x)
+                self.automaton.add_word(x, self.ids[x])
         self.automaton.make_automaton()
         self.surface = [x.replace(MARK, " ") for x in names]
         for i in special:
             self.surface[i] = ""
         self.surface[self.unk] = " ⁇ "
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.first_byte, self.last_byte = min(self.byte_of, default=0), max(self.byte_of, default=-1)
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.last_byte = max(self.byte_of, default=-1)
+        self.pairs = {a + b for x in self.ids for a, b in zip(x, x[1:])}
+        self.names, self.count, self.length = names, count, [len(x) for x in names]
+        #: Whether letters stand beside other characters in no piece, apart from marks.
+        self.apart = all(len(RUNS(x.lstrip(MARK))) <= 1 for x in self.ids)
+        self.fits: dict[int, bool] = {}
+        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.parts: dict[str, tuple[bytes, str]] = {}
 
     def tree(self, piece: str):
         """How the merges build ``piece``: (text, birth, left, right), or None if they end elsewhere."""
@@ -129,86 +142,67 @@ class Pieces:
             gone, tree = tree[1], tree[2 + side]
         return out
 
-    def compatible(self, u: str, t: str) -> bool:
-        """No merge crosses the border of ``u`` and ``t`` while its two parts stand beside each other."""
-        known = self.fits.get((u, t))
-        if known is None:
-            known = not any(
-                (rank := self.rank.get(a + b)) is not None and (at := max(rank, born_a, born_b)) < gone_a and at <= gone_b
-                for a, born_a, gone_a in self.right[u]
-                for b, born_b, gone_b in self.left[t]
-            )
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            self.fits[u, t] = known
+    def compatible(self, u: int, t: int) -> bool:
+        """No merge crosses the border of pieces ``u`` and ``t`` while its two parts stand beside each other."""
+        known = not any(
+            (rank := self.rank.get(a + b)) is not None and (at := max(rank, born_a, born_b)) < gone_a and at <= gone_b
+            for a, born_a, gone_a in self.right[self.names[u]]
+            for b, born_b, gone_b in self.left[self.names[t]]
+        )
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        self.fits[u * self.count + t] = known
         return known
 
-    def segment(self, text: str) -> bytes:
-        """The ids of one segment, as packed 32-bit numbers."""
-        last: list[str | None] = [None] * (len(text) + 1)
-        known = [False] * (len(text) + 1)
-        known[0], filled = True, 0
-
-        def strange(upto: int) -> None:
-            """Places where no piece ends hold a character outside the vocabulary: nothing merges across it."""
-            nonlocal filled
-            while filled < upto:
-                filled += 1
-                known[filled] = True
-
+    def segment(self, text: str) -> list[int]:
+        """The ids of one segment."""
+        n = len(text)
+        last = [-1] * (n + 1)
+        filled, fits, length, count = 0, self.fits, self.length, self.count
         for end, piece in self.automaton.iter(text):
-            strange(end)
-            if known[end + 1]:
+            # Places where no piece ends hold a character outside the vocabulary: nothing merges across it.
+            while filled < end:
+                filled += 1
+            if filled > end:
                 continue
-            start = end + 1 - len(piece)
-            before = last[start]
-            if before is None or self.compatible(before, piece):
-                last[end + 1], known[end + 1], filled = piece, True, end + 1
-        strange(len(text))
+            before = last[end + 1 - length[piece]]
+            if before >= 0:
+                fit = fits.get(before * count + piece)
+                if fit is None:
+                    fit = self.compatible(before, piece)
+                if not fit:
+                    continue
+            filled = end + 1
+            last[filled] = piece
         out: list[int] = []
-        at = len(text)
+        at = n
         while at:
             piece = last[at]
-            if piece is None:
+            if piece < 0:
                 found = [self.bytes.get(b, self.unk) for b in text[at - 1].encode()]
                 out.extend(reversed(found if self.bytes else [self.unk]))
                 at -= 1
             else:
-                out.append(self.ids[piece])
-                at -= len(piece)
-        return np.array(out[::-1], dtype=np.int32).tobytes()
-
-    def learn(self, keys: list[str], prefix: str) -> None:
-        for key in keys:
-            if key not in self.memo:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[key] = self.segment(prefix + key)
+                out.append(piece)
+                at -= length[piece]
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> bytes:
         """Packed ids of the text, without an end id."""
         if not text:
             return b""
-        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            parts = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))
-            return b"".join([self.memo.get(p[1:]) or self.one(p) for p in parts])
-        parts = text.split(" ")
-        try:
-            return b"".join([self.memo[p] for p in parts])
-        except KeyError:
-            return b"".join([self.memo.get(p) or self.one(MARK + p) for p in parts])
-
-    def one(self, segment: str) -> bytes:
-        if len(segment) > 200:
-            return self.segment(segment)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        return self.memo.setdefault(segment[1:], self.segment(segment))
+        parts = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))
+        return b"".join([self.known(p[1:])[0] if p[1:2] != MARK else array("i", self.segment(p)).tobytes() for p in parts])
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: marks become blanks, the leading one goes, byte runs are read as UTF-8."""
+        text = self.joined(ids)
+        return text[1:] if text[:1] == " " and self.starts_marked(ids) else text
+
+    def joined(self, ids: list[int]) -> str:
         surface = self.surface
-        if self.byte_of and any(self.first_byte <= i <= self.last_byte for i in ids):
+        if self.byte_of and ids and min(ids) <= self.last_byte:
             out: list[str] = []
             run = bytearray()
             for i in ids:
@@ -221,10 +215,84 @@ class Pieces:
                 out.append(surface[i])
             if run:
                 out.append(lenient(bytes(run)))
-            text = "".join(out)
-        else:
-            text = "".join([surface[i] for i in ids])
-        return text[1:] if text[:1] == " " and self.starts_marked(ids) else text
+            return "".join(out)
+        return "".join([surface[i] for i in ids])
+
+    def one(self, run: str) -> tuple[bytes, str]:
+        """Packed ids of a run of characters, and the text that they decode to."""
+        found = self.memo.get(run)
+        if found is None:
+            ids = self.segment(run)
+            found = array("i", ids).tobytes(), self.joined(ids)
+            if len(run) <= LONG:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[run] = found
+        return found
+
+    def known(self, part: str) -> tuple[bytes, str]:
+        """The same of a part between blanks, which a mark stands before."""
+        if part.isascii() and part.isalpha():
+            return self.one(MARK + part)
+        found = self.parts.get(part)
+        if found is None:
+            found = self.joint(MARK + part)
+            if len(part) <= LONG:
+                if len(self.parts) >= MEMO:
+                    self.parts.clear()
+                self.parts[part] = found
+        return found
+
+    def joint(self, part: str) -> tuple[bytes, str]:
+        """No token crosses the border of two characters that stand side by side in no piece."""
+        pairs = self.pairs
+        if self.apart and part[1:].isascii():
+            runs = RUNS(part[1:]) or [""]
+            runs[0] = MARK + runs[0]
+            met = [self.one(r) for r in runs]
+            return b"".join([ids for ids, _ in met]), "".join([text for _, text in met])
+        cuts = [k for k, (a, b) in enumerate(zip(part, part[1:]), 1) if a + b not in pairs]
+        if not cuts:
+            return self.one(part)
+        met = [self.one(part[a:b]) for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
+        return b"".join([ids for ids, _ in met]), "".join([text for _, text in met])
+
+    def batch(self, texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
+        """Ids with an end id, and decoded texts.
+
+        Texts are cut at blanks in Arrow; only the different parts of the batch are encoded and decoded. Texts with
+        marks of their own or with blanks side by side or at an end are taken one by one.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        odd = pc.or_(pc.match_substring_regex(texts, f"{MARK}|  |^ | $"), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        met = [self.known(p) for p in coded.dictionary.to_pylist()]
+        alone = np.flatnonzero(odd)
+        ones = [self.encode(t) for t in texts.take(pa.array(alone)).to_pylist()]
+        # One list of runs of ids: the parts, the texts that stand alone, the end id.
+        runs = [ids for ids, _ in met] + ones + [np.array([self.end], np.int32).tobytes()]
+        flat = np.frombuffer(b"".join(runs), np.int32)
+        width = np.array([len(r) // 4 for r in runs], np.int32)
+        start = np.cumsum(width, dtype=np.int32) - width
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(alone):
+            place = place[np.repeat(~odd, sizes)]
+            place = np.insert(place, np.cumsum(np.where(odd, 0, sizes))[alone], len(met) + np.arange(len(alone)))
+            sizes[alone] = 1
+        place = np.insert(place, np.cumsum(sizes), len(runs) - 1)
+        each = width[place]
+        ends = np.cumsum(each, dtype=np.int32)
+        values = flat[np.repeat(start[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        offsets = np.append(np.zeros(1, np.int32), ends[np.cumsum(sizes + 1) - 1])
+        spelled = pa.array([t for _, t in met], pa.string()).take(coded.indices)
+        joined = pc.binary_join(pa.ListArray.from_arrays(parts.offsets, spelled), "")
+        back = pc.utf8_slice_codeunits(joined, 1)  # the first part's mark
+        if len(alone):
+            some = pa.array([self.decode(np.frombuffer(o, np.int32).tolist()) for o in ones], pa.string())
+            back = pc.replace_with_mask(back, pa.array(odd), some)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), back
 
     def starts_marked(self, ids: list[int]) -> bool:
         first = next((i for i in ids if self.surface[i] or i in self.byte_of), None)
@@ -261,14 +329,9 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", ids: str = "ids
 
     def run(batches):
         known = pieces(model)
-        end = np.array([known.end], dtype=np.int32).tobytes()
         for batch in sliced(batches, text):
-            packed = [known.encode(t or "") + end for t in batch.column(text).to_pylist()]
-            offsets = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
-            flat = np.frombuffer(b"".join(packed), dtype=np.int32)
-            back = [known.decode(flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(back, pa.string())], names=schema.fieldNames())
+            lists, back = known.batch(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, back], names=schema.fieldNames())
 
     return kept.mapInArrow(run, schema)
 
