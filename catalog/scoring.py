@@ -324,6 +324,15 @@ def eval_label_entropy(spark, sf):
     return metrics.label_entropy(table(spark, sf, "conversations"), "role", F.split("text", " "))
 
 
+@query("eval_quoted_label_entropy", """
+    SELECT host, sum(n)::BIGINT AS n, count(*) AS labels, max(n) / sum(n) AS top_share, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS bits FROM
+      (SELECT host, label, count(*) AS n FROM (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, unnest(regexp_extract_all(html, '"([^"]*)"', 1)) AS label FROM pages) GROUP BY 1, 2) GROUP BY 1""")
+def eval_quoted_label_entropy(spark, sf):
+    """Quoted labels of the pages, hosts for classes."""
+    pages = table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("host"), "html")
+    return metrics.label_entropy(pages, "host", text.labels_of(F.col("html")))
+
+
 # --- structure of flowcharts ----------------------------------------------------------------
 
 

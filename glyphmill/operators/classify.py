@@ -6,24 +6,34 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.functions.vectors import arg_max, softmax
+from glyphmill.operators.running import ROWS_PER_BUCKET, with_rank
+from glyphmill.session import materialise
 
 Predict = Callable[[np.ndarray], np.ndarray]
 
 
-def label_index(df: DataFrame, label: str, name: str = "label_id") -> DataFrame:
-    """Add the 0-based alphabetical position of the label among the labels present.
+def label_index(df: DataFrame, label: str, name: str = "label_id", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add the 0-based alphabetical position of the label among the labels present; none for a null label.
 
-    For class names: the list of distinct labels is held in memory.
+    The distinct labels are ranked in buckets by their first bytes, so there may be as many as rows; Catalyst sends
+    their table to all tasks only if it is small.
     """
-    kept = StringIndexer(inputCol=label, outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
-    return kept.transform(df).withColumn(name, F.when(F.col(label).isNotNull(), F.col("_i").cast("int"))).drop("_i")
+    text = F.col(label).cast("string")
+    labels = df.where(F.col(label).isNotNull()).select(text.alias("_label")).distinct().withColumn("_first", first_of("_label"))
+    ranked = with_rank(labels, [], ["_first", "_label"], "_place", rows_per_bucket)
+    known = materialise(ranked.select("_label", (F.col("_place") - 1).cast("int").alias(name)), "labels")
+    return df.join(known, text == F.col("_label"), "left").drop("_label")
+
+
+def first_of(text: str) -> Column:
+    """The first six bytes of a string as a number that rises with it."""
+    return F.conv(F.rpad(F.substring(F.hex(text), 1, 12), 12, "0"), 16, 10).cast("long")
 
 
 def train_classifier(train: DataFrame, features: str, label: str, iterations: int = 15) -> LogisticRegressionModel:

@@ -65,3 +65,15 @@ def test_summaries_come_back_whole(spark, tmp_path):
     told.write.json(str(tmp_path / "c"))
     got = summary.read_summary(spark, str(tmp_path / "c"), summary.CLASSIFIER_SUMMARY).first()
     assert tuple(got) == (["a", "b", "c"], 0.6, [[1, 1, 0], [0, 1, 0], [0, 0, 0]], 2, 2, 1)
+
+
+def test_label_index_ranks_in_spark(spark):
+    from glyphmill.operators.classify import label_index
+
+    words = ["b", "a", "ab", "aaaaaaz", "aaaaaab", "Z", "é", "日本", "", "a\x00", None, "b"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    order = sorted({w for w in words if w is not None}, key=lambda w: w.encode())
+    for rows in (2_000_000, 3):
+        got = {r.i: r.label_id for r in label_index(df, "w", rows_per_bucket=rows).collect()}
+        assert got == {i: None if w is None else order.index(w) for i, w in enumerate(words)}
+    assert label_index(df.select(F.col("i").alias("w")), "w").where("label_id is null").count() == 0
