@@ -150,23 +150,29 @@ def conv_key() -> Column:
 
 
 def ranked(rows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(conv, turn, role, text, rank, letter, blank, duplicate, truncated) of rows (conv_id, turn, role, text)."""
+    """(conv, turn, role, text, rank) and what the text shows by itself, of rows (conv_id, turn, role, text)."""
     blank = F.lit(" ")
     told = rows.select(conv_key(), F.col("turn").cast("long").alias("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
     order = F.coalesce("turn", F.lit(-(2**63))).alias("_order")
     placed = with_rank(told.select("*", order), ["conv"], ["_order", "role", "text"], "rank", rows_per_bucket).drop("_order")
-    placed = materialise(placed, "conversation-rows")
-    first = placed.groupBy("conv", "role", F.sha2("text", 256).alias("h")).agg(F.min("rank").alias("rank"))
-    # Joined on the rank, so that a text that is said over and over is no hot key.
-    marked = placed.join(first.select("conv", "rank", F.lit(True).alias("first")), ["conv", "rank"], "left")
     empty = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    again = ~empty & F.col("first").isNull()
-    cut = ~empty & ~again & ~F.col("text").rlike(rf"[.!?]{SPACE}*\z")
+    open_ = ~F.col("text").rlike(rf"[.!?]{SPACE}*\z")
+    return materialise(placed.withColumns({"empty": empty, "open": open_, "h": F.sha2("text", 256)}), "conversation-rows")
+
+
+def lettered(placed: DataFrame) -> DataFrame:
+    """(conv, turn, rank, letter, blank, duplicate, truncated) of ranked rows; texts stay where they are."""
+    slim = placed.select("conv", "turn", "role", "rank", "empty", "open", "h")
+    first = slim.groupBy("conv", "role", "h").agg(F.min("rank").alias("rank"))
+    # Joined on the rank, so that a text that is said over and over is no hot key.
+    marked = slim.drop("h").join(first.select("conv", "rank", F.lit(True).alias("first")), ["conv", "rank"], "left")
+    again = ~F.col("empty") & F.col("first").isNull()
+    cut = ~F.col("empty") & ~again & F.col("open")
     kind = F.when(F.substring("role", 1, 1).isin(*KINDS), F.instr(F.lit(KINDS), F.substring("role", 1, 1)) - 1).otherwise(len(KINDS))
-    state = F.when(empty | again, 2).when(cut, 1).otherwise(0)
+    state = F.when(F.col("empty") | again, 2).when(cut, 1).otherwise(0)
     letter = F.chr(F.lit(FIRST_LETTER) + 3 * kind + state)
-    flags = [c.cast("long").alias(n) for n, c in (("blank", empty), ("duplicate", again), ("truncated", cut))]
-    return marked.select("conv", "turn", "role", "text", "rank", letter.alias("letter"), *flags)
+    flags = [c.cast("long").alias(n) for n, c in (("blank", F.col("empty")), ("duplicate", again), ("truncated", cut))]
+    return materialise(marked.select("conv", "turn", "rank", letter.alias("letter"), *flags), "conversation-letters")
 
 
 def in_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -216,10 +222,10 @@ def forwards(ends: list[list[int]]) -> list[int]:
 
 
 def edits(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Per block (conv, block, code, start, edits), and per conversation (conv, cost, illegal)."""
+    """Per block (conv, block, code, first, start, edits), and per conversation (conv, cost, illegal)."""
     placed = in_blocks(rows.select("conv", "rank", "letter"), block)
     letters = F.sort_array(F.collect_list(F.struct("rank", "letter")))["letter"]
-    coded = placed.groupBy("conv", "block").agg(F.array_join(letters, "").alias("code"))
+    coded = placed.groupBy("conv", "block").agg(F.array_join(letters, "").alias("code"), F.min("rank").alias("first"))
     coded = mapped(coded, ["code"], "costs", "array<bigint>", lambda c: list(matrix(c)))
     coded = materialise(mapped(coded, ["code"], "illegal", "bigint", illegal_in), "conversation-blocks")
     ends = F.struct("block", "costs", "illegal", F.left("code", F.lit(1)).alias("head"), F.right("code", F.lit(1)).alias("tail"))
@@ -233,7 +239,7 @@ def edits(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     sums = whole.select("conv", F.element_at(F.element_at("vectors", -1), START + 1).alias("cost"), illegal.alias("illegal"))
     at = whole.select("conv", F.size("vectors").alias("_n"), F.posexplode("vectors").alias("_i", "vector"))
     at = at.select("conv", F.col("_i").cast("long").alias("block"), "vector", (F.col("_i") == F.col("_n") - 2).alias("last")).filter("_i < _n - 1")
-    known = coded.select("conv", "block", "code").join(at, ["conv", "block"])
+    known = coded.select("conv", "block", "code", "first").join(at, ["conv", "block"])
     several = known.filter(~F.col("last") | (F.col("block") > 0))
     each = mapped(several, ["code", "vector", "last"], "ends", "array<bigint>", lambda c, v, x: [walk(c, tuple(v), q, x)[1] for q in range(4)])
     starts = each.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("block", "ends"))).alias("b")).select("conv", F.col("b.ends").alias("ends"))
@@ -241,19 +247,18 @@ def edits(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     starts = materialise(starts.select("conv", F.col("_i").cast("long").alias("block"), "start"), "conversation-states")
     known = known.join(starts, ["conv", "block"], "left").withColumn("start", F.coalesce("start", F.lit(START).cast("long")))
     done = mapped(known, ["code", "vector", "start", "last"], "done", "struct<edits:string,state:int>", lambda c, v, q, x: dict(zip(("edits", "state"), walk(c, tuple(v), q, x), strict=True)))
-    return materialise(done.select("conv", "block", "code", "start", F.col("done.edits").alias("edits")), "conversation-edits"), sums
+    return materialise(done.select("conv", "block", "code", "first", "start", F.col("done.edits").alias("edits")), "conversation-edits"), sums
 
 
 def acted(blocks: DataFrame) -> DataFrame:
-    """(conv, block, pos, edit, place, role): what each edit does, to which row of its block, and the role it gives."""
-    kind = "array<struct<edit:string,place:int,role:string>>"
-    struct = pa.list_(pa.struct([("edit", pa.string()), ("place", pa.int32()), ("role", pa.string())]))
+    """(conv, block, pos, edit, rank, role): what each edit does, to or in front of which row, and the role it gives."""
+    kind = "array<struct<edit:string,rank:bigint,role:string>>"
+    struct = pa.list_(pa.struct([("edit", pa.string()), ("rank", pa.int64()), ("role", pa.string())]))
 
-    def told(code: str, audit: str, state: int) -> list[dict]:
+    def told(code: str, audit: str, state: int, rank: int) -> list[dict]:
         out, place = [], 0
         for e in audit:
-            role = ROLE[WANTED[state]] if e in "IR" else None
-            out.append({"edit": e, "place": None if e == "I" else place, "role": role})
+            out.append({"edit": e, "rank": rank + place, "role": ROLE[WANTED[state]] if e in "IR" else None})
             if e == "K":
                 state = LEADS[state][read(code[place])[0]]
             elif e != "D":
@@ -263,69 +268,87 @@ def acted(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            values = [told(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("code", "edits", "start")], strict=True)]
+            values = [told(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("code", "edits", "start", "first")], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("block"), pa.array(values, struct)], names=["conv", "block", "done"])
 
-    each = blocks.select("conv", "block", "code", "edits", "start").mapInArrow(run, f"conv string, block long, done {kind}")
+    each = blocks.select("conv", "block", "code", "edits", "start", "first").mapInArrow(run, f"conv string, block long, done {kind}")
     return each.select("conv", "block", F.posexplode("done").alias("pos", "d")).select("conv", "block", "pos", "d.*")
 
 
-def repaired(rows: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataFrame:
+def repaired(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     """(conv, block, pos, edit, turn, role, text): the rows that stay or come in, in the order of block and pos."""
     done = acted(blocks).filter("edit != 'D'")
-    placed = in_blocks(rows.select("conv", "rank", "turn", "role", "text"), block)
-    first = placed.groupBy("conv", "block").agg(F.min("rank").alias("_first")).withColumnsRenamed({"conv": "_c", "block": "_b"})
-    done = done.join(first, (F.col("conv") == F.col("_c")) & (F.col("block") == F.col("_b")))
-    done = done.select("conv", "block", "pos", "edit", F.col("role").alias("_role"), (F.col("_first") + F.col("place")).alias("_rank"))
-    old = rows.select(F.col("conv").alias("_c"), F.col("rank").alias("_r"), "turn", "role", "text")
+    done = done.select("conv", "block", "pos", "edit", F.col("role").alias("_role"), F.when(F.col("edit") != "I", F.col("rank")).alias("_rank"))
+    old = placed.select(F.col("conv").alias("_c"), F.col("rank").alias("_r"), "turn", "role", "text")
     met = done.join(old, (F.col("conv") == F.col("_c")) & (F.col("_rank") == F.col("_r")), "left")
     return met.select("conv", "block", "pos", "edit", "turn", F.coalesce("_role", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """(conv, sha256) of the rows' `role:text`, a newline between; each conversation is streamed through one task."""
+def digests(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(conv, sha256) of the repaired rows' `role:text`, a newline between.
+
+    Rows and edits are dealt by conversation in one shuffle and stand in its order, each row behind its edits; every
+    conversation is streamed through one task, in whatever memory its longest row takes.
+    """
 
     def run(batches):
-        conv, digest = None, None
-        names, found = [], []
+        conv, digest, rows, edit, new = None, None, 0, None, None
         for batch in batches:
-            for c, role, text in zip(*[batch.column(x).to_pylist() for x in ("conv", "role", "text")], strict=True):
+            names, found = [], []
+            for c, e, r, role, text in zip(*[batch.column(x).to_pylist() for x in ("conv", "edit", "new", "role", "text")], strict=True):
                 if c != conv:
                     if conv is not None:
                         names.append(conv)
                         found.append(digest.hexdigest())
-                    conv, digest = c, hashlib.sha256()
+                    conv, digest, rows = c, hashlib.sha256(), 0
+                if e is not None and e != "I":
+                    edit, new = e, r
+                    continue
+                if e == "I":
+                    line = f"{r}:"
+                elif edit == "D":
+                    continue
                 else:
-                    digest.update(b"\n")
-                digest.update(f"{role}:{text}".encode())
+                    line = f"{new if edit == 'R' else role}:{text}"
+                digest.update(("\n" * (rows > 0) + line).encode())
+                rows += 1
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], names=["conv", "sha256"])
-                names, found = [], []
         if conv is not None:
             yield pa.RecordBatch.from_arrays([pa.array([conv]), pa.array([digest.hexdigest()])], names=["conv", "sha256"])
 
-    dealt = rows.select("conv", "block", "pos", "role", "text").repartition("conv").sortWithinPartitions("conv", "block", "pos")
-    return dealt.select("conv", "role", "text").mapInArrow(run, "conv string, sha256 string")
+    none = F.lit(None).cast("string")
+    told = acted(blocks).select("conv", "rank", "pos", "edit", F.col("role").alias("new"), none.alias("role"), none.alias("text"))
+    rows = placed.select("conv", "rank", F.lit(2**31 - 1).alias("pos"), none.alias("edit"), none.alias("new"), "role", "text")
+    dealt = told.unionByName(rows).repartition("conv").sortWithinPartitions("conv", "rank", "pos")
+    return dealt.select("conv", "edit", "new", "role", "text").mapInArrow(run, "conv string, sha256 string")
 
 
-def repair(rows: DataFrame, block: int = BLOCK, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Conversations (conv_id, turn, role, text) as (conv, gaps, blank, duplicate, truncated, illegal, cost, audit), and their repaired rows."""
-    placed = materialise(ranked(rows, rows_per_bucket), "conversation-marked")
-    turns = placed.filter("turn is not null").groupBy("conv", "turn").agg(F.lit(1).alias("_one")).groupBy("conv")
+def solved(rows: DataFrame, block: int, rows_per_bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per conversation what was found and done, the ranked rows, and the blocks with their edits."""
+    placed = ranked(rows, rows_per_bucket)
+    letters = lettered(placed)
+    turns = letters.filter("turn is not null").groupBy("conv", "turn").agg(F.lit(1).alias("_one")).groupBy("conv")
     gaps = turns.agg((F.max("turn") - F.min("turn") + 1 - F.count("*")).alias("gaps"))
-    faults = placed.groupBy("conv").agg(*[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")])
-    blocks, sums = edits(placed, block)
+    faults = letters.groupBy("conv").agg(*[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")])
+    blocks, sums = edits(letters, block)
     audit = F.array_join(F.sort_array(F.collect_list(F.struct("block", "edits")))["edits"], "").alias("audit")
     told = faults.join(gaps, "conv", "left").join(sums, "conv").join(blocks.groupBy("conv").agg(audit), "conv")
     told = told.select("conv", F.coalesce("gaps", F.lit(0).cast("long")).alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", "audit")
-    return told, repaired(placed, blocks, block)
+    return told, placed, blocks
+
+
+def repair(rows: DataFrame, block: int = BLOCK, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Conversations (conv_id, turn, role, text) as (conv, gaps, blank, duplicate, truncated, illegal, cost, audit), and their repaired rows."""
+    told, placed, blocks = solved(rows, block, rows_per_bucket)
+    return told, repaired(placed, blocks)
 
 
 def audited(rows: DataFrame, block: int = BLOCK, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Damaged and repaired: for every conv_id of ``rows`` its faults, cost, audit and the digest of the repaired rows."""
-    told, kept = repair(damaged(rows), block, rows_per_bucket)
+    told, placed, blocks = solved(damaged(rows), block, rows_per_bucket)
     ids = rows.select("conv_id").distinct().select("conv_id", conv_key())
-    out = ids.join(told, "conv", "left").join(digests(kept), "conv", "left")
+    out = ids.join(told, "conv", "left").join(digests(placed, blocks), "conv", "left")
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(nothing)).alias("repaired_sha256"))
