@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.session import materialise
+from glyphmill.session import discard, materialise
 
 #: White space that separates words, as a character class for Java and RE2 alike.
 SPACE = r"[\x20\x09-\x0D]"
@@ -56,7 +56,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), name
     )
     labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("root"))
-    labels = materialise(labels, name)
+    labels = held = materialise(labels, name)
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), F.col("root").alias("r")), "y")
         near = near.groupBy(F.col("x").alias("node")).agg(F.min("r").alias("r"))
@@ -65,6 +65,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         jump = once.join(ahead, "new").select("node", F.least("new", "next").alias("root"), "old")
         step = materialise(jump, name)
         moved = step.filter(F.col("root") != F.col("old")).limit(1).count()
-        labels = step.select("node", "root")
+        discard(held)
+        labels, held = step.select("node", "root"), step
         if not moved:
+            discard(both)
             return labels

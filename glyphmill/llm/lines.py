@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import let, words
-from glyphmill.llm.setjoin import FREQUENT, candidates, could, led, reserve_length, similar
+from glyphmill.llm.setjoin import FREQUENT, candidates, could, led, met_within, placed, reserve_length, similar, windows
 from glyphmill.session import materialise
 
 SIZE = 5
@@ -93,13 +93,17 @@ def repeated(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     pairs, lists = candidates(held, full, frequent)
     stars = led(lists, rank)
     gone = materialise(later(similar(pairs.unionByName(stars).distinct(), full)).distinct(), "alike-lines")
-    # Members that their list's leader did not settle meet all earlier members.
-    left = lists.join(gone, "node", "left_anti").join(rank, "node")
-    others = lists.join(rank, "node").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("v").alias("vx"), F.col("rank").alias("rx"))
-    met = left.join(others, "key").filter((F.col("rx") < F.col("rank")) & could(F.col("n"), F.col("v"), F.col("nx"), F.col("vx")))
-    rest = met.select("x", F.col("node").alias("y")).distinct()
-    more = similar(rest.join(stars, ["x", "y"], "left_anti"), full).select(F.col("y").alias("node"))
-    gone = materialise(gone.unionByName(more).distinct(), "alike-lines")
+    # Members that their list's leader did not settle look for an earlier member, each time farther off in the list.
+    places = placed(lists)
+    places = materialise(places.join(rank.withColumnRenamed("rank", "r"), "node"), "lists-by-place")
+    for low, high in windows(places):
+        left = places.join(gone, "node", "left_anti")
+        met = met_within(left, places, low, high)
+        met = met.filter((F.col("r_y") < F.col("r")) & could(F.col("n"), F.col("v"), F.col("n_y"), F.col("v_y")))
+        rest = materialise(met.select(F.col("node_y").alias("x"), F.col("node").alias("y")).distinct(), "line-pairs")
+        if rest.limit(1).count():
+            more = similar(rest, full).select(F.col("y").alias("node"))
+            gone = materialise(gone.unionByName(more).distinct(), "alike-lines")
     # Of equal sets all but the first go, and the first too when it is alike an earlier line.
     equal = held.join(first.select("node", F.col("place").alias("f")), "node").filter(F.col("place") != F.col("f")).select("place")
     alike = first.join(gone, "node", "left_semi").select("place")
@@ -111,12 +115,14 @@ def dedup(docs: DataFrame, removed: str | None = None, frequent: int = FREQUENT)
 
     Other columns stay as they are. ``removed`` names a column to add: how many lines went.
     """
-    each = repeated(docs, frequent).groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("_gone"))
-    each = materialise(each.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_gone"), "cut-lines")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(each, keyed["doc_id"].eqNullSafe(each["_id"]) & (keyed["_hash"] == each["_copy"]), "left")
-    rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    gone = [F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias(removed)] if removed else []
-    others = [cut.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != removed]
-    return joined.select(*others, *gone)
+    each = repeated(docs, frequent).groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("gone"))
+    each = materialise(each.select(F.struct("doc_id", "copy", "gone").alias("cut")), "cut-lines")
+    # The whole row is one column, so no name of it can clash.
+    row = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("cut.doc_id")) & (F.xxhash64("row.text") == F.col("cut.copy"))
+    joined = row.join(each, same, "left")
+    rest = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("cut.gone", i))
+    text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(F.array_join(rest, "\n"))
+    count = [F.coalesce(F.size("cut.gone"), F.lit(0)).cast("bigint").alias(removed)] if removed else []
+    others = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != removed]
+    return joined.select(*others, *count)

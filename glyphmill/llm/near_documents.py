@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import components, sliced
 from glyphmill.llm.hashing import mix, shingle_set
-from glyphmill.llm.setjoin import FREQUENT, SHARE, candidates, could, led, similar
+from glyphmill.llm.setjoin import FREQUENT, SHARE, candidates, could, led, met_within, placed, similar, windows
 from glyphmill.session import materialise
 
 LEAST_BITS = 64
@@ -125,8 +125,13 @@ def linked(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     one = some.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").unionByName(some.groupBy("x").agg(F.max("y").alias("y"))).distinct()
     links = materialise(similar(one, full), "links")
     roots = components(links)
-    for rest in (lambda: some, lambda: close(across(lists, roots), ids)):
-        apart = materialise(different(rest(), roots).join(one, ["x", "y"], "left_anti"), "pairs-apart")
+    apart = materialise(different(some, roots).join(one, ["x", "y"], "left_anti"), "pairs-apart")
+    if apart.limit(1).count():
+        links = links.unionByName(materialise(similar(apart, full), "links"))
+        roots = components(links)
+    places = placed(mixed(lists, roots))
+    for low, high in windows(places):
+        apart = materialise(close(across(places, roots, low, high), ids), "pairs-apart")
         if apart.limit(1).count():
             links = links.unionByName(materialise(similar(apart, full), "links"))
             roots = components(links)
@@ -149,14 +154,23 @@ def different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.col("root_x") != F.col("root_y")).select("x", "y")
 
 
-def across(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs x < y of a list's members in different components; lists within one component give none."""
-    named = root_of(lists.select("key", F.col("node").alias("x"), "n", "v"), "x", roots)
-    mixed = named.groupBy("key").agg(F.min("root_x").alias("low"), F.max("root_x").alias("high")).filter("low != high").select("key")
-    left = materialise(named.join(mixed, "key", "left_semi"), "mixed-lists")
-    right = left.select("key", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("v").alias("vy"), F.col("root_x").alias("root_y"))
-    met = left.join(right, "key").filter((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")))
-    return met.filter(could(F.col("n"), F.col("v"), F.col("ny"), F.col("vy"))).select("x", "y").distinct()
+def mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members are in several components."""
+    named = root_of(lists.select("key", F.col("node").alias("x")), "x", roots)
+    apart = named.groupBy("key").agg(F.min("root_x").alias("low"), F.max("root_x").alias("high")).filter("low != high").select("key")
+    return lists.join(apart, "key", "left_semi")
+
+
+def across(places: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs x < y of a list's members in different components, ``low`` to ``high`` - 1 places apart.
+
+    Of each list the largest component's members ask nobody: whom they should meet is in another one and asks them.
+    """
+    named = materialise(root_of(places.withColumnRenamed("node", "x"), "x", roots).withColumnRenamed("root_x", "root"), "lists-by-root")
+    largest = named.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("l"))
+    asking = named.join(largest.select("key", F.col("l.root").alias("_largest")), "key").filter(F.col("root") != F.col("_largest")).drop("_largest")
+    met = met_within(asking, named, low, high).filter((F.col("root") != F.col("root_y")) & could(F.col("n"), F.col("v"), F.col("n_y"), F.col("v_y")))
+    return met.select(F.least("x", "x_y").alias("x"), F.greatest("x", "x_y").alias("y")).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

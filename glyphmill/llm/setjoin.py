@@ -15,7 +15,8 @@ instead, neighbours in the order of rarity within the crowd. Sets that are simil
 share at least ceil(0.6 n) - 1 such pairs of n - 1, as each token in which they
 differ parts one pair, so again a prefix of the pairs does, the rarest ones. Lists
 of combinations are not bounded; their users compare members with few leaders
-first and look further only where that settles nothing.
+first. Members that this leaves look for a partner a few places off in their list, then
+farther, eight times as far each time, until they are settled or the list ends.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.session import materialise
+from glyphmill.operators.running import with_rank
+from glyphmill.session import discard, materialise
 
 #: Similarity in hundredths, and sets that may list a token before it counts as frequent.
 SHARE = 80
 FREQUENT = 50
+#: Distance in a list that members look at first for a partner, and how much farther each next time.
+WINDOW = 8
 Full = Callable[[DataFrame], DataFrame]
 
 
@@ -72,10 +76,16 @@ def candidates(base: DataFrame, full: Full, frequent: int = FREQUENT) -> tuple[D
     with all tokens, once for each id in the column ``node`` of its argument.
     """
     kept = base.select("node", "n", "tokens")
+    written: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        written.append(materialise(df, name))
+        return written[-1]
+
     size = F.col("n")
     prefix = prefix_length(size)
     first = listing(kept, F.lit(0), prefix)
-    hot = [materialise(frequent_in(first, frequent), "frequent-tokens")]
+    hot = [keep(frequent_in(first, frequent), "frequent-tokens")]
     extended: list[DataFrame] = []  # tokens listed beyond the prefixes
     hits: list[DataFrame] = []  # frequent tokens in lists
     near: list[DataFrame] = []  # reserves of the sets that list frequent tokens
@@ -87,49 +97,55 @@ def candidates(base: DataFrame, full: Full, frequent: int = FREQUENT) -> tuple[D
         found = [first.join(hot[-1], "token", "left_semi")] + [e.join(hot[-1], "token", "left_semi") for e in extended]
         if extended and len(hot) > 1:
             found.append(extended[-1].join(union(hot[:-1]), "token", "left_semi"))
-        hits.append(materialise(union(found).select("node", "n", "token").distinct(), "frequent-hits"))
+        hits.append(keep(union(found).select("node", "n", "token").distinct(), "frequent-hits"))
         counted = union(hits).groupBy("node", "n").agg(F.count_distinct("token").alias("hits"))
         want = F.least(size, prefix + F.col("hits")).cast("int").alias("upto")
         if crowd_ids:
             counted = counted.join(union(crowd_ids).withColumn("_c", F.lit(True)), "node", "left")
             want = F.when(F.col("_c"), size).otherwise(F.least(size, prefix + F.col("hits"))).cast("int").alias("upto")
-        new = materialise(counted.select("node", "n", "hits", want), "prefixes")
+        new = keep(counted.select("node", "n", "hits", want), "prefixes")
         before = new.withColumn("from", prefix.cast("int"))
         if state is not None:
             old = state.select("node", F.col("upto").alias("_upto"))
             before = new.join(old, "node", "left").withColumn("from", F.coalesce("_upto", prefix.cast("int")))
-        grown = materialise(before.filter(F.col("upto") > F.col("from")).select("node", "n", "from", "upto"), "grown")
+        grown = keep(before.filter(F.col("upto") > F.col("from")).select("node", "n", "from", "upto"), "grown")
         state = new
         if grown.limit(1).count() == 0:
             break
         ids = grown.select("node")
-        fresh = materialise(ids.join(union(near_ids), "node", "left_anti") if near_ids else ids, "near-sets")
+        fresh = keep(ids.join(union(near_ids), "node", "left_anti") if near_ids else ids, "near-sets")
         near_ids.append(fresh)
         # The ids grow with the table, so both sides are dealt by them at every size.
-        near.append(materialise(kept.join(fresh.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "reserves"))
+        near.append(keep(kept.join(fresh.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "reserves"))
         short = grown.filter(F.col("upto") > reserve_length(size)).select("node")
-        short = materialise(short.join(union(crowd_ids), "node", "left_anti") if crowd_ids else short, "crowd-sets")
+        short = keep(short.join(union(crowd_ids), "node", "left_anti") if crowd_ids else short, "crowd-sets")
         longer = union(near).join(grown, ["node", "n"]).join(union([*crowd_ids, short]), "node", "left_anti")
         parts = [listing(longer, F.col("from"), F.col("upto") - F.col("from"))]
         if short.limit(1).count():
             # What lies within a crowd is read again, whole, and lists all its tokens at once.
             crowd_ids.append(short)
-            crowd.append(materialise(full(short), "crowd-tokens"))
+            crowd.append(keep(full(short), "crowd-tokens"))
             parts.append(listing(crowd[-1], F.lit(0), size))
-        extended.append(materialise(union(parts), "extensions"))
-        hot.append(materialise(frequent_in(extended[-1], frequent).join(union(hot), "token", "left_anti"), "frequent-tokens"))
-    pairs = rare_pairs(union([first, *extended]).join(union(hot), "token", "left_anti"))
-    if not crowd:
-        return pairs, base.sparkSession.createDataFrame([], "key long, node long, n int, v int")
-    out = state.filter(size - F.col("hits") < prefix).select("node")
-    return pairs, materialise(combinations(union(crowd).join(out, "node", "left_semi")), "combinations")
+        extended.append(keep(union(parts), "extensions"))
+        hot.append(keep(frequent_in(extended[-1], frequent).join(union(hot), "token", "left_anti"), "frequent-tokens"))
+    lists = keep(token_lists(union([first, *extended]).join(union(hot), "token", "left_anti")), "token-lists")
+    pairs = materialise(rare_pairs(lists), "rare-pairs")
+    combined = base.sparkSession.createDataFrame([], "key long, node long, n int, v int")
+    if crowd:
+        out = state.filter(size - F.col("hits") < prefix).select("node")
+        combined = materialise(combinations(union(crowd).join(out, "node", "left_semi")), "combinations")
+    discard(*written)
+    return pairs, combined
+
+
+def token_lists(listed: DataFrame) -> DataFrame:
+    """The rows of tokens that several sets list, once for each set."""
+    several = Window.partitionBy("token")
+    return listed.withColumn("_c", F.count("*").over(several)).filter("_c > 1").drop("_c").dropDuplicates(["token", "node"])
 
 
-def rare_pairs(listed: DataFrame) -> DataFrame:
+def rare_pairs(lists: DataFrame) -> DataFrame:
     """Pairs x < y of sets that list a token, sizes and places allowing similarity."""
-    several = Window.partitionBy("token")
-    lists = listed.withColumn("_c", F.count("*").over(several)).filter("_c > 1").drop("_c")
-    lists = materialise(lists.dropDuplicates(["token", "node"]), "token-lists")
     x = lists.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
     y = lists.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
     met = x.join(y, "token").filter((F.col("x") < F.col("y")) & sizes_allow(F.col("nx"), F.col("ny")))
@@ -180,6 +196,37 @@ def led(lists: DataFrame, rank: DataFrame) -> DataFrame:
     return met.select(F.col("f.node").alias("x"), F.col("node").alias("y")).distinct()
 
 
+def placed(lists: DataFrame) -> DataFrame:
+    """(key, node, n, v, at, c): the members of each list in the order of a hash, counted from 1 to c; single ones go.
+
+    Places are ranked in buckets, so a list need not fit a task.
+    """
+    once = lists.dropDuplicates(["key", "node"]).withColumn("h", F.xxhash64("node"))
+    once = materialise(once.join(once.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"), "long-lists")
+    return materialise(with_rank(once, ["key"], ["h", "node"], "at").drop("h"), "placed-lists")
+
+
+def windows(places: DataFrame):
+    """Growing distances (from, to) between places that together reach over the longest list."""
+    longest = places.agg(F.max("c")).first()[0] or 0
+    low, high = 1, WINDOW
+    while low < longest:
+        yield low, high
+        low, high = high, high * WINDOW
+
+
+def met_within(left: DataFrame, places: DataFrame, low: int, high: int) -> DataFrame:
+    """Members of ``left``, part of ``places``, with those of their list that stand ``low`` to ``high`` - 1 places off.
+
+    Each row of ``left`` gives at most twice the window's length, whatever the list's length. The partner's columns end in ``_y``.
+    """
+    steps = F.sequence(F.lit(low), F.least(F.lit(high), F.col("c")) - 1)
+    asked = left.filter(F.col("c") > low).withColumn("_d", F.explode(steps))
+    asked = asked.withColumn("_at", F.explode(F.array(F.col("at") + F.col("_d"), F.col("at") - F.col("_d")))).filter("_at between 1 and c").drop("_d")
+    other = places.select(*[F.col(x).alias(f"{x}_y") for x in places.columns])
+    return asked.join(other, (F.col("key") == F.col("key_y")) & (F.col("_at") == F.col("at_y")))
+
+
 def similar(pairs: DataFrame, full: Full) -> DataFrame:
     """The pairs (x, y) whose sets are similar, by all their tokens."""
     pairs = materialise(pairs.select("x", "y"), "pairs")

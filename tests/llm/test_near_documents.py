@@ -131,3 +131,27 @@ def test_queries(spark, sf):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op3_ngram_join(spark, sf).collect())
     assert got == brute_components(docs)
     assert op6_line_dedup(spark, sf).count() == len(docs)
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two\nthree"), (2, "one two")], "doc_id long, text string")
+    names = ["_gone", "_hash", "_id", "_copy", "row", "cut", "gone", "copy", "a.b"]
+    out = L.dedup(docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names]), "n_removed")
+    assert out.columns == ["doc_id", "text", *names, "n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[2][n] for n in names] == [f"{n}2" for n in names] and got[2].text == "" and got[1].text == "one two\nthree"
+
+
+def test_windows_meet_every_pair_once(spark):
+    from glyphmill.llm import setjoin as S
+
+    lists = [(k, n, 5, 5) for k, size in ((1, 2), (2, 9), (3, 150), (4, 1)) for n in range(size)]
+    places = S.placed(spark.createDataFrame([*lists, lists[0]], "key long, node long, n int, v int"))
+    left = places.filter("node % 3 = 0")
+    met, most = [], 0
+    for low, high in S.windows(places):
+        some = S.met_within(left, places, low, high).select("key", "node", "node_y").collect()
+        met += map(tuple, some)
+        most = max(most, high)
+    want = [(k, n, m) for k, size in ((1, 2), (2, 9), (3, 150)) for n in range(0, size, 3) for m in range(size) if m != n]
+    assert sorted(met) == sorted(want) and most >= 150
