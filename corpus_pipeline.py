@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 All but the last return the columns of documents.
 
 Null and empty texts: the quality rules reject them, as they have no words; a later stage given one keeps it and
-encodes it as its end id. Null ids stay. Repeated rows are judged alike: their lines go in the row of the smallest place
-only once, so a repeated document keeps its text where the rows are equal, and near copies leave all rows of the one id that
-stays. Ties (equal lines or documents) go to the smallest doc_id. Very long texts are read whole, in memory in
+encodes it as its end id. Null ids stay. Repeated rows are judged alike: rows of equal id and text are one document for line
+dedup and get the same text back, and near copies leave all rows of the one id that stays. Of equal lines or documents the
+one of the smallest doc_id stays. Very long texts are read whole, in memory in
 proportion to their length. Columns beyond those of documents pass through all but the last stage, whatever their
 names. Empty tables give empty tables.
 """
