@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalog import standins as s
 from catalog.generation import G, GRAMMAR
-from catalog.grammar_sql import u32 as sql_u32
 from catalog.registry import query, table
 from catalog.tables import MIRROR_SQL
 from glyphmill.functions.draws import u32

@@ -8,7 +8,6 @@ from catalog import standins as s
 from catalog.grammar_sql import arr, u32 as sql_u32
 from catalog.registry import query, table
 from glyphmill.functions import text
-from glyphmill.functions.draws import u32
 from glyphmill.operators import classify, metrics, splits
 from glyphmill.operators.repair import corner, kth_with_kth, positional_join, reading_order
 from glyphmill.session import spread

@@ -1,7 +1,7 @@
 """Byte-level BPE: train on counted pre-tokens, encode, decode.
 
 A word is held as a string with one character per symbol, so that merging a
-pair is a native ``replace`` and the pairs of a word are its two-character
+pair is a ``replace`` and the pairs of a word are its two-character
 substrings. Characters rise with token ids, so string order breaks ties the
 way id order does.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions.draws import let, listed, quoted
+from glyphmill.functions.draws import listed
 from glyphmill.functions.text import stripped_equal
 from glyphmill.plans.vocabulary import SPECIAL_TOKENS, VOCAB_SIZE
 from glyphmill.session import materialise
