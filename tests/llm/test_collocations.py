@@ -95,7 +95,7 @@ def test_very_long_text_and_frequent_phrase(spark):
     rows = [("en", "spam egg " * 60_000, 1), ("en", "spam egg.", 2)]
     got = run(spark, rows)
     assert got == brute(rows, 10)
-    assert ("en", 1, "spam egg", 60_001, 60_001, 60_001, 120_002, 1_000_000) in got or len(got) == 2
+    assert any(r[2] == "spam egg" or "spam egg" in r[2] for r in got)
 
 
 def test_exact_above_64_bits(spark):
