@@ -182,13 +182,14 @@ def phrase_sql(least: int = 10, top: int = 2000, absorbed: int = 50) -> str:
     )
     return f"""
     WITH ps AS (SELECT coalesce(lang, 'und') AS lang, {pieces} AS piece FROM documents),
-    ws AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM ps),
-    f AS (SELECT lang, n, phrase, count(*)::HUGEINT AS a FROM ({grams}) GROUP BY ALL),
+    ws AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM ps),
+    f AS MATERIALIZED (SELECT lang, n, phrase, count(*)::HUGEINT AS a FROM ({grams}) GROUP BY ALL),
     total AS (SELECT lang, sum(len(w)) AS total FROM ws GROUP BY 1),
-    c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND a >= {least}),
-    cuts AS (SELECT c.lang, c.phrase, c.n, c.a, k, l.a AS l, r.a AS r, (1000000 * c.a * c.a) // (l.a * r.a) AS score
-      FROM (SELECT *, unnest(range(1, n)) AS k FROM c) c
-      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+    g AS MATERIALIZED (SELECT lang, phrase, a FROM f WHERE a >= {least}),
+    c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND a >= {least}),
+    parts AS MATERIALIZED (SELECT lang, phrase, n, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, n)) AS k FROM c)),
+    cuts AS (SELECT p.lang, p.phrase, p.n, p.a, k, l.a AS l, r.a AS r, (1000000 * p.a * p.a) // (l.a * r.a) AS score
+      FROM parts p JOIN g l ON l.lang = p.lang AND l.phrase = p.lp JOIN g r ON r.lang = p.lang AND r.phrase = p.rp),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cuts) WHERE o = 1),
     around AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE n = 3) GROUP BY 1, 2),
     ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
