@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.draws import let
+
 #: A node line: identifier, any brackets, the label in them. An edge line: identifiers about an arrow, perhaps with a label.
 NODE = r'(?m)^\s*([A-Za-z]\w*)[\[({]+"?([^"\[\](){}\n]*)"?[\])}]+\s*$'
 EDGE = r"(?m)^\s*([A-Za-z]\w*)\s*(?:-->|---|-\.->|==>)(?:\|([^|\n]*)\|)?\s*([A-Za-z]\w*)\s*$"
@@ -22,29 +24,38 @@ def nodes(text: Column) -> Column:
 
 def edges(text: Column) -> Column:
     """``from|label|to`` of the edges, labels in place of identifiers that have one."""
-    ids, labels = parts(text, NODE, 1), nodes(text)
 
-    def named(x: Column) -> Column:
-        return F.coalesce(F.get(labels, F.nullif(F.array_position(ids, x), F.lit(0)).cast("int") - 1), x)
+    def named(known: Column, x: Column) -> Column:
+        return F.coalesce(F.get(known["labels"], F.nullif(F.array_position(known["ids"], x), F.lit(0)).cast("int") - 1), x)
 
     ends = F.arrays_zip(parts(text, EDGE, 1).alias("a"), parts(text, EDGE, 2).alias("l"), parts(text, EDGE, 3).alias("b"))
-    return F.transform(ends, lambda e: F.concat_ws("|", named(e["a"]), e["l"], named(e["b"])))
+    found = F.struct(parts(text, NODE, 1).alias("ids"), nodes(text).alias("labels"))
+    return let(found, lambda known: F.transform(ends, lambda e: F.concat_ws("|", named(known, e["a"]), e["l"], named(known, e["b"]))))
 
 
 def shared(a: Column, b: Column) -> Column:
     """Items that two lists share, each as often as in the list that has it less often."""
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    total = lambda p: F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda n, x: n + F.least(times(p["a"], x), times(p["b"], x)))
+    return let(F.struct(a.alias("a"), b.alias("b")), total)
 
 
 def with_structure(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     """Add counts of nodes and edges, true, predicted and shared; null where the truth is no flowchart."""
     flow = F.col(truth).rlike(FLOW)
-    out = {}
-    for kind, found in (("node", nodes), ("edge", edges)):
-        a, b = found(F.col(truth)), found(F.col(prediction))
-        out |= {f"{kind}s_true": F.size(a), f"{kind}s_predicted": F.size(b), f"{kind}s_shared": shared(a, b)}
-    return df.withColumns({k: F.when(flow, v) for k, v in out.items()})
+
+    def counts(kind: str, a: Column, b: Column) -> Column:
+        both = F.struct(a.alias("a"), b.alias("b"))
+        return let(both, lambda p: F.struct(
+            F.size(p["a"]).alias(f"{kind}s_true"), F.size(p["b"]).alias(f"{kind}s_predicted"), shared(p["a"], p["b"]).alias(f"{kind}s_shared")
+        ))
+
+    # Each list is worked out once per text; a lambda that named it anew would read the text once per item.
+    made = {kind: F.when(flow, counts(kind, found(F.col(truth)), found(F.col(prediction)))) for kind, found in (("node", nodes), ("edge", edges))}
+    # An exploded one-element array cannot be folded back into its uses as a struct column can.
+    held = df.withColumn("_parts", F.explode(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+    fields = {f"{k}s_{x}": F.col("_parts")[k][f"{k}s_{x}"] for k in made for x in ("true", "predicted", "shared")}
+    return held.withColumns(fields).drop("_parts")
 
 
 def rates(kind: str, of=F.col) -> dict[str, Column]:
