@@ -27,8 +27,9 @@ from glyphmill.session import materialise
 
 # The public byte-level pre-token pattern, and the rule that gives
 # every byte a printable letter (printable bytes stand for themselves, the others
-# take the letters from U+0100 on).
-PRETOKEN_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# take the letters from U+0100 on). Letters and numbers are tried ahead of the
+# contractions, which begin with neither, as most pre-tokens are words.
+PRETOKEN_PATTERN = r"(?U) ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 OTHERS = [b for b in range(256) if b not in PRINTABLE]
 LETTER = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(OTHERS)}
@@ -39,6 +40,10 @@ SURROGATES = range(0xD800, 0xE000)
 HOT = 65_536  # most frequent pairs that a round of training looks at
 STRETCHES = 200_000  # different stretches of such pairs that reach the driver in a round
 MEMO = 200_000  # encoded pre-tokens remembered per Python task
+SLICE = 1 << 21  # letters that a task encodes at once
+NEVER = np.iinfo(np.int32).max  # rank of a pair that is not merged
+SHORT = 32  # letters of a pre-token that is spelled along with others
+TOGETHER = 4096  # pre-tokens that are spelled together
 
 
 class Tokenizer(NamedTuple):
@@ -266,41 +271,133 @@ def spell(piece: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [p for p in parts if p]
 
 
-class Memo(dict):
+class Memo:
     """Ids of the pre-tokens met so far in a task; emptied when it has grown large."""
 
     def __init__(self, model: Tokenizer):
-        super().__init__()
         self.ranks = {m: i for i, m in reversed(list(enumerate(model.merges)))}
         self.number = {t: i for i, t in enumerate(model.tokens)}
-
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[piece] = [self.number[t] for t in spell(piece, self.ranks)]
-        return ids
+        # Own numbers of all strings that come up while a pre-token is spelled.
+        names = dict.fromkeys([*LETTER.values(), *chain.from_iterable((a, b, a + b) for a, b in self.ranks)])
+        own = {t: i for i, t in enumerate(names)}
+        self.ids = np.array([self.number.get(t, -1) for t in own], np.int32)
+        self.letter = np.array([own[LETTER[b]] for b in range(256)], np.int32)
+        self.kinds = len(own)
+        found = sorted((own[a] * self.kinds + own[b], rank, own[a + b]) for (a, b), rank in self.ranks.items())
+        self.codes = np.array([f[0] for f in found], np.int64)
+        self.rank = np.array([f[1] for f in found], np.int32)
+        self.made = np.zeros(len(model.merges), np.int32)
+        self.made[self.rank] = [f[2] for f in found]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.widths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; ``NEVER`` if it is not merged."""
+        if not len(self.codes):
+            return np.full(len(left), NEVER, np.int32)
+        code = left.astype(np.int64) * self.kinds + right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.rank[at], NEVER)
+
+    def short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of pre-tokens of about the same length; a step merges one pair of each, as ``spell`` does."""
+        left = np.array([len(p) for p in pieces], np.int64)
+        wide = int(left.max())
+        columns = np.arange(wide)
+        out, size = np.zeros((len(pieces), wide), np.int32), np.zeros(len(pieces), np.int64)
+        parts = np.zeros((len(pieces), wide), np.int32)
+        parts[columns < left[:, None]] = self.letter[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = np.full((len(pieces), wide), NEVER, np.int32)
+        paired = columns[:-1] < left[:, None] - 1
+        rank[:, :-1][paired] = self.rank_of(parts[:, :-1][paired], parts[:, 1:][paired])
+        rows = np.arange(len(pieces))
+        while len(rows):
+            at = rank.argmin(1)
+            best = rank[np.arange(len(rows)), at]
+            ended = best == NEVER
+            out[rows[ended]], size[rows[ended]] = parts[ended], left[ended]
+            rows, parts, rank, left, at, best = (x[~ended] for x in (rows, parts, rank, left, at, best))
+            if not len(rows):
+                break
+            each = np.arange(len(rows))
+            parts[each, at] = self.made[best]
+            later = np.minimum(columns + (columns > at[:, None]), wide - 1)
+            parts, rank = np.take_along_axis(parts, later, 1), np.take_along_axis(rank, later, 1)
+            left = left - 1
+            for place in (at - 1, at):
+                here = (place >= 0) & (place < left - 1)
+                rank[each[here], place[here]] = self.rank_of(parts[each[here], place[here]], parts[each[here], place[here] + 1])
+            gone = at >= left - 1
+            rank[each[gone], at[gone]] = NEVER
+        ids = self.ids[out[columns < size[:, None]]]
+        if len(ids) and ids.min() < 0:
+            raise KeyError("a token that the vocabulary lacks")
+        return ids, size
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pre-tokens not met yet."""
+        raw = [p.encode("utf-8") for p in pieces]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        flats, widths, names = [], [], []
+        for low, high in ((0, 8), (8, 16), (16, SHORT)):
+            some = np.flatnonzero((sizes > low) & (sizes <= high))
+            for part in np.array_split(some, -(-len(some) // TOGETHER)) if len(some) else ():
+                ids, size = self.short([raw[i] for i in part])
+                flats.append(ids), widths.append(size), names.extend(pieces[i] for i in part)
+        for i in np.flatnonzero((sizes > SHORT) | (sizes == 0)):
+            ids = [self.number[t] for t in spell(pieces[i], self.ranks)]
+            flats.append(np.array(ids, np.int32)), widths.append(np.array([len(ids)], np.int64)), names.append(pieces[i])
+        width = np.concatenate(widths)
+        first = len(self.flat) + np.cumsum(width) - width
+        self.place.update(zip(names, range(len(self.starts), len(self.starts) + len(names))))
+        self.starts, self.widths = np.concatenate([self.starts, first]), np.concatenate([self.widths, width])
+        self.flat = np.concatenate([self.flat, *flats])
+
+    def encoded(self, pieces: pa.ListArray) -> pa.ListArray:
+        """Ids of lists of pre-tokens, the null ones null."""
+        if len(self.place) >= MEMO or len(self.flat) >= 20 * MEMO:
+            self.forget()
+        sizes = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+        coded = pieces.flatten().dictionary_encode()
+        asked = coded.dictionary.to_pylist()
+        new = [p for p in asked if p not in self.place]
+        if new:
+            self.learn(new)
+        known = np.fromiter((self.place[p] for p in asked), np.int64, len(asked))
+        at = known[coded.indices.to_numpy(zero_copy_only=False)] if len(asked) else known
+        start, each = self.starts[at], self.widths[at]
+        ends = np.cumsum(each)
+        values = self.flat[np.repeat(start - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        offsets = pa.array(bounds.astype(np.int32), mask=np.append(pc.is_null(pieces).to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(values))
+
+
+def sliced(pieces: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Rows with about ``SLICE`` letters in all, or one row: what a step needs does not grow with the rows of a batch."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(pieces.flatten()), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = ends[np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))]
+    first = 0
+    while first < len(pieces):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield pieces.slice(first, last - first)
+        first = last
 
 
 def encode(text: Column, model: Tokenizer) -> Column:
-    """Token ids of a text. One narrow Arrow step without a shuffle: the pre-tokens of a
-    batch become a dictionary in Arrow, and only its entries are looked up or merged."""
+    """Token ids of a text. One narrow Arrow step without a shuffle: the pre-tokens of a few
+    rows at a time become a dictionary in Arrow, and only its entries are looked up or merged."""
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = Memo(model)
         for pieces in batches:
-            sizes = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
-            coded = pieces.flatten().dictionary_encode()
-            known = [memo[p] for p in coded.dictionary.to_pylist()]
-            at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            width = np.array([len(k) for k in known], np.int64)
-            flat = np.fromiter(chain.from_iterable(known), np.int32, width.sum())
-            start, each = (np.cumsum(width) - width)[at], width[at]
-            ends = np.cumsum(each)
-            values = flat[np.repeat(start - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-            offsets = pa.array(bounds.astype(np.int32), mask=np.append(pc.is_null(pieces).to_numpy(zero_copy_only=False), False))
-            yield pa.ListArray.from_arrays(offsets, pa.array(values))
+            made = [memo.encoded(some) for some in sliced(pieces)]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
 
     return ids(pretokens(text, cross_lines=True))
 
