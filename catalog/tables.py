@@ -8,7 +8,7 @@ from catalog import standins as s
 from catalog.grammar_sql import arr, u32 as sql_u32
 from catalog.registry import query, table
 from glyphmill.functions import text
-from glyphmill.operators import classify, metrics, splits
+from glyphmill.operators import classify, metrics, sequences as seq, splits
 from glyphmill.operators.repair import corner, kth_with_kth, positional_join, reading_order
 from glyphmill.session import spread
 
@@ -335,10 +335,7 @@ def sort_arg_max(spark, sf):
       (SELECT string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')))) AS i FROM documents)) GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 50""")
 def sort_top_pairs(spark, sf):
     words = spread(table(spark, sf, "documents").select("text")).select(F.split("text", " ").alias("w"))
-    n = F.size("w") - 1
-    both = F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"))
-    pairs = words.select(F.inline(both)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.orderBy(F.desc("n"), "a", "b").limit(50)
+    return seq.top_pairs(words, "w", 50)
 
 
 @query("sort_by_key", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2 ORDER BY 1, 2")

@@ -91,3 +91,30 @@ def ids_to_text(ids: DataFrame, by: str, pos: str, vocabulary: DataFrame, word:
     """(by, text): the words of the ids in order of their place, a blank between."""
     named = ids.select(by, pos, "id").join(vocabulary, "id", "left").withColumn(word, F.coalesce(word, F.lit(unknown)))
     return named.groupBy(by).agg(F.array_join(F.sort_array(F.collect_list(F.struct(pos, word)))[word], " ").alias("text"))
+
+
+#: Cells that pairs are counted in by their hash, and the fullest of them, which tell how often a listed pair occurs at least.
+CELLS, FULLEST = 1 << 20, 1000
+
+
+def top_pairs(df: DataFrame, words: str, most: int) -> DataFrame:
+    """The ``most`` most frequent pairs of neighbours (a, b, n), ties by a and b.
+
+    Only pairs that may be listed are counted one by one. A first pass counts cells of pairs, a bounded table
+    whatever the vocabulary. The pairs in the fullest cells say how often the last listed one occurs at least;
+    a pair in a cell that counts less cannot be listed.
+    """
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    both = F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"))
+    pairs = df.select(F.inline(both)).withColumn("cell", F.xxhash64("a", "b").bitwiseAND(F.lit(CELLS - 1)))
+
+    def counted(some: DataFrame) -> DataFrame:
+        return some.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+    cells = materialise(pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    fullest = materialise(cells.orderBy(F.desc("n"), "cell").limit(FULLEST).select("cell"), "fullest")
+    found = counted(pairs.join(fullest, "cell", "left_semi")).orderBy(F.desc("n")).limit(most).collect()
+    least = found[-1].n if len(found) == most else 1
+    # Cells have a pair at least: a bound of one leaves nothing out.
+    likely = pairs if least <= 1 else pairs.join(materialise(cells.where(F.col("n") >= least).select("cell"), "likely"), "cell", "left_semi")
+    return counted(likely).orderBy(F.desc("n"), "a", "b").limit(most)
