@@ -10,7 +10,7 @@ from catalog.registry import query, table
 from glyphmill.functions import text
 from glyphmill.operators import classify, metrics, sequences as seq, splits
 from glyphmill.operators.repair import corner, kth_with_kth, positional_join, reading_order
-from glyphmill.session import spread
+from glyphmill.session import materialise, spread
 
 SPLIT_SQL = """(SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id)
     <= floor(count(*) OVER (PARTITION BY source) * 0.15::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM documents)"""
@@ -157,13 +157,16 @@ def run_metrics_sql(salt):
 
 
 def run_metrics(spark, sf, salt):
+    """The rows are read once: sums per class are written, and the whole run's follow from them."""
     q = metrics.exact_match(s.predictions(spark, sf, salt))
-    whole = q.agg((F.count_if("exact_match") / F.count(F.lit(1))).alias("exact_match"), F.sum(F.length("prediction")).cast("double").alias("chars"))
+    per = q.groupBy(F.concat(F.lit("chars_"), F.left("diagram_type", F.lit(5))).alias("metric")).agg(
+        F.count_if("exact_match").alias("hits"), F.count(F.lit(1)).alias("n"), F.sum(F.length("prediction")).alias("chars")
+    )
+    per = materialise(per, "run-metrics")
+    hits, n = (F.coalesce(F.sum(c), F.lit(0)) for c in ("hits", "n"))
+    whole = per.agg((hits / n).alias("exact_match"), F.sum("chars").cast("double").alias("chars"))
     out = whole.unpivot([], ["exact_match", "chars"], "metric", "value")
-    if salt == "pred":
-        per = q.groupBy(F.concat(F.lit("chars_"), F.left("diagram_type", F.lit(5))).alias("metric"))
-        out = out.unionByName(per.agg(F.sum(F.length("prediction")).cast("double").alias("value")))
-    return out
+    return out.unionByName(per.select("metric", F.col("chars").cast("double").alias("value"))) if salt == "pred" else out
 
 
 @query("join_compare_runs", f"""

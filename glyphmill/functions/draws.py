@@ -54,8 +54,12 @@ def upto(n: Column, most: int, body: Callable[[Column], Column]) -> Column:
 
 
 def digest(*key: Part) -> Column:
-    """md5 of the key parts joined by ``|``: four 32-bit words in hex."""
-    return F.md5(F.concat_ws("|", *joined(key, "|")))
+    """md5 of the key parts joined by ``|``: four 32-bit words in hex. Null parts are left out with their ``|``."""
+    first, *rest = joined(key, "|")
+    if isinstance(key[0], Column):  # it may be null, and what is left then begins without a ``|``
+        return F.md5(F.concat_ws("|", first, *rest))
+    # Plain concatenation takes half the time of concat_ws.
+    return F.md5(F.concat(first, *[F.coalesce(F.concat(F.lit("|"), part.cast("string")), F.lit("")) for part in rest]))
 
 
 def word(hexes: Column, number: Part = 0) -> Column:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 # What counts as a quoted label, and as a blank.
 LABEL_PATTERN = '"([^"]*)"'
-BLANKS_AT_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
     """Text without blanks of any kind at its ends."""
-    return F.regexp_replace(text, BLANKS_AT_ENDS, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def stripped_equal(a: Column, b: Column) -> Column:
