@@ -117,7 +117,7 @@ def src_read_predictions(spark, sf):
     "SELECT value, count(*) AS n FROM (", f"WITH q AS (SELECT *, {OK_SQL} AS ok FROM {s.predictions_sql()}) SELECT value, count(*) AS n FROM (", 1))
 def snk_eval_report(spark, sf):
     path = new_path(spark, "report")
-    files.write_eval_report(metrics.exact_match(s.predictions(spark, sf)), path, ["diagram_type", "doc_id"])
+    files.write_eval_report(metrics.exact_match(s.predictions(spark, sf)), path, ["diagram_type", "doc_id"], compression="snappy")
     lines = files.read_lines(spark, f"{path}/blocks").unionByName(files.read_lines(spark, f"{path}/header"))
     return lines.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 

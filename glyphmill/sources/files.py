@@ -127,15 +127,16 @@ def report_header(df: DataFrame, title: str) -> DataFrame:
     return counts.select(F.format_string(f"{title}: %d/%d exact matches", "m", "n").alias("value"))
 
 
-def write_eval_report(df: DataFrame, path: str, order: Sequence[str], title: str = "Round-trip test") -> None:
+def write_eval_report(df: DataFrame, path: str, order: Sequence[str], title: str = "Round-trip test", compression: str | None = None) -> None:
     """Rows as JSON lines, readable blocks in order, and one header line.
 
-    ``order`` ends in a unique key, so that a large class is sorted by many tasks.
+    ``order`` ends in a unique key, so that a large class is sorted by many tasks. ``compression`` names a codec for rows
+    and blocks, which hold all texts twice each; without one they are plain files.
     """
-    df.write.json(f"{path}/rows")
+    df.write.json(f"{path}/rows", compression=compression)
     df = df.sparkSession.read.schema(df.schema).json(f"{path}/rows")  # what was written is not worked out again
     names = ("diagram_type", "exact_match", "ground_truth", "prediction")
-    df.orderBy(*order).select(report_block({n: F.col(n) for n in names}).alias("value")).write.text(f"{path}/blocks")
+    df.orderBy(*order).select(report_block({n: F.col(n) for n in names}).alias("value")).write.text(f"{path}/blocks", compression=compression)
     report_header(df, title).write.text(f"{path}/header")
 
 

@@ -85,6 +85,20 @@ def test_report(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r" / "rows")).count() == 2
 
 
+def test_compressed_report(spark, tmp_path):
+    """Rows and blocks, two copies of all texts, take fewer bytes and say the same."""
+    texts = [("pie", f"line {i}\n  été {i % 7}\n" * 40, f"line {i}\n" * 80, i % 2 == 0, i) for i in range(300)] + [(None, None, " ", False, 300), ("pie", "", "a\u2028b", False, 301)]
+    df = spark.createDataFrame(texts, "diagram_type string, ground_truth string, prediction string, exact_match boolean, id int")
+    found = []
+    for codec in (None, "snappy"):
+        path = tmp_path / str(codec)
+        files.write_eval_report(df, str(path), ["diagram_type", "id"], compression=codec)
+        size = sum(f.stat().st_size for part in ("rows", "blocks") for f in (path / part).glob("part-*"))
+        lines = [[r.value for r in files.read_lines(spark, str(path / part)).collect()] for part in ("blocks", "header")]
+        found.append((size, lines, sorted(map(str, spark.read.schema(df.schema).json(str(path / "rows")).collect()))))
+    assert found[0][1:] == found[1][1:] and found[1][0] < found[0][0] / 2
+
+
 CODES = st.text(alphabet='"ab$\\1 \n', max_size=40)
 
 
