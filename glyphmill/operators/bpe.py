@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -74,24 +74,54 @@ def lettered(piece: Column) -> Column:
     return F.translate(latin, "".join(map(chr, changed)), "".join(LETTER[b] for b in changed))
 
 
-def pairs_of(word: Column) -> Column:
-    n = F.length(word)
-    return F.when(
-        n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
+def letters_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all words as one array, and where each word ends in it."""
+    text = "".join(words.to_pylist()).encode("utf-32-le")
+    return np.frombuffer(text, np.uint32), np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def words_of(letters: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The words of these sizes that the symbols spell, one after the other."""
+    text, ends = letters.astype(np.uint32).tobytes().decode("utf-32-le"), np.cumsum(sizes).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def code_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One number per pair of symbols, in the order of the pairs."""
+    return left.astype(np.int64) << 21 | right.astype(np.int64)
+
+
+def pair_counts(words: DataFrame) -> DataFrame:
+    """(code, n): how often each pair of neighbours occurs. A batch adds its pairs up before it hands them on."""
+
+    def run(batches):
+        for batch in batches:
+            letters, ends = letters_of(batch.column("word"))
+            if len(letters) < 2:
+                continue
+            inside = np.ones(len(letters) - 1, bool)
+            inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(letters))] - 1] = False
+            places = np.flatnonzero(inside)
+            codes = code_of(letters[places], letters[places + 1])
+            order = np.argsort(codes)
+            codes, n = codes[order], np.asarray(batch.column("n"))[np.searchsorted(ends, places[order], "right")]
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            sums = np.add.reduceat(n, first) if len(first) else n
+            yield pa.RecordBatch.from_arrays([pa.array(codes[first]), pa.array(sums)], names=["code", "n"])
+
+    return words.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def stretches(words: DataFrame, hot: list[str]) -> DataFrame:
     """(word, n): the parts of the words between neighbours that are no ``hot`` pair, equal ones added up."""
-    codes = np.sort(np.array([ord(p[0]) << 16 | ord(p[1]) for p in hot], np.uint32))
+    codes = np.sort(np.array([ord(p[0]) << 21 | ord(p[1]) for p in hot], np.int64))
 
     def run(batches):
         for batch in batches:
-            letters = np.frombuffer("".join(batch.column("word").to_pylist()).encode("utf-32-le"), np.uint32)
+            letters, ends = letters_of(batch.column("word"))
             if not len(letters):
                 continue
-            ends = np.cumsum(pc.utf8_length(batch.column("word")).to_numpy(zero_copy_only=False))
-            pairs = letters[:-1] << 16 | letters[1:]
+            pairs = code_of(letters[:-1], letters[1:])
             at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
             cut = codes[at] != pairs
             cut[ends[:-1] - 1] = True
@@ -105,11 +135,60 @@ def stretches(words: DataFrame, hot: list[str]) -> DataFrame:
     return words.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def merged(
+    parts: np.ndarray, left: np.ndarray, rank_of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], made: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``left`` symbols each after all their merges, and how many symbols they have then.
+
+    A step merges one pair of each row, the one of lowest rank, leftmost first. ``rank_of(left, right, least)`` gives the
+    rank of pairs, ``least`` or more, which is that of the row's last merge; ``made`` the symbol by rank.
+    """
+    wide = parts.shape[1]
+    columns = np.arange(wide)
+    out, size = np.zeros_like(parts), np.zeros(len(parts), np.int64)
+    rank = np.full(parts.shape, NEVER, np.int32)
+    paired = columns[:-1] < left[:, None] - 1
+    rank[:, :-1][paired] = rank_of(parts[:, :-1][paired], parts[:, 1:][paired], np.zeros(int(paired.sum()), np.int64))
+    rows = np.arange(len(parts))
+    while len(rows):
+        at = rank.argmin(1)
+        best = rank[np.arange(len(rows)), at]
+        ended = best == NEVER
+        if ended.any():
+            out[rows[ended]], size[rows[ended]] = parts[ended], left[ended]
+            rows, parts, rank, left, at, best = (x[~ended] for x in (rows, parts, rank, left, at, best))
+            if not len(rows):
+                break
+        each = np.arange(len(rows))
+        parts[each, at] = made[best]
+        later = np.minimum(columns + (columns > at[:, None]), wide - 1)
+        parts, rank = np.take_along_axis(parts, later, 1), np.take_along_axis(rank, later, 1)
+        left = left - 1
+        for place in (at - 1, at):
+            here = (place >= 0) & (place < left - 1)
+            rank[each[here], place[here]] = rank_of(parts[each[here], place[here]], parts[each[here], place[here] + 1], best[here])
+        gone = at >= left - 1
+        rank[each[gone], at[gone]] = NEVER
+    return out, size
+
+
 def advanced(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """The words after these (pair, symbol) merges, one after the other; words of one symbol have no pairs and go."""
     places: dict[str, list[int]] = {}
     for i, (pair, _) in enumerate(merges):
         places.setdefault(pair, []).append(i)
+    pairs, many = sorted(places), len(merges) + 1
+    codes = np.array([ord(p[0]) << 21 | ord(p[1]) for p in pairs], np.int64)
+    # A pair may be merged several times: number of the pair and place of the merge in one.
+    turns = np.array([i * many + r for i, pair in enumerate(pairs) for r in places[pair]], np.int64)
+    made = np.array([ord(symbol) for _, symbol in merges], np.int32)
+
+    def rank_of(left: np.ndarray, right: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Place of the next merge of each pair from ``least`` on."""
+        asked = code_of(left, right)
+        at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+        turn = turns[np.minimum(np.searchsorted(turns, at * many + least), len(turns) - 1)]
+        return np.where((codes[at] == asked) & (turn // many == at) & (turn % many >= least), turn % many, NEVER)
 
     def of(word: str) -> str:
         at = 0
@@ -124,12 +203,32 @@ def advanced(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            changed = pa.array([of(w) for w in batch.column("word").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([changed, batch.column("n")], names=["word", "n"])
+            letters, ends = letters_of(batch.column("word"))
+            sizes = np.diff(ends, prepend=0)
+            n = np.asarray(batch.column("n"))
+            long = np.flatnonzero(sizes > SHORT)
+            changed, kept = [of(w) for w in batch.column("word").take(pa.array(long)).to_pylist()], [n[long]]
+            short = np.flatnonzero(sizes <= SHORT)
+            short = short[np.argsort(sizes[short], kind="stable")]
+            for some in np.array_split(short, -(-len(short) // TOGETHER)) if len(short) else ():
+                left = sizes[some]
+                columns = np.arange(int(left.max()))
+                here = columns < left[:, None]
+                parts = np.zeros(here.shape, np.int32)
+                parts[here] = letters[((ends[some] - left)[:, None] + columns)[here]]
+                out, size = merged(parts, left, rank_of, made)
+                changed += words_of(out[columns < size[:, None]], size)
+                kept.append(n[some])
+            yield pa.RecordBatch.from_arrays([pa.array(changed, pa.string()), pa.array(np.concatenate(kept))], names=["word", "n"])
 
     return words.mapInArrow(run, "word string, n long").where(F.length("word") > 1)
 
 
+class Counted(NamedTuple):
+    pair: str
+    n: int
+
+
 class Training:
     """Tokens and merges so far, and the names of the symbols: one character each, rising with the ids."""
 
@@ -221,11 +320,8 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int =
     words = materialise(words.repartition(cores), "words")
     state, wanted = Training(vocab_size, min_frequency), HOT
     while not state.full():
-        ranked = (
-            words.select(F.explode(pairs_of(F.col("word"))).alias("pair"), "n")
-            .groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
-            .orderBy(F.desc("n"), "pair").limit(HOT + 1).collect()
-        )
+        ranked = pair_counts(words).where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "code").limit(HOT + 1).collect()
+        ranked = [Counted(chr(r.code >> 21) + chr(r.code & (1 << 21) - 1), r.n) for r in ranked]
         if not ranked:
             break
         while True:
@@ -305,33 +401,10 @@ class Memo:
     def short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers of pre-tokens of about the same length; a step merges one pair of each, as ``spell`` does."""
         left = np.array([len(p) for p in pieces], np.int64)
-        wide = int(left.max())
-        columns = np.arange(wide)
-        out, size = np.zeros((len(pieces), wide), np.int32), np.zeros(len(pieces), np.int64)
-        parts = np.zeros((len(pieces), wide), np.int32)
+        columns = np.arange(int(left.max()))
+        parts = np.zeros((len(pieces), len(columns)), np.int32)
         parts[columns < left[:, None]] = self.letter[np.frombuffer(b"".join(pieces), np.uint8)]
-        rank = np.full((len(pieces), wide), NEVER, np.int32)
-        paired = columns[:-1] < left[:, None] - 1
-        rank[:, :-1][paired] = self.rank_of(parts[:, :-1][paired], parts[:, 1:][paired])
-        rows = np.arange(len(pieces))
-        while len(rows):
-            at = rank.argmin(1)
-            best = rank[np.arange(len(rows)), at]
-            ended = best == NEVER
-            out[rows[ended]], size[rows[ended]] = parts[ended], left[ended]
-            rows, parts, rank, left, at, best = (x[~ended] for x in (rows, parts, rank, left, at, best))
-            if not len(rows):
-                break
-            each = np.arange(len(rows))
-            parts[each, at] = self.made[best]
-            later = np.minimum(columns + (columns > at[:, None]), wide - 1)
-            parts, rank = np.take_along_axis(parts, later, 1), np.take_along_axis(rank, later, 1)
-            left = left - 1
-            for place in (at - 1, at):
-                here = (place >= 0) & (place < left - 1)
-                rank[each[here], place[here]] = self.rank_of(parts[each[here], place[here]], parts[each[here], place[here] + 1])
-            gone = at >= left - 1
-            rank[each[gone], at[gone]] = NEVER
+        out, size = merged(parts, left, lambda a, b, _: self.rank_of(a, b), self.made)
         ids = self.ids[out[columns < size[:, None]]]
         if len(ids) and ids.min() < 0:
             raise KeyError("a token that the vocabulary lacks")

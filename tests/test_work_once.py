@@ -114,3 +114,35 @@ def test_runs_are_read_once(spark, tmp_path):
         chars[r.diagram_type and f"chars_{r.diagram_type[:5]}"] += len(r.prediction or "")
     assert got == {"exact_match": same / 60, "chars": sum(chars.values()), **chars}
     assert plan_of(tables.run_metrics(spark, str(tmp_path), "pred")).count("md5") == 0
+
+
+def test_pairs_are_added_up_before_they_are_handed_on(spark):
+    """Counted on arrays, without a row for each pair of each word."""
+    rnd = random.Random(8)
+    words = [("".join(rnd.choice("abc\U00010400ž") for _ in range(rnd.randint(0, 9))), rnd.randint(1, 2**60 // 10**5)) for _ in range(3000)]
+    df = spark.createDataFrame([*words, ("", 5), ("a", 7)], "word string, n long").repartition(3)
+    want = Counter()
+    for w, n in words:
+        for a, b in zip(w, w[1:]):
+            want[int(ord(a) << 21 | ord(b))] += n
+    counted = bpe.pair_counts(df)
+    assert {r.code: r.n for r in counted.collect()} == dict(want)
+    assert "Generate" not in plan_of(counted) and bpe.pair_counts(df.limit(0)).count() == 0
+
+
+def test_merges_are_applied_in_their_order(spark):
+    """Against replacing one merge after the other; tokens spelled two ways, pairs merged twice, doubled symbols, long words."""
+    rnd = random.Random(9)
+    for trial in range(4):
+        pieces = Counter("".join(rnd.choice("abcd"[: 2 + trial % 3]) for _ in range(rnd.choice((1, 2, 5, 9, 14, 40)))) for _ in range(400))
+        done = bpe.Training(256 + 60, 2).settle(list(pieces.items()), 1)
+        assert len(done) > 20
+        want = Counter()
+        for w, n in pieces.items():
+            for pair, symbol in done:
+                w = w.replace(pair, symbol)
+            want[w] += n if len(w) > 1 else 0
+        got = Counter()
+        for r in bpe.advanced(spark.createDataFrame(list(pieces.items()), "word string, n long").repartition(2), done).collect():
+            got[r.word] += r.n
+        assert got == +want
