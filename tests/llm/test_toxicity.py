@@ -113,6 +113,74 @@ def test_scores_equal_plain_models(spark, monkeypatch):
         assert all(abs(got[i] - want(t)) < 1e-6 for i, t in enumerate(texts))
 
 
+def brute_context(rows):
+    """What the bigrams of both classes add to the words of a text, in plain Python."""
+    n, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for text, toxic, _ in rows:
+        w = text.split()
+        n[toxic].update(w)
+        pairs[toxic].update(zip(["<s>", *w[:-1]], w))
+    every = set(pairs[0]) | set(pairs[1])
+    lefts = Counter(w for _, w in every)
+
+    def off(counts):
+        many = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+        d = X.discounts(*many)
+        return lambda k: d[min(k, 3) - 1] if k else 0.0
+
+    def model(c):
+        words, two, total = off(n[c]), off(pairs[c]), sum(n[c].values())
+        back = sum(map(words, n[c].values())) / total
+        seen, given = Counter(), Counter()
+        for (v, _), k in pairs[c].items():
+            seen[v] += k
+            given[v] += two(k)
+
+        def added(v, w):
+            alone = (n[c][w] - words(n[c][w])) / total + back * (lefts[w] + X.UNSEEN) / (len(every) + X.UNSEEN * (len(lefts) + 1))
+            if not seen[v]:
+                return 0.0, 0.0
+            share = given[v] / seen[v]
+            return np.log((pairs[c][v, w] - two(pairs[c][v, w])) / seen[v] / alone + share), np.log(share)
+
+        return added
+
+    models = [model(0), model(1)]
+
+    def context(text):
+        w = (text or "").split()
+        met = [[m(v, x) for m in models] for v, x in zip(["<s>", *w[:-1]], w)]
+        seen = [(v, x) in every for v, x in zip(["<s>", *w[:-1]], w)]
+        return np.mean([np.clip(b[not s] - a[not s], -X.MOST, X.MOST) for (a, b), s in zip(met, seen, strict=True)]) if w else 0.0
+
+    return context
+
+
+def test_bigrams_equal_plain_models(spark, monkeypatch):
+    """The order of bigrams above the words, whatever the tasks hold of it."""
+    rows = mixed()
+    want = brute_context([r for r in rows if r[2] != X.CURVE])
+    texts = [None, "", "w1", "unseen", "w1 w2 unseen w2 w2500", *[r[0] for r in rows[:80]], "w3 " * 2000]
+    asked = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table = spark.createDataFrame([(t, y, 0) for t, y, _ in rows], "text string, toxic int, fold int")
+    assert max(abs(want(t)) for t in texts) > 0.1
+    for size in (1 << 20, 300, 1):
+        monkeypatch.setattr(X, "PAIRS", size)
+        monkeypatch.setattr(X, "SLICE", 100 if size == 300 else 1 << 20)
+        got = {r.id: r.context for r in X.with_evidence(asked, X.train(table)).collect()}
+        assert all(abs(got[i] - want(t)) < 1e-6 for i, t in enumerate(texts))
+
+
+def test_order_of_words_tells_classes_apart(spark):
+    """Both classes have the same words equally often; only their order differs."""
+    rnd = random.Random(8)
+    phrase = lambda toxic: " ".join(f"l{k} r{k if toxic else (k + 1) % 6}" for k in rnd.choices(range(6), k=3))
+    docs = [(i, " ".join(rnd.choice([f"w{rnd.randrange(40)}", phrase(i % 2)]) for _ in range(20))) for i in range(900)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, toxic int")
+    rows = X.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), marks).filter("held_out").collect()
+    assert np.mean([(r.score > 0.5) == r.doc_id % 2 for r in rows]) > 0.9
+
+
 def test_shared_order_counts_contexts(spark):
     texts = [(f"word{i} spread", 1) for i in range(40)] + [("fixed phrase", 1)] * 40 + [(f"word{i} plain", 0) for i in range(80)]
     got = sorted((r.n0, r.n1, r.lefts) for r in X.continuations(spark.createDataFrame(texts, "text string, toxic int")).collect() if r.lefts > 1 or r.n0 + r.n1 > 2)
