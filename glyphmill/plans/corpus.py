@@ -96,24 +96,28 @@ def profiles(
     ``sizes`` names the profiles to make (leave one out to skip it) and how many
     rows per class each gets; None means every input row.
     """
-    wanted = F.array(*[
-        F.struct(F.lit(n).alias("profile"), F.lit(seed + SEED_OFFSETS[n]).alias("seed"), F.lit(size).cast("bigint").alias("size"))
-        for n, size in sizes.items()
-    ])
-    asked = rows.select(row, F.explode(wanted).alias("p")).select(row, "p.*")
-    asked = asked.where(F.col("size").isNull() | (F.col(row) < F.col("size")))
+    groups: dict[int, list[Column]] = {}
+    for n, size in sizes.items():
+        groups.setdefault(seed + SEED_OFFSETS[n], []).append(F.struct(F.lit(n).alias("profile"), F.lit(size).cast("bigint").alias("size")))
+    # Profiles of one seed have the same texts, which are made once for all of them.
+    wanted = F.array(*[F.struct(F.lit(s).alias("seed"), F.array(*asked).alias("all")) for s, asked in groups.items()])
+    asked = rows.select(row, F.explode(wanted).alias("p")).select(
+        row, "p.seed", F.filter("p.all", lambda x: x["size"].isNull() | (F.col(row) < x["size"]))["profile"].alias("all")
+    ).where(F.size("all") > 0)
 
     def entry(name: str) -> Column:
         text = text_of(name, F.col(row), F.col("seed"), words)
         if name == NEGATIVE_CLASS:  # only the classifier learns what is no diagram
-            text = F.when(F.col("profile") == "router", text)
+            text = F.when(F.array_contains("all", "router"), text)
         return F.struct(F.lit(name).alias("diagram_type"), text.alias("target"))
 
     made = F.array(*[entry(n) for n in [NEGATIVE_CLASS, *TEMPLATES]])
     kind, val = F.col("diagram_type"), F.col("profile") == "val"
     return (
-        asked.select("profile", row, F.explode(made).alias("made")).select("profile", row, "made.*")
+        asked.select("all", row, F.explode(made).alias("made")).select("all", row, "made.*")
         .where(F.col("target").isNotNull())
+        .select(F.explode("all").alias("profile"), row, "diagram_type", "target")
+        .where((kind != NEGATIVE_CLASS) | (F.col("profile") == "router"))
         .withColumn("file_name", F.when(val, file_name(kind, F.col(row), val=True)).otherwise(file_name(kind, F.col(row))))
     )
 

@@ -108,6 +108,26 @@ def test_generation_is_one_narrow_stage(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_profiles_of_one_seed_share_their_texts(spark, monkeypatch):
+    """Two profiles of one seed have the same texts: each is made once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(name, row, seed):
+        calls.add(1)
+        return f"{name} {row} {seed}"
+
+    monkeypatch.setattr(corpus, "TEMPLATES", {"one": None})
+    monkeypatch.setattr(corpus, "text_of", lambda name, row, seed, words: text(F.lit(name), row, seed))
+    made = corpus.profiles(spark.range(4), "id", 5, {"val": None, "fixed": None, "router": 3})
+    got = sorted((r.profile, r.id, r.diagram_type, r.target) for r in made.collect())
+    none = corpus.NEGATIVE_CLASS
+    want = [(p, i, "one", f"one {i} 6") for p in ("val", "fixed") for i in range(4)]
+    want += [("router", i, kind, f"{kind} {i} 5") for i in range(3) for kind in ("one", none)]
+    assert got == sorted(want)
+    assert calls.value <= 2 * (4 + 3)
+
+
 def test_profiles_in_their_sizes(spark):
     made = corpus.profiles(spark.range(8), "id", 0, {"router": 3, "val": 2, "corpus": 8})
     got = {(r.profile, r.diagram_type): r["count"] for r in made.groupBy("profile", "diagram_type").count().collect()}
