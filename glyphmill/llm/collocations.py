@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import sliced
 from glyphmill.llm.hashing import mix
-from glyphmill.session import materialise
+from glyphmill.session import discard, materialise
 
 LEAST = 10
 TOP = 2000
@@ -161,7 +161,10 @@ def filter_of(prints: DataFrame) -> np.ndarray:
     """A bit for the leading bits of every fingerprint, as 64-bit words."""
     bits = min(FILTER_BITS, max(12, (BITS_EACH * prints.count()).bit_length()))
     slots = prints.select(F.shiftrightunsigned("fp", 64 - bits).alias("slot"))
-    rows = slots.groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
+    words = slots.groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    written = materialise(words, "filter-words")  # the files it was shuffled by go with that
+    rows = written.toArrow()
+    discard(written)
     out = np.zeros(1 << (bits - 6), U)
     out[rows.column("word").to_numpy().astype(np.int64)] = rows.column("bits").to_numpy().astype(np.int64).view(U)
     return out

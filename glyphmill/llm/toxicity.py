@@ -52,7 +52,9 @@ HEAD, PAIRS = 1 << 22, 1 << 21
 #: Occurrences up to which entries are told apart when the most frequent ones are picked.
 OFTEN = 256
 #: Parts at most in which the rest is met, one after another, so that only one part's shuffle is on the disks; rows of a full part.
-SLICES, SLICE = 8, 1 << 20
+SLICES, SLICE = 6, 1 << 21
+#: Parts of the texts that meet the rest, one after another, so that only one part's open words and bigrams are on the disks.
+TEXT_PARTS = 2
 #: What stands before the first word of a text.
 START = np.uint64(0)
 #: Log ratio that one word says at most.
@@ -226,14 +228,14 @@ def bounded(gain: Column) -> Column:
     return F.greatest(F.lit(-MOST), F.least(F.lit(MOST), gain))
 
 
-def higher_order(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
-    """(key, gain, n) of every bigram and every context, and the sum of n; ``words`` as ``estimates`` gives them.
+def higher_order(pairs: DataFrame, words: DataFrame) -> tuple[list[DataFrame], int]:
+    """Tables (key, gain, n) that hold every bigram and every context, and the sum of n; ``words`` as ``estimates`` gives them.
 
     A word's likelihood after a context is the bigram's discounted share of the context, and what the context gave up
     times the likelihood of the word alone. Its log ratio, less that of the word alone, is the gain of the context, which is all
     an unseen bigram has, plus that of the bigram.
     """
-    sums = counts_of_counts(pairs)
+    sums = counts_of_counts(pairs, F.count("*").alias("kinds"))
     offs = [taken_off(c, discounts(*[sums[f"{c}_{k}"] for k in (1, 2, 3, 4)])) for c in ("n0", "n1")]
     contexts = pairs.groupBy("left").agg(
         *[F.sum(f"n{t}").alias(f"t{t}") for t in (0, 1)],
@@ -242,34 +244,51 @@ def higher_order(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
     # A context that a class lacks leaves that class's word models whole.
     given = [F.when(F.col(f"t{t}") > 0, F.greatest(F.col(f"o{t}") / 2.0**32 / F.col(f"t{t}"), F.lit(1e-9))).otherwise(1.0) for t in (0, 1)]
     contexts = materialise(contexts.select("left", "t0", "t1", *[g.alias(f"g{t}") for t, g in enumerate(given)]), "toxic-contexts")
-    met = pairs.join(words.select(F.col("key").alias("word"), "log0", "log1"), "word").join(contexts, "left")
     logs = [F.log(F.col(f"g{t}") + F.coalesce((F.col(f"n{t}") - offs[t]) / F.nullif(F.col(f"t{t}"), F.lit(0)), F.lit(0.0)) * F.exp(-F.col(f"log{t}"))) for t in (0, 1)]
     alone = bounded(F.log("g1") - F.log("g0"))
-    rows = met.select("left", "word", (bounded(logs[1] - logs[0]) - alone).alias("gain"), (F.col("n0") + F.col("n1")).alias("n"))
-    rows = rows.unionByName(contexts.select("left", F.lit(int(START)).cast("long").alias("word"), alone.alias("gain"), (F.col("t0") + F.col("t1")).alias("n")))
+
+    def rows(mine: Column) -> DataFrame:
+        met = pairs.filter(mine).join(words.select(F.col("key").alias("word"), "log0", "log1"), "word").join(contexts.filter(mine), "left")
+        met = met.select("left", "word", (bounded(logs[1] - logs[0]) - alone).alias("gain"), (F.col("n0") + F.col("n1")).alias("n"))
+        start = F.lit(int(START)).cast("long").alias("word")
+        return met.unionByName(contexts.filter(mine).select("left", start, alone.alias("gain"), (F.col("t0") + F.col("t1")).alias("n")))
 
     def run(batches):
         for batch in batches:
             left, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("left", "word"))
             yield pa.RecordBatch.from_arrays([pa.array(pair_hash(left, word).view(np.int64)), batch.column("gain"), batch.column("n")], names=["key", "gain", "n"])
 
-    table = materialise(rows.mapInArrow(run, "key long, gain double, n long"), "toxic-bigrams")
+    # A context's bigrams are all in one part, so the parts' shuffles follow one another.
+    slices = min(SLICES, 1 + sums["kinds"] // (2 * SLICE))
+    parts = []
+    for part in range(slices):
+        mine = F.pmod(F.xxhash64("left"), F.lit(slices)) == part
+        parts.append(materialise(rows(mine).mapInArrow(run, "key long, gain double, n long"), "toxic-bigrams"))
     discard(contexts)
-    return table, 2 * (sums["n0"] + sums["n1"])
+    return parts, 2 * (sums["n0"] + sums["n1"])
 
 
 def train(labelled: DataFrame) -> Trained:
-    """Fit both models and the curve on rows (text, toxic, fold); no row of the held-out fold may be among them."""
-    models = labelled.filter(F.col("fold") != CURVE)
+    """Fit both models and the curve on rows (text, toxic, fold); no row of the held-out fold may be among them.
+
+    The models' texts are written for the counting and go before the bigrams are estimated; the curve's go with the fit.
+    """
+    models = materialise(labelled.filter(F.col("fold") != CURVE), "toxic-training")
     counts = materialise(class_pairs(models), "toxic-pairs")
     words = materialise(continuations(models, counts), "toxic-counts")
+    discard(models)
     gains, unknown, total = estimates(words)
     gains = materialise(gains, "toxic-words")
-    pairs, pair_total = higher_order(counts, gains)
-    discard(counts, words)
+    discard(words)
+    parts, pair_total = higher_order(counts, gains)
+    discard(counts)
+    pairs = reduce(DataFrame.unionByName, parts)
     heads = head(gains, total, unknown, HEAD), head(pairs, pair_total, 0.0, PAIRS)
     trained = Trained(heads[0], gains, unknown, heads[1], pairs, labelled.sparkSession.sparkContext.broadcast(heads), (0.0, 0.0, 0.0))
-    return trained._replace(curve=fit_curve(trained, labelled.filter(F.col("fold") == CURVE)))
+    rows = materialise(labelled.filter(F.col("fold") == CURVE), "toxic-training")
+    trained = trained._replace(curve=fit_curve(trained, rows))
+    discard(rows)
+    return trained
 
 
 def grouped(doc: np.ndarray, key: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,6 +300,14 @@ def grouped(doc: np.ndarray, key: np.ndarray, docs: int) -> tuple[np.ndarray, np
     return offsets, key[first].view(np.int64), np.diff(np.append(first, len(doc)))
 
 
+def dealt(offsets: np.ndarray, keys: np.ndarray, n: np.ndarray) -> list[list[pa.ListArray]]:
+    """What ``grouped`` gives as lists by document, of keys and of n, in ``SLICES`` parts by the key."""
+    doc, part = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), keys % SLICES
+    mine = [part == s for s in range(SLICES)]
+    ends = [np.concatenate([[0], np.cumsum(np.bincount(doc[m], minlength=len(offsets) - 1))]).astype(np.int32) for m in mine]
+    return [[pa.ListArray.from_arrays(pa.array(e), pa.array(x[m])) for x in (keys, n)] for e, m in zip(ends, mine, strict=True)]
+
+
 def known(table: Table, pairs: Table, texts: list[str | None]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """By text: sums of the log ratios and of the ratios of the words in ``table``, the sum of what the bigrams and contexts in
     ``pairs`` add, and the number of all words; and the other words, and the other bigrams and contexts, as ``grouped``.
@@ -310,50 +337,68 @@ def known(table: Table, pairs: Table, texts: list[str | None]) -> tuple[list[np.
     return [*sums, sizes], rest
 
 
-def with_evidence(df: DataFrame, trained: Trained) -> DataFrame:
+def closed(laid: DataFrame, rests: list[tuple], opened: list[str]) -> DataFrame:
+    """``laid`` without its open words and bigrams, the columns ``opened``; what these say by the ``rests``' tables is in its sums."""
+    held = materialise(laid.withColumn("_id", F.monotonically_increasing_id()), "toxic-open")
+    out, written = held.drop(*opened), [held]
+    asked = held.agg(*[F.coalesce(F.sum(sum((F.size(f"{key}{s}") for s in range(SLICES)), F.lit(0))), F.lit(0)).alias(key) for *_, key, _ in rests]).first()
+    for rest, table, unknown, key, n in rests:
+        if rest is None:
+            continue
+        gain = F.coalesce("gain", F.lit(unknown))
+        values = {"_logs": gain, "_ratios": F.exp(F.least(gain, F.lit(MOST)))} if key == "_word" else {"_context": gain}
+        # Whole numbers, as their sum does not depend on the order.
+        sums = [F.sum(F.round(v * 2.0**32).cast("long") * F.col("n")).alias(f"{c}_more") for c, v in values.items()]
+
+        def later(s: int) -> DataFrame:
+            both = F.arrays_zip(F.col(f"{key}{s}").alias("key"), F.col(f"{n}{s}").alias("n"))  # noqa: B023
+            return held.select("_id", F.inline(both))
+
+        slices = min(SLICES, 1 + (asked[key] + table.count()) // SLICE)
+        parts = []
+        for part in range(slices):
+            mine = F.pmod(F.pmod(F.col("key"), F.lit(SLICES)), F.lit(slices)) == part
+            open_ = reduce(DataFrame.unionByName, [later(s) for s in range(part, SLICES, slices)])
+            met = open_.join(table.filter(mine).select("key", "gain"), "key", "left").groupBy("_id").agg(*sums)
+            parts.append(materialise(met, "toxic-sums"))
+        written += parts
+        added = reduce(DataFrame.unionByName, parts).groupBy("_id").agg(*[F.sum(f"{c}_more").alias(f"{c}_more") for c in values])
+        out = out.join(added, "_id", "left")
+        for c in values:
+            out = out.withColumn(c, F.col(c) + F.coalesce(F.col(f"{c}_more") / 2.0**32, F.lit(0.0)))
+    out = materialise(out.drop("_id", *[f"{c}_more" for c in ("_logs", "_ratios", "_context")]), "toxic-evidence")
+    discard(*written)
+    return out
+
+
+def with_evidence(df: DataFrame, trained: Trained, text_parts: int | None = None) -> DataFrame:
     """All columns of ``df`` but text, and ``evidence``: what the words say, 0 without words and never less.
 
     A column ``context`` says what the bigrams add per word, 0 without words.
 
     Most words and bigrams are known from the entries sent to all tasks. Those that may have an entry beyond these
-    meet the whole table in a join, where the frequent keys are missing.
+    meet the whole table in a join, where the frequent keys are missing; ``text_parts`` of the texts do so one after another.
     """
     shared = trained.shared
     kept = [f for f in df.schema.fields if f.name not in ("text", "evidence", "context")]
-    names, opened = [f.name for f in kept], ("_word", "_n", "_pair", "_m")
+    names, opened = [f.name for f in kept], [f"{c}{s}" for both in (("_word", "_n"), ("_pair", "_m")) for s in range(SLICES) for c in both]
     totals = {"_logs": "double", "_ratios": "double", "_context": "double", "_words": "long"}
 
     def run(batches):
         for batch in sliced(batches):
             found, rest = known(*shared.value, batch.column("text").to_pylist())
             sums = [pa.array(x) for x in found]
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for offsets, *each in rest for x in each]
+            lists = [x for each in rest for both in dealt(*each) for x in both]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *sums, *lists], names=[*names, *totals, *opened])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"{c} {kind}" for c, kind in totals.items()], *[f"{c} array<long>" for c in opened]])
     out = df.select(*names, "text").mapInArrow(run, schema)
     rests = [(trained.head.rest, trained.words, trained.unknown, "_word", "_n"), (trained.pair_head.rest, trained.pairs, 0.0, "_pair", "_m")]
     if any(rest is not None for rest, *_ in rests):
-        held = materialise(out.withColumn("_id", F.monotonically_increasing_id()), "toxic-open")
-        out = held.drop(*opened)
-        for rest, table, unknown, key, n in rests:
-            if rest is None:
-                continue
-            gain = F.coalesce("gain", F.lit(unknown))
-            values = {"_logs": gain, "_ratios": F.exp(F.least(gain, F.lit(MOST)))} if key == "_word" else {"_context": gain}
-            # Whole numbers, as their sum does not depend on the order.
-            sums = [F.sum(F.round(v * 2.0**32).cast("long") * F.col("n")).alias(f"{c}_more") for c, v in values.items()]
-            later = held.select("_id", F.explode(F.arrays_zip(key, n)).alias("x")).select("_id", F.col(f"x.{key}").alias("key"), F.col(f"x.{n}").alias("n"))
-            slices = min(SLICES, 1 + (held.agg(F.sum(F.size(key))).first()[0] or 0) // SLICE)
-            parts = []
-            for part in range(slices):
-                mine = F.pmod(F.col("key"), F.lit(slices)) == part
-                met = later.filter(mine).join(table.filter(mine).select("key", "gain"), "key", "left").groupBy("_id").agg(*sums)
-                parts.append(materialise(met, "toxic-sums"))
-            added = reduce(DataFrame.unionByName, parts).groupBy("_id").agg(*[F.sum(f"{c}_more").alias(f"{c}_more") for c in values])
-            out = out.join(added, "_id", "left")
-            for c in values:
-                out = out.withColumn(c, F.col(c) + F.coalesce(F.col(f"{c}_more") / 2.0**32, F.lit(0.0)))
+        text_parts = text_parts or TEXT_PARTS
+        mine = F.pmod(F.xxhash64("text"), F.lit(text_parts))
+        texts = [df.filter(mine == part).select(*names, "text").mapInArrow(run, schema) for part in range(text_parts)]
+        out = reduce(DataFrame.unionByName, [closed(part, rests, opened) for part in texts])
     usual = F.greatest(F.lit(-TOPIC), F.least(F.lit(TOPIC), F.col("_logs") / F.col("_words")))
     said = F.greatest(F.log(F.col("_ratios") / F.col("_words")) - usual, F.lit(0.0))
     any_words = F.col("_words") > 0
@@ -371,7 +416,7 @@ def fit_curve(trained: Trained, rows: DataFrame) -> tuple[float, float, float]:
     """Slopes and offset of the logistic curve, by Newton's method on a histogram of bounded size."""
     cell = F.floor(F.least(F.lit(SPAN), F.col("evidence")) * (CELLS / SPAN))
     side = F.floor(within(F.col("context")) * (CONTEXT_CELLS / CONTEXT_SPAN / 2))
-    counts = with_evidence(rows.select("text", "toxic"), trained).groupBy(cell.cast("int").alias("cell"), side.cast("int").alias("side")).agg(
+    counts = with_evidence(rows.select("text", "toxic"), trained, 1).groupBy(cell.cast("int").alias("cell"), side.cast("int").alias("side")).agg(
         F.sum("toxic").alias("n1"), F.count("*").alias("n")
     ).orderBy("cell", "side").collect()
     if not counts:
@@ -412,9 +457,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     texts = docs.select("doc_id", "text").filter(fold(F.col("doc_id")) != HELD_OUT)
     # Both sides are dealt by the id at every size: labels grow with the corpus, so they are never sent to all tasks.
     joined = texts.join(marks.hint("merge"), texts.doc_id == F.col("_id"))
-    labelled = materialise(joined.select("text", "toxic", fold(F.col("doc_id")).alias("fold")), "toxic-training")
-    trained = train(labelled)
-    discard(labelled)
+    trained = train(joined.select("text", "toxic", fold(F.col("doc_id")).alias("fold")))
     slope, context, offset = trained.curve
     scored = with_evidence(docs.select("doc_id", "text"), trained)
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(context) * within(F.col("context")) + F.lit(offset))))

@@ -1,5 +1,6 @@
 """Toxicity: counts against brute force, held-out accuracy, edge cases."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 from glyphmill.llm import toxicity as X
 from glyphmill.llm.hashing import NOT_WORD, shingle_set, word_hashes
 from glyphmill.llm.queries import op7_toxicity
+from glyphmill.session import work_dir
 
 
 def corpus(n, seed=3):
@@ -181,6 +183,24 @@ def test_order_of_words_tells_classes_apart(spark):
     assert np.mean([(r.score > 0.5) == r.doc_id % 2 for r in rows]) > 0.9
 
 
+def test_work_tables_go(spark, monkeypatch):
+    """Texts, counts, open words and sums are off the disks when the scores are there, in parts of the texts or not."""
+    docs, labels = corpus(300)
+    table = spark.createDataFrame([(i, t) for i, t, _ in docs] + [(1, None), (2, "")], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(X, "HEAD", 5)
+    monkeypatch.setattr(X, "PAIRS", 300)
+    got = []
+    for parts in (1, 3):
+        monkeypatch.setattr(X, "TEXT_PARTS", parts)
+        before = set(os.listdir(work_dir(spark)))
+        rows = X.toxicity(table, marks)
+        left = {name.rsplit("-", 1)[0] for name in set(os.listdir(work_dir(spark))) - before}
+        assert left <= {"toxic-words", "toxic-bigrams", "toxic-evidence"}
+        got.append(sorted(map(str, rows.collect())))
+    assert got[0] == got[1] and len(got[0]) == len(docs) + 2
+
+
 def test_shared_order_counts_contexts(spark):
     texts = [(f"word{i} spread", 1) for i in range(40)] + [("fixed phrase", 1)] * 40 + [(f"word{i} plain", 0) for i in range(80)]
     got = sorted((r.n0, r.n1, r.lefts) for r in X.continuations(spark.createDataFrame(texts, "text string, toxic int")).collect() if r.lefts > 1 or r.n0 + r.n1 > 2)
